@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import decontam, piece_codec, private, quality, ring, token_counts
+from granary.llm import decontam, langid, piece_codec, private, quality, ring, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     ),
     "op5_quality_rules": _of_documents(quality.op5),
+    "op6_language_id": _of_documents(langid.op6),
     "op7_sentencepiece": _of_documents(piece_codec.op7),
     "op8_token_counts": _of_documents(token_counts.op8),
     "op9_sharding": _of_documents(ring.op9),
