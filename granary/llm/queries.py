@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import decontam, langid, piece_codec, private, quality, ring, token_counts
+from granary.llm import decontam, langid, lm, piece_codec, private, quality, ring, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sentencepiece": _of_documents(piece_codec.op7),
     "op8_token_counts": _of_documents(token_counts.op8),
     "op9_sharding": _of_documents(ring.op9),
+    "op10_lm_scoring": _of_documents(lm.op10),
 }
 
 ORACLES: dict[str, str] = {}
