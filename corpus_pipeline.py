@@ -1,27 +1,59 @@
-"""The corpus pipeline: each stage applies one operator of ``granary.llm``."""
+"""The corpus pipeline: five stages, each by one operator of ``granary.llm``.
+
+Every stage works on all rows its predecessor kept and, but for the last, gives
+the columns it was given.  An empty table passes through; nulls are treated as
+each operator's docstring says.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.llm import decontam, langid, near_dups, piece_codec, private
+from granary.llm.scratch import cut
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; the model learns from these documents' own labels."""
+    model = langid.fit(docs, F.col("doc_id").isNotNull() & ~langid.held_out())
+    return langid.keep_known(docs, model)
+
 
-from granary.llm import private
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return near_dups.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
     return private.redact(docs)
 
 
-STAGES = [("pii", pii)]
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's token ids and what they decode to, as count and digests."""
+    return piece_codec.op7(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii", pii),
+    ("sentencepiece", pieces),
+]
+#: Hashed n-gram centroids and subword segmentation have no SQL form; tests/llm checks the rows by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each read again from the table its predecessor wrote."""
-    from granary.llm.scratch import cut
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
