@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import decontam, langid, lm, near_dups, piece_codec, private, quality, ring, token_counts
+from granary.llm import bwt_dups, decontam, langid, lm, near_dups, piece_codec, private, quality, ring, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,7 @@ def _of_documents(operator: Callable[[DataFrame], DataFrame]):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": _of_documents(bwt_dups.op1),
     "op2_minhash_near_dedup": _of_documents(near_dups.op2),
     "op3_pii": _of_documents(private.op3),
     "op4_decontamination": lambda spark, sf_dir: decontam.op4(
