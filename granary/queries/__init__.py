@@ -1,4 +1,6 @@
 """The registered queries and their oracle SQL, by inventory ID."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from granary.queries import aggregates, events, graphs, lookups, retrieval, sources, texts  # noqa: F401
+from granary.queries.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
