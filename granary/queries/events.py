@@ -1 +1,158 @@
+"""EV and ST queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from granary.operators import evaluation as ev
+from granary.plans import kb
+from granary.queries.lookups import SNAP, snapshots
+from granary.queries.registry import query
+from granary.queries.retrieval import BM, lexical
+from granary.streaming import windows
+
+Q, FB, D = kb.QUESTIONS_SQL, kb.FEEDBACK_SQL, kb.LIBRARY_SQL
+N = F.count(F.lit(1))
+
+TRUTH = "tr AS (SELECT item_id AS query, doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))"
+
+
+def truth(t):
+    """Documents that hold the first sixty characters of an item: the stated items, broadcast, against all documents."""
+    heads = F.broadcast(t.benchmark.select(F.col("item_id").alias("query"), F.substring("text", 1, 60).alias("head")))
+    return t.documents.join(heads, F.contains("text", "head")).select("query", "doc_id")
+
+
+RK = f"{BM}, {TRUTH}, rk AS (SELECT tr.query, min(rank) AS rank FROM tr LEFT JOIN lex ON lex.query = tr.query AND lex.doc_id = tr.doc_id AND lex.rank <= 10 GROUP BY tr.query)"
+
+
+def ranks(t, top: int = 10):
+    return ev.first_ranks(lexical(t, top), truth(t))
+
+
+@query("ev_01", f"WITH {RK} SELECT query, rank FROM rk")
+def ev_01(t):
+    return ranks(t).select("query", F.col("rank").cast("long").alias("rank"))
+
+
+@query("ev_02", f"WITH {RK} SELECT count(*) AS n, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 3) AS hit, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 3) AS mrr FROM rk")
+def ev_02(t):
+    return ev.quality(ranks(t))
+
+
+RUNS = "a AS (SELECT p_partkey AS query, CASE WHEN p_size < 40 THEN p_size END AS rank FROM part), b AS (SELECT p_partkey AS query, CASE WHEN p_partkey % 7 > 0 THEN (p_size * 3) % 50 + 1 END AS rank FROM part)"
+
+
+def two_runs(t):
+    before = t.part.select(F.col("p_partkey").alias("query"), F.when(F.col("p_size") < 40, F.col("p_size")).alias("rank"))
+    after = t.part.select(F.col("p_partkey").alias("query"), F.when(F.col("p_partkey") % 7 > 0, (F.col("p_size") * 3) % 50 + 1).alias("rank"))
+    return before, after
+
+
+@query("ev_03", f"WITH {RUNS}, s AS (SELECT query, b.rank IS NOT NULL AND (a.rank IS NULL OR b.rank < a.rank) AS bad FROM a JOIN b USING (query) WHERE query % 3 = 0) SELECT round(avg(CASE WHEN bad THEN 1.0::DOUBLE ELSE 0 END), 3) AS substituted FROM s")
+def ev_03(t):
+    expected, rejected = two_runs(t)
+    both = expected.where("query % 3 = 0").join(rejected.withColumnRenamed("rank", "reject"), "query")
+    bad = F.col("reject").isNotNull() & (F.col("rank").isNull() | (F.col("reject") < F.col("rank")))
+    return both.agg(F.round(F.avg(bad.cast("double")), 3).alias("substituted"))
+
+
+@query("ev_04", "SELECT conv_id, turn, contains(text, 'that') OR contains(text, 'les') AS has, NOT (contains(text, '***') OR contains(text, '###')) AS clean FROM conversations WHERE role = 'assistant'")
+def ev_04(t):
+    any_of = lambda *xs: F.exists(F.array(*[F.lit(x) for x in xs]), lambda x: F.contains("text", x))
+    return t.conversations.where("role = 'assistant'").select("conv_id", "turn", any_of("that", "les").alias("has"), (~any_of("***", "###")).alias("clean"))
+
+
+@query("ev_05", f"WITH {D}, p AS (SELECT unnest(['src1/', 'src', 'nothing here', '/de/']) AS pattern), c AS (SELECT pattern, count(d.id) AS n FROM p LEFT JOIN d ON contains(rel_path, pattern) GROUP BY pattern), t AS (SELECT count(*) AS total FROM d) SELECT pattern, n, CASE WHEN n = 0 THEN 'dead' WHEN n > greatest(20, total // 10) THEN 'broad' ELSE 'fine' END AS verdict FROM c, t")
+def ev_05(t):
+    d = kb.library(t.documents)
+    patterns = t.spark.createDataFrame([("src1/",), ("src",), ("nothing here",), ("/de/",)], "pattern string")  # a stated list
+    hits = d.select("rel_path").join(F.broadcast(patterns), F.contains("rel_path", "pattern")).groupBy("pattern").agg(N.alias("n"))
+    total = d.agg(N.alias("total"))
+    out = patterns.join(hits, "pattern", "left").join(F.broadcast(total)).withColumn("n", F.coalesce("n", F.lit(0)))
+    broad = F.col("n") > F.greatest(F.lit(20), F.floor(F.col("total") / 10))
+    return out.select("pattern", "n", F.when(F.col("n") == 0, "dead").when(broad, "broad").otherwise("fine").alias("verdict"))
+
+
+@query("ev_06", f"WITH {BM}, {TRUTH}, v AS (SELECT unnest([1, 3, 10]) AS k), rk AS (SELECT k, tr.query, min(rank) AS rank FROM tr CROSS JOIN v LEFT JOIN lex ON lex.query = tr.query AND lex.doc_id = tr.doc_id AND lex.rank <= k GROUP BY k, tr.query) SELECT CAST(k AS BIGINT) AS k, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 3) AS mrr FROM rk GROUP BY k")
+def ev_06(t):
+    all_ranks = ranks(t)
+    ks = F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 3, 10)])).alias("k")
+    return all_ranks.select("rank", ks).groupBy("k").agg(F.round(F.avg(F.when(F.col("rank") <= F.col("k"), 1.0 / F.col("rank")).otherwise(0.0)), 3).alias("mrr"))
+
+
+@query("ev_07", f"WITH {RUNS} SELECT query, CASE WHEN a.rank IS NOT NULL AND b.rank IS NULL THEN 'broken' WHEN a.rank IS NULL AND b.rank IS NOT NULL THEN 'fixed' WHEN b.rank > a.rank THEN 'worse' WHEN b.rank < a.rank THEN 'better' ELSE 'same' END AS change FROM a JOIN b USING (query)")
+def ev_07(t):
+    return ev.run_diff(*two_runs(t))
+
+
+@query("ev_08", "SELECT p_partkey, p_size || '/' || (p_size + 1) AS twin FROM part WHERE p_size % 2 = 0")
+def ev_08(t):
+    name = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("/"), (F.col("p_size") + 1).cast("string"))
+    return t.part.where("p_size % 2 = 0").select("p_partkey", F.regexp_extract(name, "([0-9]+/[0-9]+)", 1).alias("twin"))
+
+
+@query("ev_09", f"WITH {Q}, {FB}, s AS (SELECT q.id, fb.id AS f, verdict, unnest([q.id % 11, q.id % 13, q.id % 17, q.id % 19][1:3]) AS doc FROM q JOIN fb ON fb.query_id = q.id) SELECT id, doc, CAST(CASE verdict WHEN 'up' THEN 1 ELSE 0 END AS BIGINT) AS label FROM s")
+def ev_09(t):
+    rated = kb.questions(t.events).join(kb.feedback(t.events).select("query_id", "verdict"), F.col("id") == F.col("query_id"))
+    sources = F.array(*[F.col("id") % k for k in (11, 13, 17, 19)])
+    return rated.select("id", F.explode(F.slice(sources, 1, 3)).alias("doc"), (F.col("verdict") == "up").cast("long").alias("label"))
+
+
+@query("st_01", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'new' WHEN doc_id % 10 = 1 THEN 'changed' ELSE 'unchanged' END AS state FROM documents WHERE doc_id % 13 > 0 UNION ALL SELECT doc_id, 'deleted' FROM documents WHERE doc_id % 13 = 0 AND doc_id % 10 > 0")
+def st_01(t):
+    h = F.sha2("text", 256)
+    before = t.documents.where("doc_id % 10 > 0").select("doc_id", F.when(F.col("doc_id") % 10 == 1, F.lit("old")).otherwise(F.coalesce(h, F.lit(""))).alias("b"))
+    after = t.documents.where("doc_id % 13 > 0").select("doc_id", F.coalesce(h, F.lit("")).alias("a"))
+    state = F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "deleted").when(F.col("a") != F.col("b"), "changed").otherwise("unchanged")
+    return before.join(after, "doc_id", "full_outer").select("doc_id", state.alias("state"))
+
+
+@query("st_03", f"WITH {SNAP} SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN b.n > a.n THEN 'grew' ELSE 'shrank' END AS event FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR abs(a.n - b.n) >= 5")
+def st_03(t):
+    d = F.col("after") - F.col("before")
+    event = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(d >= 5, "grew").when(d <= -5, "shrank")
+    return snapshots(t).select("k", event.alias("event")).where("event IS NOT NULL")
+
+
+ISLANDS = "e AS (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS before, event_id FROM events {w}), g AS (SELECT user_id, us, sum(CASE WHEN before IS NULL OR us - before > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM e)"
+
+
+@query("st_04", f"WITH {ISLANDS.format(w=chr(32) + 'WHERE event_type = ' + chr(39) + 'error' + chr(39), gap=86400000000)} SELECT user_id, CAST(n AS BIGINT) AS n, count(*) AS reports, min(us) AS opened, max(us) AS last_seen FROM g GROUP BY user_id, n")
+def st_04(t):
+    return windows.islands(t.events.where("event_type = 'error'"), 86_400_000_000).groupBy("user_id", "n").agg(N.alias("reports"), F.min("us").alias("opened"), F.max("us").alias("last_seen"))
+
+
+@query("st_05", "SELECT user_id, max(epoch_us(ts)) < (SELECT max(epoch_us(ts)) FROM events) - 86400000000 AS silent FROM events GROUP BY user_id")
+def st_05(t):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    last = t.events.agg(F.max(us).alias("as_of"))
+    return t.events.groupBy("user_id").agg(F.max(us).alias("seen")).join(F.broadcast(last)).select("user_id", (F.col("seen") < F.col("as_of") - 86_400_000_000).alias("silent"))
+
+
+@query("st_07", "SELECT CAST(floor(epoch_us(ts) / 1800000000) AS BIGINT) AS slot, round(avg(value), 4) AS mean, count(*) AS n FROM events GROUP BY 1")
+def st_07(t):
+    slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_800_000_000).cast("long")
+    return t.events.groupBy(slot.alias("slot")).agg(F.round(F.avg("value"), 4).alias("mean"), N.alias("n"))
+
+
+@query("st_08", "SELECT epoch_us(date_trunc('hour', ts)) AS hour, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
+def st_08(t):
+    return windows.hourly(t.events).select(F.unix_micros("hour").alias("hour"), "event_type", "n", "total")
+
+
+@query("st_09", f"WITH {ISLANDS.format(w='', gap=900000000)} SELECT user_id, CAST(n AS BIGINT) AS n, count(*) AS events, min(us) AS started FROM g GROUP BY user_id, n")
+def st_09(t):
+    return windows.islands(t.events, 900_000_000).groupBy("user_id", "n").agg(N.alias("events"), F.min("us").alias("started"))
+
+
+@query("st_10", f"WITH {Q} SELECT id, CASE WHEN created_at < TIMESTAMP '2024-01-20' THEN NULL ELSE user_id END AS user_id FROM q WHERE created_at >= TIMESTAMP '2024-01-10'")
+def st_10(t):
+    kept = kb.questions(t.events).where("created_at >= TIMESTAMP_NTZ'2024-01-10'")
+    return kept.select("id", F.when(F.col("created_at") >= F.expr("TIMESTAMP_NTZ'2024-01-20'"), F.col("user_id")).alias("user_id"))
+
+
+@query("st_08_stream")
+def st_08_stream(t):
+    return windows.replayed_hourly(t.spark, f"{t.folder}/events.parquet", t.events.schema)

@@ -1 +1,103 @@
+"""GR and CL queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from granary.functions import text as tx
+from granary.operators import graph as gr
+from granary.plans import kb
+from granary.queries.registry import query
+from granary.queries.retrieval import PAIRS, similar
+from granary.queries.texts import STOP_SQL, TOKENS
+
+D = kb.LIBRARY_SQL
+N = F.count(F.lit(1))
+
+
+def lib(t):
+    return kb.library(t.documents)
+
+
+@query("gr_01", f"""WITH {D}, n AS (SELECT content_hash, count(*) AS n FROM d GROUP BY content_hash), s AS (SELECT section, dense_rank() OVER (ORDER BY count(*) DESC, section) AS colour FROM d GROUP BY section)
+SELECT id, n > 1 AS dup, id % 7 = 0 AS used, doc_type AS category, CAST(year(effective_date) AS BIGINT) AS year, colour FROM d JOIN n USING (content_hash) JOIN s USING (section)""")
+def gr_01(t):
+    d = lib(t)
+    copies = d.groupBy("content_hash").agg((N > 1).alias("dup"))
+    colours = d.groupBy("section").agg(N.alias("n")).select("section", F.dense_rank().over(Window.orderBy(F.desc("n"), "section")).cast("long").alias("colour"))
+    return d.join(copies, "content_hash").join(F.broadcast(colours), "section").select("id", "dup", (F.col("id") % 7 == 0).alias("used"), F.col("doc_type").alias("category"), F.year("effective_date").cast("long").alias("year"), "colour")
+
+
+CHAIN = f"{D}, f AS (SELECT brand, id, row_number() OVER (PARTITION BY brand ORDER BY id) AS r FROM d), ch AS (SELECT id AS a, lead(id) OVER (PARTITION BY brand ORDER BY id) AS b, 0.2::DOUBLE AS w FROM f WHERE r <= 60)"
+
+
+def chain(t):
+    return gr.chain_edges(lib(t).select("brand", "id"), "brand", "id")
+
+
+@query("gr_02", f"WITH {CHAIN} SELECT a, b, w FROM ch WHERE b IS NOT NULL")
+def gr_02(t):
+    return chain(t)
+
+
+@query("gr_03", f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS r FROM pr WHERE s >= 0.3) SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM r WHERE r <= 6")
+def gr_03(t):
+    r = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("s"), "y"))
+    return similar(t).where("s >= 0.3").withColumn("r", r).where("r <= 6").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+@query("gr_04", f"WITH {PAIRS} SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT x FROM pr WHERE s >= 0.3) AND vec_id NOT IN (SELECT y FROM pr WHERE s >= 0.3)")
+def gr_04(t):
+    ends = similar(t).where("s >= 0.3").select(F.explode(F.array("x", "y")).alias("vec_id")).distinct()
+    return t.embeddings.select("vec_id").join(ends, "vec_id", "left_anti")
+
+
+@query("gr_05", f"WITH {D} SELECT section, count(*) AS nodes, count(*) FILTER (status = 'ok') AS ok, count(DISTINCT brand) AS brands FROM d GROUP BY section")
+def gr_05(t):
+    return lib(t).groupBy("section").agg(N.alias("nodes"), F.count_if(F.col("status") == "ok").alias("ok"), F.countDistinct("brand").alias("brands"))
+
+
+@query("gr_06", f"WITH {CHAIN}, g AS (SELECT id, section AS g FROM d) SELECT least(x.g, y.g) AS ga, greatest(x.g, y.g) AS gb, count(*) AS n, max(w) AS w FROM ch JOIN g x ON x.id = a JOIN g y ON y.id = b WHERE x.g <> y.g GROUP BY 1, 2")
+def gr_06(t):
+    return gr.rolled_up(chain(t), lib(t).select(F.col("id").alias("node"), F.col("section").alias("g")))
+
+
+@query("gr_07", f"WITH {D} SELECT id, CASE WHEN status <> 'ok' THEN 'error' WHEN id % 11 = 0 THEN 'superseded' WHEN effective_date IS NULL THEN 'undated' WHEN id % 7 = 0 THEN 'used' ELSE 'idle' END AS state FROM d")
+def gr_07(t):
+    state = F.when(F.col("status") != "ok", "error").when(F.col("id") % 11 == 0, "superseded").when(F.col("effective_date").isNull(), "undated").when(F.col("id") % 7 == 0, "used").otherwise("idle")
+    return lib(t).select("id", state.alias("state"))
+
+
+@query("gr_08", f"WITH {D} SELECT id FROM d WHERE section = 'en' AND brand = 'src3' AND doc_type <> 'manual'")
+def gr_08(t):
+    return lib(t).where("section = 'en' AND brand = 'src3' AND doc_type <> 'manual'").select("id")
+
+
+QT = f"qt AS (SELECT id, w AS term FROM (SELECT DISTINCT item_id AS id, unnest({TOKENS}) AS w FROM benchmark) WHERE length(w) >= 3 AND w NOT IN {STOP_SQL})"
+SIM = f"{QT}, n AS (SELECT count(DISTINCT id) AS n FROM qt), wt AS (SELECT term, ln(n / (1 + count(*))) + 1 AS w FROM qt, n GROUP BY term, n), ow AS (SELECT id, term, w FROM qt JOIN wt USING (term)), tt AS (SELECT id, sum(w) AS total FROM ow GROUP BY id), sh AS (SELECT a.id AS a, b.id AS b, sum(a.w) AS shared FROM ow a JOIN ow b USING (term) WHERE a.id < b.id GROUP BY 1, 2), sm AS (SELECT a, b, round(shared / least(x.total, y.total), 6) AS sim FROM sh JOIN tt x ON x.id = a JOIN tt y ON y.id = b)"
+
+
+def pairs(t, least):
+    terms = t.benchmark.select(F.col("item_id").alias("id"), F.explode(tx.keywords(F.col("text"))).alias("term"))
+    return gr.question_pairs(terms, 0.0).withColumn("sim", F.round("sim", 6)).where(F.col("sim") >= least)
+
+
+@query("cl_01_pairs", f"WITH {SIM} SELECT a, b, sim FROM sm WHERE sim >= 0.12")
+def cl_01_pairs(t):
+    return pairs(t, 0.12)
+
+
+@query("cl_02", f"WITH RECURSIVE {SIM}, ed AS (SELECT a, b FROM sm WHERE sim >= 0.12 UNION SELECT b, a FROM sm WHERE sim >= 0.12), rc AS (SELECT a AS node, a AS reach FROM ed UNION SELECT rc.node, ed.b FROM rc JOIN ed ON ed.a = rc.reach) SELECT node, min(reach) AS label FROM rc GROUP BY node")
+def cl_02(t):
+    return gr.connected(pairs(t, 0.12).select("a", "b"))
+
+
+@query("cl_04", f"WITH {SIM.replace('qt AS', 'qt AS')}, r AS (SELECT id % 10 AS cluster, term, sum(w) AS weight, count(DISTINCT id) AS n, row_number() OVER (PARTITION BY id % 10 ORDER BY round(sum(w), 6) DESC, term) AS r FROM ow GROUP BY 1, 2) SELECT cluster, string_agg(term, ' ' ORDER BY r) AS top FROM r WHERE r <= 6 GROUP BY cluster")
+def cl_04(t):
+    terms = t.benchmark.select(F.col("item_id").alias("id"), F.explode(tx.keywords(F.col("text"))).alias("term"))
+    n = t.benchmark.agg(F.countDistinct("item_id").alias("n"))
+    df = terms.groupBy("term").agg(N.alias("df")).join(F.broadcast(n)).select("term", (F.ln(F.col("n") / (1 + F.col("df"))) + 1).alias("w"))
+    by = terms.join(df, "term").groupBy((F.col("id") % 10).alias("cluster"), "term").agg(F.round(F.sum("w"), 6).alias("weight"))
+    r = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("weight"), "term"))
+    return by.withColumn("r", r).where("r <= 6").groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), " ").alias("top"))

@@ -1 +1,88 @@
+"""SRC and SNK queries over stored pages and paths."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from granary.plans import kb
+from granary.queries.registry import query
+from granary.sources import html
+
+D = kb.LIBRARY_SQL
+N = F.count(F.lit(1))
+
+TAGS = ("script", "style", "nav", "footer", "header", "noscript")
+DROP_SQL = "|".join(f"<{x}[^>]*>.*?</{x}>" for x in TAGS)
+TEXT_SQL = rf"""array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?is){DROP_SQL}', ' ', 'g'), '(?s)<[^>]+>', E'\n', 'g'), '&nbsp;', ' ', 'g'), E'\n'), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: length(x) > 2), E'\n')"""
+
+
+@query("src_02", f"WITH {D} SELECT id, CASE WHEN text_chars < 60 THEN 'skip' WHEN id % 6 = 0 THEN 'table' WHEN id % 6 = 1 THEN 'asset' WHEN id % 6 = 2 THEN 'archive' ELSE 'text' END AS kind FROM d")
+def src_02(t):
+    ext = F.element_at(F.array(*[F.lit(x) for x in ("xlsx", "dwg", "zip", "txt", "pdf", "docx")]), (F.col("id") % 6 + 1).cast("int"))
+    return kb.library(t.documents).select("id", html.kind_of(F.concat(F.lit("f."), ext), F.col("text_chars"), least=60).alias("kind"))
+
+
+@query("src_03", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'drawing' WHEN 1 THEN 'video' WHEN 2 THEN 'image' ELSE 'other' END AS kind FROM part")
+def src_03(t):
+    ext = F.element_at(F.array(*[F.lit(x) for x in ("dwg", "mp4", "png", "xyz")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return t.part.select("p_partkey", html.asset_kind(ext).alias("kind"))
+
+
+@query("src_11", f"SELECT page_id, sha256({TEXT_SQL}) AS digest FROM pages")
+def src_11(t):
+    return t.pages.select("page_id", F.sha2(html.text_of(F.col("html")), 256).alias("digest"))
+
+
+@query("src_18", "SELECT o_orderkey, o_totalprice / (o_custkey + 1) <= 200 AS safe FROM orders")
+def src_18(t):
+    return t.orders.select("o_orderkey", html.safe_ratio(F.col("o_totalprice"), F.col("o_custkey") + 1).alias("safe"))
+
+
+@query("src_19", f"WITH {D}, n AS (SELECT brand, list(id ORDER BY id) AS ids FROM d GROUP BY brand) SELECT id, brand || ', ' || text_chars || ' characters, beside ' || array_to_string(list_filter(ids, lambda x: x <> id)[1:12], ' ') AS card FROM d JOIN n USING (brand) WHERE id < 300")
+def src_19(t):
+    d = kb.library(t.documents)
+    first = d.groupBy("brand").agg(F.slice(F.array_sort(F.collect_list("id")), 1, 13).alias("ids"))
+    beside = F.slice(F.filter("ids", lambda x: x != F.col("id")), 1, 12)
+    card = F.concat("brand", F.lit(", "), F.col("text_chars").cast("string"), F.lit(" characters, beside "), F.array_join(beside.cast("array<string>"), " "))
+    return d.where("id < 300").select("id", "brand", "text_chars").join(first, "brand").select("id", card.alias("card"))
+
+
+@query("src_23", r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def src_23(t):
+    return t.pages.select("page_id", html.title_of(F.col("html")).alias("title"))
+
+
+@query("src_24", r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)href="([^"]+)"', 1)) AS href FROM pages), a AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/]+)', 1) || href ELSE href END AS link FROM l WHERE starts_with(href, '/') OR starts_with(href, 'http'))
+SELECT DISTINCT page_id, split_part(split_part(link, '#', 1), '?', 1) AS link, regexp_extract(link, '^https?://([^/]+)', 1) = host AS same_host, regexp_matches(lower(split_part(split_part(link, '#', 1), '?', 1)), '\.pdf$') AS is_pdf FROM a""")
+def src_24(t):
+    return html.links(t.pages)
+
+
+@query("src_25", "SELECT s_suppkey, s_nationkey < 5 OR s_nationkey BETWEEN 10 AND 12 AS blocked FROM supplier")
+def src_25(t):
+    octet = F.when(F.col("s_nationkey") < 5, F.concat(F.lit("10.1.2."), F.col("s_nationkey").cast("string"))).when(F.col("s_nationkey").between(10, 12), F.concat(F.lit("192.168.0."), F.col("s_nationkey").cast("string"))).otherwise(F.concat(F.lit("93.184.216."), F.col("s_nationkey").cast("string")))
+    return t.supplier.select("s_suppkey", html.blocked(octet).alias("blocked"))
+
+
+@query("src_26", r"SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
+def src_26(t):
+    return t.pages.groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).agg(N.alias("n"))
+
+
+@query("src_29", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'view') AND contains(props, '7') ORDER BY ts DESC, event_id DESC LIMIT 200")
+def src_29(t):
+    logs = t.events.where("event_type = 'error'").unionByName(t.events.where("event_type = 'view'"))
+    return logs.where(F.contains("props", F.lit("7"))).orderBy(F.desc("ts"), F.desc("event_id")).limit(200).select("event_id", "event_type")
+
+
+@query("snk_03", "SELECT 'kb_calls_total{model=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type")
+def snk_03(t):
+    return t.events.groupBy("event_type").agg(N.alias("n")).select(F.concat(F.lit('kb_calls_total{model="'), "event_type", F.lit('"} '), F.col("n").cast("string")).alias("line"))
+
+
+@query("snk_04", f"WITH {D} SELECT 'error' AS category, rel_path FROM d WHERE status = 'error' UNION ALL SELECT 'undated', rel_path FROM d WHERE effective_date IS NULL UNION ALL SELECT 'copy', rel_path FROM d WHERE content_hash IN (SELECT content_hash FROM d GROUP BY 1 HAVING count(*) > 1)")
+def snk_04(t):
+    d = kb.library(t.documents)
+    twice = d.groupBy("content_hash").agg(N.alias("n")).where("n > 1").select("content_hash")
+    tag = lambda df, name: df.select(F.lit(name).alias("category"), "rel_path")
+    return tag(d.where("status = 'error'"), "error").unionByName(tag(d.where("effective_date IS NULL"), "undated")).unionByName(tag(d.join(twice, "content_hash", "left_semi"), "copy"))
