@@ -10,11 +10,11 @@ records of each anchor:
 1. Anchors that occur once in the corpus are dropped (a distributed count).
 2. Equal records are collapsed, with their number, before they are sent on.
 3. The different records of an anchor go together to one task, which builds the
-   Burrows-Wheeler transform of a collection of whole anchor groups column by
-   column: each round inserts one symbol of every record and updates the
-   transform and the common prefixes, both held in external files that are read
+   (positional) Burrows-Wheeler transform of a collection of whole anchor groups
+   column by column: each round inserts one symbol of every record and updates
+   the order and the common prefixes, both held in external files that are read
    and written in sequence.  A window with a common prefix of ``LENGTH`` with a
-   neighbour in the final order is a repeat.
+   neighbour in the order of its column is a repeat.
 4. An anchor with more than ``HOT`` different records (a common line amid ever
    different text) would be too large a group; the windows of its records are
    told apart by 128-bit digests, counted with map-side combination.
@@ -46,7 +46,7 @@ LENGTH = 200
 K = 64
 W = LENGTH - K + 1
 PART = 1 << 20
-CHUNK = 1 << 19
+CHUNK = 4 << 20
 HOT = 20_000
 BROADCAST_ROWS = 1_000_000
 POSITION = np.uint64((1 << 24) - 1)
@@ -65,12 +65,12 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def records(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, first window in the text, windows, anchor, content hash) of all records of the texts."""
+    """(text, first window in the text, windows, anchor, content hash, anchor's place) of all records of the texts."""
     prefix = tb.prefix_hashes(data)
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     at = np.arange(n - K + 1)
     kmers = tb.span_hashes(prefix, at, at + K)
     least = sliding_min((kmers & ~POSITION) | at.astype(np.uint64), W)
@@ -85,7 +85,7 @@ def records(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     windows = np.diff(np.append(first, len(start)))
     a = start[first]
     content = tb.span_hashes(prefix, a, a + windows + LENGTH - 1)
-    return text[first], a - offsets[text[first]], windows, kmers[anchor[first]].view(np.int64), content.view(np.int64)
+    return text[first], a - offsets[text[first]], windows, kmers[anchor[first]].view(np.int64), content.view(np.int64), anchor[first] - a
 
 
 def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
@@ -110,7 +110,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = tb.flat(batch.column(2))
         for o, i, shift in _parts(data, offsets):
-            text, a, windows, anchor, content = records(data[o[0] : o[-1]], o - o[0])
+            text, a, windows, anchor, content, place = records(data[o[0] : o[-1]], o - o[0])
             who = pa.array(text + i)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -120,107 +120,108 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(windows, pa.int32()),
                     pa.array(anchor, pa.int64()),
                     pa.array(content, pa.int64()),
+                    pa.array(place, pa.int32()),
                 ],
-                names=["doc_id", "th", "a", "windows", "anchor", "content"],
+                names=["doc_id", "th", "a", "windows", "anchor", "content", "place"],
             )
 
 
 class ExternalColumns:
-    """The transform and the common prefixes, each in a file of its own, rewritten in sequence every round."""
+    """The order of the suffixes and their common prefixes, each in a file of its own, rewritten in sequence every round."""
+
+    kinds = {"order": np.int32, "prefixes": np.uint8}
 
     def __init__(self) -> None:
         self.folder = tempfile.mkdtemp(prefix="bwt-")
-        self.paths = [os.path.join(self.folder, x) for x in ("symbols", "prefixes")]
+        self.files = [open(os.path.join(self.folder, name), "w+b", buffering=0) for name in self.kinds]
+        self.n = 0
 
     def write(self, *columns: np.ndarray) -> None:
-        for path, column in zip(self.paths, columns):
-            column.tofile(path)
+        """Replace both columns; files keep their room, ``n`` tells how much of it is in use."""
+        self.n = len(columns[0])
+        for file, column in zip(self.files, columns):
+            file.seek(0)
+            file.write(memoryview(np.ascontiguousarray(column)).cast("B") if self.n else b"")
 
     def read(self) -> list[np.ndarray]:
-        return [np.fromfile(path, np.uint8) for path in self.paths]
+        out = []
+        for file, kind in zip(self.files, self.kinds.values()):
+            file.seek(0)
+            out.append(np.frombuffer(file.read(self.n * np.dtype(kind).itemsize), kind))
+        return out
 
     def close(self) -> None:
+        for file in self.files:
+            file.close()
         shutil.rmtree(self.folder, ignore_errors=True)
 
 
 def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """min(values[lo:hi]) of each range (none empty).
+    """min(values[lo:hi]) of each range (none empty), the ranges of each symbol ascending and disjoint.
 
     ``reduceat`` also runs over what lies between one range and the next unless
     that is not ahead of it, so the ranges go from the last to the first.
     """
-    out = np.empty(len(lo), np.uint8)
-    if len(lo):
-        order = np.argsort(lo, kind="stable")[::-1]
-        ends = np.stack([lo[order], hi[order]], 1).ravel()
-        out[order] = np.minimum.reduceat(np.append(values, np.uint8(0)), ends)[::2]
-    return out
+    if not len(lo):
+        return np.zeros(0, np.uint8)
+    ends = np.stack([lo[::-1], hi[::-1]], 1).ravel()
+    return np.minimum.reduceat(np.append(values, np.uint8(0)), ends)[::2][::-1]
 
 
-def repeats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def repeats(data: np.ndarray, offsets: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     """For each byte of the records: whether a window that starts there stands elsewhere among them too.
 
-    Round t inserts the suffix of length t of every record that has one, and
-    the symbol before it.  The suffix c + S of a record goes where the symbols
-    before the sorted suffixes put it: after all suffixes that begin with a
-    smaller symbol and those c + S' with S' before S.  Its common prefix with
-    the suffix before it is one more than the least common prefix between S and
-    the nearest S' before it that c precedes.
+    The records stand aligned by their anchors (``anchors``: its place in each),
+    for equal windows have theirs at the same place.  So the transform is
+    positional: round by round, from the last column to the first, one symbol of
+    every record is put before its suffix, and the suffixes that start in the
+    new column are in the stable order of their new symbols.  The common prefix
+    of neighbours is one more than the least common prefix between their places
+    in the order before.  A record comes in with its last column and goes after
+    its first.
     """
-    n_records, sizes = len(offsets) - 1, np.diff(offsets)
+    sizes = np.diff(offsets)
+    out = np.zeros(len(data), dtype=bool)
+    if not len(sizes):
+        return out
     used = np.flatnonzero(np.bincount(data, minlength=256))
     rank = np.zeros(256, np.uint8)  # UTF-8 leaves 13 byte values unused, so 0 is free
     rank[used] = np.arange(1, len(used) + 1)
     symbols = rank[data]
-    columns = ExternalColumns()
+    column = offsets[:-1] + anchors
+    right, left = sizes - anchors, -anchors
+    by_end = np.argsort(-right, kind="stable").astype(np.int32)
+    ends = -right[by_end]
+    files = ExternalColumns()
     try:
-        record = np.arange(n_records)  # of the suffixes inserted last, in their order
-        place = record.copy()  # their places
-        columns.write(symbols[offsets[1:] - 1], np.zeros(n_records, np.uint8))
-        for t in range(1, int(sizes.max(initial=0)) + 1):
-            before, common = columns.read()
-            order = np.argsort(before, kind="stable")
-            new = np.zeros(len(before), dtype=bool)
-            new[place] = True
-            who = np.zeros(len(before), np.int32)
-            who[place] = record
-            ended = len(before) - int(np.count_nonzero(before))
-            j = np.flatnonzero(new[order[ended:]]) + ended
-            p = order[j]
-            c = before[p]
-            record, place = who[p].astype(np.int64), n_records + j - ended
-            q = order[j - 1]
-            has = before[q] == c
-            has[j == ended] = False
-            lcp = np.zeros(len(j), np.uint8)
-            lcp[has] = np.minimum(_least(common, q[has] + 1, p[has] + 1), LENGTH - 1) + 1
-            r = order[np.minimum(j + 1, len(order) - 1)]
-            follows = (before[r] == c) & (j + 1 < len(order))
-            lcp_after = np.minimum(_least(common, p[follows] + 1, r[follows] + 1), LENGTH - 1) + 1
-            kept = np.ones(len(before) + len(j), dtype=bool)
-            kept[place] = False
-            now, prefixes = np.empty(len(kept), np.uint8), np.empty(len(kept), np.uint8)
-            now[kept], prefixes[kept] = before, common
-            at = offsets[record + 1] - t - 1  # of the symbol before the suffix
-            now[place] = np.where(at >= offsets[record], symbols[np.maximum(at, 0)], 0)
-            prefixes[place] = lcp
-            prefixes[place[follows] + 1] = lcp_after
-            columns.write(now, prefixes)
-        before, common = columns.read()
+        files.write(np.zeros(0, np.int32), np.zeros(0, np.uint8))
+        come = 0
+        for j in range(int(right.max()) - 1, int(left.min()) - 1, -1):
+            order, common = files.read()
+            until = int(np.searchsorted(ends, -j, side="left"))  # those that end right after column j
+            if until > come:
+                order = np.concatenate([by_end[come:until], order])
+                common = np.concatenate([np.zeros(until - come, np.uint8), common])
+                come = until
+            place = column[order] + j
+            symbol = np.where(left[order] <= j, symbols[np.maximum(place, 0)], 0).astype(np.uint8)
+            moved = np.argsort(symbol, kind="stable")
+            gone = len(symbol) - int(np.count_nonzero(symbol))
+            p = moved[gone:]
+            c = symbol[p]
+            same = np.zeros(len(p), dtype=bool)
+            same[1:] = c[1:] == c[:-1]
+            at = np.flatnonzero(same)
+            now = np.zeros(len(p), np.uint8)
+            now[at] = np.minimum(_least(common, p[at - 1] + 1, p[at] + 1), LENGTH - 1) + 1
+            order = order[p]
+            files.write(order, now)
+            start = anchors[order] + j
+            window = sizes[order] - start >= LENGTH
+            shared = np.maximum(now, np.append(now[1:], np.uint8(0))) >= LENGTH
+            out[(offsets[order] + start)[window]] = shared[window]
     finally:
-        columns.close()
-    out = np.zeros(len(data), dtype=bool)
-    order = np.argsort(before, kind="stable")
-    ended = len(before) - int(np.count_nonzero(before))
-    longer = np.zeros(len(before), np.int64)  # the place of the suffix with one symbol more
-    longer[order[ended:]] = n_records + np.arange(len(before) - ended)
-    shared = np.maximum(common, np.append(common[1:], np.uint8(0))) >= LENGTH
-    record, place = np.arange(n_records), np.arange(n_records)
-    for t in range(1, int(sizes.max(initial=0)) + 1):
-        alive = sizes[record] >= t
-        record, place = record[alive], longer[place[alive]]
-        if t >= LENGTH:
-            out[offsets[record + 1] - t] = shared[place]
+        files.close()
     return out
 
 
@@ -233,7 +234,7 @@ def _transformed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.frombuffer(bytes_.buffers()[1], np.int64)[bytes_.offset : bytes_.offset + len(bytes_) + 1]
         data = np.frombuffer(bytes_.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
-        again = repeats(data, offsets)
+        again = repeats(data, offsets, np.asarray(table.column("place").combine_chunks()).astype(np.int64))
         many = np.asarray(table.column("n").combine_chunks()) > 1
         masks = []
         for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
@@ -258,7 +259,7 @@ def _transformed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, content, n, d, bytes) of texts with their lists of records."""
+    """(anchor, content, n, d, place, bytes) of texts with their lists of records."""
     for batch in batches:
         data, offsets = tb.flat(batch.column(0))
         lists = batch.column(1)
@@ -268,8 +269,8 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = a + np.asarray(flat.field("windows")) + LENGTH - 1
         raw = data.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [flat.field(x) for x in ("anchor", "content", "n", "d")] + [pa.array([raw[x:y] for x, y in zip(a, b)], pa.binary())],
-            names=["anchor", "content", "n", "d", "bytes"],
+            [flat.field(x) for x in ("anchor", "content", "n", "d", "place")] + [pa.array([raw[x:y] for x, y in zip(a, b)], pa.binary())],
+            names=["anchor", "content", "n", "d", "place", "bytes"],
         )
 
 
@@ -330,10 +331,10 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFr
         long.select("text").mapInArrow(_anchors, "anchor long")
         .groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     )
-    schema = "doc_id long, th long, a long, windows int, anchor long, content long"
+    schema = "doc_id long, th long, a long, windows int, anchor long, content long, place int"
     found = cut(long.mapInArrow(_records, schema).join(often, "anchor"), "records")
     different = found.groupBy("anchor", "content").agg(
-        F.count(F.lit(1)).alias("n"), F.any_value("windows").alias("windows"), F.min(F.struct("doc_id", "th", "a")).alias("at")
+        F.count(F.lit(1)).alias("n"), F.any_value("windows").alias("windows"), F.any_value("place").alias("place"), F.min(F.struct("doc_id", "th", "a")).alias("at")
     )
     different = cut(different, "different")
     groups = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("d"))
@@ -343,7 +344,7 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFr
     wanted = cut(
         sized.where("d > 1")
         .groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"))
-        .agg(F.collect_list(F.struct(F.col("at.a").alias("a"), "windows", "anchor", "content", "n", "d")).alias("list")),
+        .agg(F.collect_list(F.struct(F.col("at.a").alias("a"), "windows", "anchor", "content", "place", "n", "d")).alias("list")),
         "wanted",
     )
     some = (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("th") == F.col("__th"))
@@ -351,7 +352,7 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFr
     parts = (
         _near(long, wanted).dropDuplicates(["doc_id", "th"]).join(listed, some)
         .select("text", "list")
-        .mapInArrow(_sliced, "anchor long, content long, n long, d long, bytes binary")
+        .mapInArrow(_sliced, "anchor long, content long, n long, d long, place int, bytes binary")
     )
     masks = full
     columns = ["anchor", "content", "n", "bytes"]
@@ -364,7 +365,7 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFr
         masks = masks.unionByName(_masked(windows.join(twice, "digest").select("anchor", "content", "w")))
         parts = parts.where(F.col("d") <= hot)
     transformed = (
-        parts.select(columns).repartition("anchor").sortWithinPartitions("anchor")
+        parts.select(*columns, "place").repartition("anchor").sortWithinPartitions("anchor")
         .mapInArrow(_transformed, "anchor long, content long, mask binary")
     )
     masks = masks.unionByName(transformed)
