@@ -40,7 +40,7 @@ NEAR = {
     "phone": "phone|call|tel|mobile|fax|contact",
     "iban": "iban|bank|account|konto|compte|cuenta",
 }
-AGAINST = "version|example|sample|dummy"
+AGAINST = {"email": "dummy", "ip": "version|release|build", "card": "dummy|sample", "phone": "dummy", "iban": "dummy|sample"}
 REACH = 40
 SPAN = "struct<s:int,r:int,e:int,k:string,c:double>"
 
@@ -127,7 +127,7 @@ def score(kind: str, text: Column, x: Column) -> Column:
         lambda c: F.round(
             F.lit(SCORES[kind])
             + F.when(c.rlike(NEAR[kind]), 0.2).otherwise(0.0)
-            - F.when(c.rlike(AGAINST), 0.3).otherwise(0.0),
+            - F.when(c.rlike(AGAINST[kind]), 0.3).otherwise(0.0),
             2,
         ),
     )
@@ -176,7 +176,7 @@ def find(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def redact(docs: DataFrame, least: float = 0.25) -> DataFrame:
     """``docs`` with every span of score ``least`` or more replaced by its kind in brackets."""
     cols = docs.columns
 
