@@ -131,10 +131,10 @@ def st_05(t):
     return t.events.groupBy("user_id").agg(F.max(us).alias("seen")).join(F.broadcast(last)).select("user_id", (F.col("seen") < F.col("as_of") - 86_400_000_000).alias("silent"))
 
 
-@query("st_07", "SELECT CAST(floor(epoch_us(ts) / 1800000000) AS BIGINT) AS slot, round(avg(value), 4) AS mean, count(*) AS n FROM events GROUP BY 1")
+@query("st_07", "SELECT CAST(floor(epoch_us(ts) / 1800000000) AS BIGINT) AS slot, round(sum(value), 2) AS total, count(*) AS n FROM events GROUP BY 1")
 def st_07(t):
     slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_800_000_000).cast("long")
-    return t.events.groupBy(slot.alias("slot")).agg(F.round(F.avg("value"), 4).alias("mean"), N.alias("n"))
+    return t.events.groupBy(slot.alias("slot")).agg(F.round(F.sum("value"), 2).alias("total"), N.alias("n"))
 
 
 @query("st_08", "SELECT epoch_us(date_trunc('hour', ts)) AS hour, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
