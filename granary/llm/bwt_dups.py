@@ -332,12 +332,14 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFr
         .groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     )
     schema = "doc_id long, th long, a long, windows int, anchor long, content long, place int"
+    # written first: a join of plain exchanges is one whose large partitions can be split
+    often = cut(often, "often")
     found = cut(long.mapInArrow(_records, schema).join(often, "anchor"), "records")
     different = found.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("n"), F.any_value("windows").alias("windows"), F.any_value("place").alias("place"), F.min(F.struct("doc_id", "th", "a")).alias("at")
     )
     different = cut(different, "different")
-    groups = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("d"))
+    groups = cut(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")), "groups")
     sized = different.join(groups, "anchor")
     # one content only: all its places are copies
     full = sized.where("d = 1 AND n > 1").select("anchor", "content", F.lit(b"\xff" * (-(-W // 8))).alias("mask"))

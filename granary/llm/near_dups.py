@@ -259,7 +259,8 @@ def classes(docs: DataFrame) -> DataFrame:
     by_key = copies.join(linked, "key", "left").select(
         "key", F.coalesce("class_id", "least_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
-    return keyed.join(by_key, "key").select("doc_id", "key", "class_id", "n_links")
+    # written first: a join of plain exchanges is one whose large partitions can be split
+    return keyed.join(cut(by_key, "by_key"), "key").select("doc_id", "key", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
