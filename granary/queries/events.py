@@ -13,7 +13,7 @@ from granary.queries.retrieval import BM, lexical
 from granary.streaming import windows
 
 Q, FB, D = kb.QUESTIONS_SQL, kb.FEEDBACK_SQL, kb.LIBRARY_SQL
-N = F.count(F.lit(1))
+N = lambda: F.count(F.lit(1))
 
 TRUTH = "tr AS (SELECT item_id AS query, doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))"
 
@@ -68,8 +68,8 @@ def ev_04(t):
 def ev_05(t):
     d = kb.library(t.documents)
     patterns = t.spark.createDataFrame([("src1/",), ("src",), ("nothing here",), ("/de/",)], "pattern string")  # a stated list
-    hits = d.select("rel_path").join(F.broadcast(patterns), F.contains("rel_path", "pattern")).groupBy("pattern").agg(N.alias("n"))
-    total = d.agg(N.alias("total"))
+    hits = d.select("rel_path").join(F.broadcast(patterns), F.contains("rel_path", "pattern")).groupBy("pattern").agg(N().alias("n"))
+    total = d.agg(N().alias("total"))
     out = patterns.join(hits, "pattern", "left").join(F.broadcast(total)).withColumn("n", F.coalesce("n", F.lit(0)))
     broad = F.col("n") > F.greatest(F.lit(20), F.floor(F.col("total") / 10))
     return out.select("pattern", "n", F.when(F.col("n") == 0, "dead").when(broad, "broad").otherwise("fine").alias("verdict"))
@@ -121,7 +121,7 @@ ISLANDS = "e AS (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PAR
 
 @query("st_04", f"WITH {ISLANDS.format(w=chr(32) + 'WHERE event_type = ' + chr(39) + 'error' + chr(39), gap=86400000000)} SELECT user_id, CAST(n AS BIGINT) AS n, count(*) AS reports, min(us) AS opened, max(us) AS last_seen FROM g GROUP BY user_id, n")
 def st_04(t):
-    return windows.islands(t.events.where("event_type = 'error'"), 86_400_000_000).groupBy("user_id", "n").agg(N.alias("reports"), F.min("us").alias("opened"), F.max("us").alias("last_seen"))
+    return windows.islands(t.events.where("event_type = 'error'"), 86_400_000_000).groupBy("user_id", "n").agg(N().alias("reports"), F.min("us").alias("opened"), F.max("us").alias("last_seen"))
 
 
 @query("st_05", "SELECT user_id, max(epoch_us(ts)) < (SELECT max(epoch_us(ts)) FROM events) - 86400000000 AS silent FROM events GROUP BY user_id")
@@ -134,7 +134,7 @@ def st_05(t):
 @query("st_07", "SELECT CAST(floor(epoch_us(ts) / 1800000000) AS BIGINT) AS slot, round(sum(value), 2) AS total, count(*) AS n FROM events GROUP BY 1")
 def st_07(t):
     slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_800_000_000).cast("long")
-    return t.events.groupBy(slot.alias("slot")).agg(F.round(F.sum("value"), 2).alias("total"), N.alias("n"))
+    return t.events.groupBy(slot.alias("slot")).agg(F.round(F.sum("value"), 2).alias("total"), N().alias("n"))
 
 
 @query("st_08", "SELECT epoch_us(date_trunc('hour', ts)) AS hour, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
@@ -144,7 +144,7 @@ def st_08(t):
 
 @query("st_09", f"WITH {ISLANDS.format(w='', gap=900000000)} SELECT user_id, CAST(n AS BIGINT) AS n, count(*) AS events, min(us) AS started FROM g GROUP BY user_id, n")
 def st_09(t):
-    return windows.islands(t.events, 900_000_000).groupBy("user_id", "n").agg(N.alias("events"), F.min("us").alias("started"))
+    return windows.islands(t.events, 900_000_000).groupBy("user_id", "n").agg(N().alias("events"), F.min("us").alias("started"))
 
 
 @query("st_10", f"WITH {Q} SELECT id, CASE WHEN created_at < TIMESTAMP '2024-01-20' THEN NULL ELSE user_id END AS user_id FROM q WHERE created_at >= TIMESTAMP '2024-01-10'")

@@ -13,7 +13,7 @@ from granary.queries.retrieval import PAIRS, similar
 from granary.queries.texts import STOP_SQL, TOKENS
 
 D = kb.LIBRARY_SQL
-N = F.count(F.lit(1))
+N = lambda: F.count(F.lit(1))
 
 
 def lib(t):
@@ -24,8 +24,8 @@ def lib(t):
 SELECT id, n > 1 AS dup, id % 7 = 0 AS used, doc_type AS category, CAST(year(effective_date) AS BIGINT) AS year, colour FROM d JOIN n USING (content_hash) JOIN s USING (section)""")
 def gr_01(t):
     d = lib(t)
-    copies = d.groupBy("content_hash").agg((N > 1).alias("dup"))
-    colours = d.groupBy("section").agg(N.alias("n")).select("section", F.dense_rank().over(Window.orderBy(F.desc("n"), "section")).cast("long").alias("colour"))
+    copies = d.groupBy("content_hash").agg((N() > 1).alias("dup"))
+    colours = d.groupBy("section").agg(N().alias("n")).select("section", F.dense_rank().over(Window.orderBy(F.desc("n"), "section")).cast("long").alias("colour"))
     return d.join(copies, "content_hash").join(F.broadcast(colours), "section").select("id", "dup", (F.col("id") % 7 == 0).alias("used"), F.col("doc_type").alias("category"), F.year("effective_date").cast("long").alias("year"), "colour")
 
 
@@ -55,7 +55,7 @@ def gr_04(t):
 
 @query("gr_05", f"WITH {D} SELECT section, count(*) AS nodes, count(*) FILTER (status = 'ok') AS ok, count(DISTINCT brand) AS brands FROM d GROUP BY section")
 def gr_05(t):
-    return lib(t).groupBy("section").agg(N.alias("nodes"), F.count_if(F.col("status") == "ok").alias("ok"), F.countDistinct("brand").alias("brands"))
+    return lib(t).groupBy("section").agg(N().alias("nodes"), F.count_if(F.col("status") == "ok").alias("ok"), F.countDistinct("brand").alias("brands"))
 
 
 @query("gr_06", f"WITH {CHAIN}, g AS (SELECT id, section AS g FROM d) SELECT least(x.g, y.g) AS ga, greatest(x.g, y.g) AS gb, count(*) AS n, max(w) AS w FROM ch JOIN g x ON x.id = a JOIN g y ON y.id = b WHERE x.g <> y.g GROUP BY 1, 2")
@@ -97,7 +97,7 @@ def cl_02(t):
 def cl_04(t):
     terms = t.benchmark.select(F.col("item_id").alias("id"), F.explode(tx.keywords(F.col("text"))).alias("term"))
     n = t.benchmark.agg(F.countDistinct("item_id").alias("n"))
-    df = terms.groupBy("term").agg(N.alias("df")).join(F.broadcast(n)).select("term", (F.ln(F.col("n") / (1 + F.col("df"))) + 1).alias("w"))
+    df = terms.groupBy("term").agg(N().alias("df")).join(F.broadcast(n)).select("term", (F.ln(F.col("n") / (1 + F.col("df"))) + 1).alias("w"))
     by = terms.join(df, "term").groupBy((F.col("id") % 10).alias("cluster"), "term").agg(F.round(F.sum("w"), 6).alias("weight"))
     r = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("weight"), "term"))
     return by.withColumn("r", r).where("r <= 6").groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), " ").alias("top"))

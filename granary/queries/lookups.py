@@ -11,7 +11,7 @@ from granary.plans import kb
 from granary.queries.registry import query
 
 Q, FB, D = kb.QUESTIONS_SQL, kb.FEEDBACK_SQL, kb.LIBRARY_SQL
-N = F.count(F.lit(1))
+N = lambda: F.count(F.lit(1))
 
 
 def q(t):
@@ -188,7 +188,7 @@ def jn_05(t):
 
 @query("jn_06", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS last FROM customer")
 def jn_06(t):
-    counts = t.orders.groupBy("o_custkey").agg(N.alias("n"), F.max("o_orderkey").alias("last"))
+    counts = t.orders.groupBy("o_custkey").agg(N().alias("n"), F.max("o_orderkey").alias("last"))
     return t.customer.join(counts, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), "last")
 
 
@@ -219,8 +219,8 @@ SNAP = "a AS (SELECT source AS k, count(*) AS n FROM documents WHERE doc_id % 3
 
 
 def snapshots(t):
-    before = t.documents.where("doc_id % 3 > 0 AND source <> 'src3'").groupBy(F.col("source").alias("k")).agg(N.alias("before"))
-    after = t.documents.where("doc_id % 4 > 0 AND source <> 'src5'").groupBy(F.col("source").alias("k")).agg(N.alias("after"))
+    before = t.documents.where("doc_id % 3 > 0 AND source <> 'src3'").groupBy(F.col("source").alias("k")).agg(N().alias("before"))
+    after = t.documents.where("doc_id % 4 > 0 AND source <> 'src5'").groupBy(F.col("source").alias("k")).agg(N().alias("after"))
     return before.join(after, "k", "full_outer")
 
 
@@ -243,7 +243,7 @@ def jn_12(t):
 @query("jn_14", f"WITH {D}, p AS (SELECT unnest(['SRC1/', '/fr/', 'doc_77']) AS pattern) SELECT pattern, count(d.id) AS n FROM p LEFT JOIN d ON contains(lower(rel_path), lower(pattern)) GROUP BY pattern")
 def jn_14(t):
     patterns = t.spark.createDataFrame([("SRC1/",), ("/fr/",), ("doc_77",)], "pattern string")  # a stated list
-    hits = lib(t).select("id", F.lower("rel_path").alias("path")).join(F.broadcast(patterns), F.contains("path", F.lower("pattern"))).groupBy("pattern").agg(N.alias("n"))
+    hits = lib(t).select("id", F.lower("rel_path").alias("path")).join(F.broadcast(patterns), F.contains("path", F.lower("pattern"))).groupBy("pattern").agg(N().alias("n"))
     return patterns.join(hits, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -251,7 +251,7 @@ def jn_14(t):
 def jn_15(t):
     recent = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).orderBy(F.desc("c_custkey")).limit(2000)  # the recent 2,000: the operator's window
     asked = recent.select(F.lower(F.concat("c_name", F.lit(" from "), "n_name")).alias("question"))
-    return asked.join(F.broadcast(t.nation.select(F.col("n_name").alias("brand"))), F.contains("question", F.lower("brand"))).groupBy("brand").agg(N.alias("n"))
+    return asked.join(F.broadcast(t.nation.select(F.col("n_name").alias("brand"))), F.contains("question", F.lower("brand"))).groupBy("brand").agg(N().alias("n"))
 
 
 @query("jn_16", "SELECT p_partkey, array_to_string(list_sort(list_intersect(list_distinct(string_split(p_name, ' ')), ['red', 'small', 'ring'])), ',') AS known FROM part WHERE len(list_intersect(string_split(p_name, ' '), ['red', 'small', 'ring'])) > 0")

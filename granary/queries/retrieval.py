@@ -12,7 +12,7 @@ from granary.plans import kb
 from granary.queries.registry import query
 from granary.queries.texts import STOP_SQL, TOKENS
 
-N = F.count(F.lit(1))
+N = lambda: F.count(F.lit(1))
 AS_OF = "2025-01-01"
 
 TERMS_SQL = f"qt AS (SELECT DISTINCT item_id AS query, unnest({TOKENS}) AS term FROM benchmark), qs AS (SELECT * FROM qt WHERE length(term) > 2 AND term NOT IN {STOP_SQL})"
@@ -135,7 +135,7 @@ def ret_06(t):
 @query("ret_08", rf"WITH t AS (SELECT DISTINCT unnest({TOKENS}) AS term FROM benchmark), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents WHERE doc_id < 300) GROUP BY term) SELECT term, round(coalesce(ln((1 + 300) / (1 + df)) + 1, CASE WHEN regexp_matches(term, '[0-9]') AND regexp_matches(term, '\p{{L}}') THEN 4.2 WHEN length(term) > 9 THEN 3.45 ELSE 3.0 END), 6) AS weight FROM t LEFT JOIN df USING (term)")
 def ret_08(t):
     asked_terms = t.benchmark.select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
-    df = t.documents.where("doc_id < 300").select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).groupBy("term").agg(N.alias("df"))
+    df = t.documents.where("doc_id < 300").select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).groupBy("term").agg(N().alias("df"))
     idf = F.ln(F.lit(301.0) / (1 + F.col("df"))) + 1
     return asked_terms.join(df, "term", "left").select("term", F.round(rt.term_weight(F.col("term"), idf), 6).alias("weight"))
 
@@ -199,8 +199,8 @@ def ret_15(t):
 
 @query("agg_30", rf"WITH t AS (SELECT DISTINCT doc_id, unnest({TOKENS}) AS term FROM documents) SELECT term, count(*) AS df, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1, 6) AS idf FROM t GROUP BY term HAVING count(*) > 5")
 def agg_30(t):
-    df = t.documents.select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).groupBy("term").agg(N.alias("df")).where("df > 5")
-    n = t.documents.agg(N.alias("n"))
+    df = t.documents.select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).groupBy("term").agg(N().alias("df")).where("df > 5")
+    n = t.documents.agg(N().alias("n"))
     return df.join(F.broadcast(n)).select("term", "df", F.round(F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1, 6).alias("idf"))
 
 
@@ -208,7 +208,7 @@ def agg_30(t):
 v AS (SELECT term, count(*) AS df, any_value(n) AS n FROM tf, n GROUP BY term HAVING (count(*) >= 2 OR regexp_matches(term, '[0-9]')) AND count(*) < 0.6::DOUBLE * any_value(n) ORDER BY df DESC, term LIMIT 60000),
 w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN v USING (term)) SELECT doc_id, count(*) AS terms, round(max(w) / sqrt(sum(w * w)), 5) AS top, round(sum(w) / sqrt(sum(w * w)), 4) AS total FROM w GROUP BY doc_id""")
 def vec_02(t):
-    return rt.tf_idf(t.documents).groupBy("doc_id").agg(N.alias("terms"), F.round(F.max("weight"), 5).alias("top"), F.round(F.sum("weight"), 4).alias("total"))
+    return rt.tf_idf(t.documents).groupBy("doc_id").agg(N().alias("terms"), F.round(F.max("weight"), 5).alias("top"), F.round(F.sum("weight"), 4).alias("total"))
 
 
 @query("vec_05", "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)")

@@ -9,7 +9,7 @@ from granary.queries.registry import query
 from granary.sources import html
 
 D = kb.LIBRARY_SQL
-N = F.count(F.lit(1))
+N = lambda: F.count(F.lit(1))
 
 TAGS = ("script", "style", "nav", "footer", "header", "noscript")
 DROP_SQL = "|".join(f"<{x}[^>]*>.*?</{x}>" for x in TAGS)
@@ -66,7 +66,7 @@ def src_25(t):
 
 @query("src_26", r"SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
 def src_26(t):
-    return t.pages.groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).agg(N.alias("n"))
+    return t.pages.groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).agg(N().alias("n"))
 
 
 @query("src_29", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'view') AND contains(props, '7') ORDER BY ts DESC, event_id DESC LIMIT 200")
@@ -77,12 +77,12 @@ def src_29(t):
 
 @query("snk_03", "SELECT 'kb_calls_total{model=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type")
 def snk_03(t):
-    return t.events.groupBy("event_type").agg(N.alias("n")).select(F.concat(F.lit('kb_calls_total{model="'), "event_type", F.lit('"} '), F.col("n").cast("string")).alias("line"))
+    return t.events.groupBy("event_type").agg(N().alias("n")).select(F.concat(F.lit('kb_calls_total{model="'), "event_type", F.lit('"} '), F.col("n").cast("string")).alias("line"))
 
 
 @query("snk_04", f"WITH {D} SELECT 'error' AS category, rel_path FROM d WHERE status = 'error' UNION ALL SELECT 'undated', rel_path FROM d WHERE effective_date IS NULL UNION ALL SELECT 'copy', rel_path FROM d WHERE content_hash IN (SELECT content_hash FROM d GROUP BY 1 HAVING count(*) > 1)")
 def snk_04(t):
     d = kb.library(t.documents)
-    twice = d.groupBy("content_hash").agg(N.alias("n")).where("n > 1").select("content_hash")
+    twice = d.groupBy("content_hash").agg(N().alias("n")).where("n > 1").select("content_hash")
     tag = lambda df, name: df.select(F.lit(name).alias("category"), "rel_path")
     return tag(d.where("status = 'error'"), "error").unionByName(tag(d.where("effective_date IS NULL"), "undated")).unionByName(tag(d.join(twice, "content_hash", "left_semi"), "copy"))

@@ -10,7 +10,7 @@ from granary.plans import kb
 from granary.queries.registry import query
 
 D = kb.LIBRARY_SQL
-N = F.count(F.lit(1))
+N = lambda: F.count(F.lit(1))
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 STOP_SQL = "(" + ", ".join(f"'{x}'" for x in tx.STOP) + ")"
 CANON_SQL = r'''regexp_replace(regexp_replace(translate(t, 'ёЁ³²¹Øø∅×–—−«»°', 'еЕ321dddx---""'), '(\d),(\d)', '\1.\2', 'g'), '(м3)\s*(/|в)\s*(час|ч)', 'м3/ч', 'gi')'''
@@ -50,7 +50,7 @@ def stride_chunks(t):
 
 @query("txt_07", "WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 1200)) AS a FROM documents WHERE text IS NOT NULL) SELECT doc_id, count(*) AS kept FROM s WHERE length(substr(text, CAST(a + 1 AS BIGINT), 1400)) >= 120 GROUP BY doc_id")
 def txt_07(t):
-    return stride_chunks(t).where(F.length("chunk") >= 120).groupBy("doc_id").agg(N.alias("kept"))
+    return stride_chunks(t).where(F.length("chunk") >= 120).groupBy("doc_id").agg(N().alias("kept"))
 
 
 @query("txt_08", f"WITH {D} SELECT id, concat_ws(', ', brand, doc_type, '«' || section || '»', CASE WHEN effective_date IS NOT NULL THEN 'of ' || effective_date END) AS context FROM d")
@@ -93,7 +93,7 @@ def txt_14(t):
 @query("txt_16", rf"""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\-./]+')) AS term FROM documents) SELECT term, count(*) AS n FROM t WHERE term NOT IN {STOP_SQL} GROUP BY term HAVING count(*) > 20""")
 def txt_16(t):
     terms = t.documents.select(F.explode(tx.tokens(F.col("text"), r"[\p{L}\p{N}][\p{L}\p{N}\-./]+")).alias("term"))
-    return terms.where(~F.col("term").isin(*tx.STOP)).groupBy("term").agg(N.alias("n")).where("n > 20")
+    return terms.where(~F.col("term").isin(*tx.STOP)).groupBy("term").agg(N().alias("n")).where("n > 20")
 
 
 @query("txt_17", rf"""WITH t AS (SELECT doc_id, trim(unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\-./]*')), '-./') AS term FROM documents) SELECT doc_id, count(*) AS n, count(DISTINCT term) AS terms FROM t WHERE length(term) >= 2 AND term NOT IN {STOP_SQL} GROUP BY doc_id""")
@@ -157,7 +157,7 @@ def txt_26(t):
 @query("txt_27_budget", "WITH r AS (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents) SELECT source, count(*) AS fits FROM r WHERE used <= 12000 GROUP BY source")
 def txt_27_budget(t):
     used = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id"))
-    return t.documents.select("source", "doc_id", used.alias("used")).where("used <= 12000").groupBy("source").agg(N.alias("fits"))
+    return t.documents.select("source", "doc_id", used.alias("used")).where("used <= 12000").groupBy("source").agg(N().alias("fits"))
 
 
 @query("txt_28", r"SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_retailprice WHEN 1 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS price FROM part")
