@@ -99,7 +99,7 @@ def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tb.tidy(batches):
         data, offsets = tb.flat(batch.column(0))
         for o, _, _ in _parts(data, offsets):
             anchor = records(data[o[0] : o[-1]], o - o[0])[3]
@@ -107,7 +107,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tb.tidy(batches):
         data, offsets = tb.flat(batch.column(2))
         for o, i, shift in _parts(data, offsets):
             text, a, windows, anchor, content, place = records(data[o[0] : o[-1]], o - o[0])
@@ -260,7 +260,7 @@ def _transformed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, content, n, d, place, bytes) of texts with their lists of records."""
-    for batch in batches:
+    for batch in tb.tidy(batches):
         data, offsets = tb.flat(batch.column(0))
         lists = batch.column(1)
         flat = lists.flatten()
@@ -276,7 +276,7 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, content, window, 128-bit digest, n) of every window of records (anchor, content, n, bytes)."""
-    for batch in batches:
+    for batch in tb.tidy(batches):
         anchor, content, n = (np.asarray(batch.column(k)) for k in range(3))
         rows = [
             (k, w, hashlib.blake2b(x[w : w + LENGTH], digest_size=16).digest())
@@ -300,7 +300,7 @@ def _masked(windows: DataFrame) -> DataFrame:
     """(anchor, content, mask) from (anchor, content, w): a record has at most W windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.tidy(batches):
             masks = []
             for ws in batch.column(2).to_pylist():
                 bits = np.zeros(W, np.uint8)
@@ -392,7 +392,7 @@ def _covered(size: int, hits: list[dict]) -> np.ndarray:
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_bytes, removed spans, remaining bytes) of texts with repeats."""
-    for batch in batches:
+    for batch in tb.tidy(batches):
         data, offsets = tb.flat(batch.column(1))
         spans, kept = [], []
         for k, hits in enumerate(batch.column(2).to_pylist()):

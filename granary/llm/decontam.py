@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays over shards of the documents.
 
-A shard is a few megabytes of whole texts.  Its suffix array holds every word
+A shard is about two megabytes of whole texts.  Its suffix array holds every word
 position from which a window could begin (all its words are benchmark words,
 and its first two stand together in a window), sorted by their next ``WINDOW``
 words.  Every window of every test suffix is searched in it by bisection, which
@@ -31,7 +31,7 @@ from granary.llm.scratch import cut
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 # words "[^\x00-\x2F\x3A-\x60\x7B-\x7F]+" of texts with A-Z lower-cased
 SEPARATOR = np.ones(256, dtype=bool)
@@ -171,7 +171,7 @@ def _pass(frame: DataFrame, shared, first: bool, last: bool) -> DataFrame:
     """One block's matches, joined to those of the blocks before; text and cover go on to the next block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.tidy(batches):
             rows = dict(zip(batch.schema.names, batch.columns))
             found = list(_shards(shared.value, rows["text"]))
             n_words, covers, items, longest = (list(x) for x in zip(*found)) if found else ([], [], [], [])
@@ -215,7 +215,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BY
         shared = docs.sparkSession.sparkContext.broadcast(TestSuffixes(table))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in tb.tidy(batches):
                 clean = [not items for _, _, items, _ in _shards(shared.value, batch.column(at))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -141,7 +141,7 @@ def fit(docs: DataFrame, taught: Column) -> Model:
     picked = picked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= share).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.tidy(batches):
             for a, b, tf in slices(batch.column(1)):
                 rows = [np.minimum(r, 65535).astype(np.uint16).tobytes() for r in tf]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(rows, pa.binary())], names=["lang", "tf"])
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.tidy(batches):
             lang, score, rejected = _judge(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
@@ -188,7 +188,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.tidy(batches):
             yield batch.filter(pa.array(~_judge(shared.value, batch.column(at))[2]))
 
     return docs.mapInArrow(run, docs.schema)

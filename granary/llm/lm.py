@@ -75,7 +75,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """(token, c) over all rows of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.tidy(batches):
             for _, _, distinct, codes, _ in _slices(batch.column(0)):
                 n = np.bincount(codes, minlength=len(distinct))
                 yield pa.RecordBatch.from_arrays([distinct.cast(pa.string()), pa.array(n, pa.int64())], names=["token", "n"])
@@ -132,7 +132,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(UNITS, np.int64), np.zeros(UNITS, np.int64)
-        for batch in batches:
+        for batch in tb.tidy(batches):
             token = batch.column(0).cast(pa.large_string())
             own = pc.is_valid(pc.index_in(token, value_set=shared.value)).to_numpy(zero_copy_only=False).astype(bool)
             unit = bins(token)[~own]
@@ -240,7 +240,7 @@ def train(docs: DataFrame, shared, start: LogBilinear) -> LogBilinear:
         cumulated = np.cumsum(model.noise)
         log_noise = np.log(NOISE * model.noise).astype(np.float32)
         seen = 0
-        for batch in batches:
+        for batch in tb.tidy(batches):
             for _, _, distinct, codes, at in _slices(batch.column(0)):
                 unit = vocabulary.units(distinct)[0].astype(np.int32)[codes]
                 u1, u2 = contexts(unit, at)
@@ -294,7 +294,7 @@ def score(docs: DataFrame, taught: Column) -> tuple[DataFrame, Vocabulary]:
         part, row = TaskContext.get().partitionId(), 0
         v = shared.value
         first, second, norm = tables.value
-        for batch in batches:
+        for batch in tb.tidy(batches):
             for i, j, distinct, codes, at in _slices(batch.column(1)):
                 unit, place = v.units(distinct)
                 common = place >= 0

@@ -54,7 +54,7 @@ def _key(docs: DataFrame) -> DataFrame:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, shingles, bands, one byte of each place) of texts (key, text)."""
     m = BANDS * ROWS
-    for batch in batches:
+    for batch in tb.tidy(batches):
         data, offsets = tb.flat(batch.column(1))
         for i, j in tb.slices(offsets, SLICE_BYTES):
             words, at = sh.word_hashes(batch.column(1), i, j, data, offsets)
@@ -81,7 +81,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, sorted shingle hashes as bytes) of texts (node, text)."""
-    for batch in batches:
+    for batch in tb.tidy(batches):
         data, offsets = tb.flat(batch.column(1))
         for i, j in tb.slices(offsets, SLICE_BYTES):
             words, at = sh.word_hashes(batch.column(1), i, j, data, offsets)
@@ -95,7 +95,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (u, v, their sets) that are links."""
-    for batch in batches:
+    for batch in tb.tidy(batches):
         good = []
         for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             both = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))

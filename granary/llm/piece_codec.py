@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from granary.llm import textbytes as tb
 
 MARK = "▁"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 class Codec:
@@ -96,7 +96,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
-        for batch in batches:
+        for batch in tb.tidy(batches):
             out_ids, out_text = [], []
             for ids, decoded, texts, _ in _texts(c, batch.column(1)):
                 for chunks in texts:
@@ -115,7 +115,7 @@ def digests(docs: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
-        for batch in batches:
+        for batch in tb.tidy(batches):
             n_tokens, id_digests, text_digests = [], [], []
             for ids, decoded, texts, _ in _texts(c, batch.column(1)):
                 sizes = [len(x) for x in ids]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: gives freed memory back to the system, where the C library can
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each, memory no longer used goes back, for idle Python workers stay and add up."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets of the texts); null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -87,7 +102,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         out = np.full(size, base, dtype=np.uint64)
         out[0] = 1
         np.cumprod(out, out=out)
-        if size > 1 << 24:  # a single very long text: not kept
+        if size > 1 << 21:  # a very long text: not kept
             return out[:n]
         _powers[key] = have = out
     return have[:n]

@@ -257,7 +257,7 @@ def count_tokens(docs: DataFrame, rank_file: str, special: str = "") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(rank_file)
-        for batch in batches:
+        for batch in tb.tidy(batches):
             n_bytes, n_tokens = text_counts(batch.column(1), t, special)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())],
