@@ -102,7 +102,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         out = np.full(size, base, dtype=np.uint64)
         out[0] = 1
         np.cumprod(out, out=out)
-        if size > 1 << 21:  # a very long text: not kept
+        if size > (1 << 21) + 1024:  # a very long text: not kept
             return out[:n]
         _powers[key] = have = out
     return have[:n]
