@@ -310,7 +310,7 @@ def _masked(windows: DataFrame) -> DataFrame:
 
     return (
         windows.groupBy("anchor", "content").agg(F.collect_set("w").alias("ws"))
-        .mapInArrow(run, "anchor long, content long, mask binary")
+        .transform(tb.bounded).mapInArrow(run, "anchor long, content long, mask binary")
     )
 
 
@@ -328,13 +328,13 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFr
     keyed = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
     long = keyed.where(F.octet_length("text") >= LENGTH)
     often = (
-        long.select("text").mapInArrow(_anchors, "anchor long")
+        long.select("text").transform(tb.bounded).mapInArrow(_anchors, "anchor long")
         .groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     )
     schema = "doc_id long, th long, a long, windows int, anchor long, content long, place int"
     # written first: a join of plain exchanges is one whose large partitions can be split
     often = cut(often, "often")
-    found = cut(long.mapInArrow(_records, schema).join(often, "anchor"), "records")
+    found = cut(long.transform(tb.bounded).mapInArrow(_records, schema).join(often, "anchor"), "records")
     different = found.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("n"), F.any_value("windows").alias("windows"), F.any_value("place").alias("place"), F.min(F.struct("doc_id", "th", "a")).alias("at")
     )
@@ -354,13 +354,13 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFr
     parts = (
         _near(long, wanted).dropDuplicates(["doc_id", "th"]).join(listed, some)
         .select("text", "list")
-        .mapInArrow(_sliced, "anchor long, content long, n long, d long, place int, bytes binary")
+        .transform(tb.bounded).mapInArrow(_sliced, "anchor long, content long, n long, d long, place int, bytes binary")
     )
     masks = full
     columns = ["anchor", "content", "n", "bytes"]
     if not groups.where(F.col("d") > hot).isEmpty():
         parts = cut(parts, "parts")
-        windows = parts.where(F.col("d") > hot).select(columns).mapInArrow(
+        windows = parts.where(F.col("d") > hot).select(columns).transform(tb.bounded).mapInArrow(
             _digests, "anchor long, content long, w int, digest binary, n long"
         )
         twice = windows.groupBy("digest").agg(F.sum("n").alias("m")).where("m > 1").select("digest")
@@ -368,7 +368,7 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFr
         parts = parts.where(F.col("d") <= hot)
     transformed = (
         parts.select(*columns, "place").repartition("anchor").sortWithinPartitions("anchor")
-        .mapInArrow(_transformed, "anchor long, content long, mask binary")
+        .transform(tb.bounded).mapInArrow(_transformed, "anchor long, content long, mask binary")
     )
     masks = masks.unionByName(transformed)
     # rows equal in all three are repeated documents, which share their spans
@@ -414,7 +414,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     other = hits.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "hits")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
     schema = "doc_id long, n_bytes long, spans array<struct<s:long,e:long>>, kept binary"
-    changed = _near(keyed, hits).join(other, same).select("doc_id", "text", "hits").mapInArrow(_removed, schema)
+    changed = _near(keyed, hits).join(other, same).select("doc_id", "text", "hits").transform(tb.bounded).mapInArrow(_removed, schema)
     ids = cut(hits.select("doc_id", "th"), "changed")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     own = keyed.join(side.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), same, "left_anti")

@@ -194,7 +194,7 @@ def _pass(frame: DataFrame, shared, first: bool, last: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     schema = "doc_id long, n_words long, n_hit long, items array<string>, longest long"
-    return frame.mapInArrow(run, schema if last else schema + ", text string, cover binary")
+    return frame.transform(tb.bounded).mapInArrow(run, schema if last else schema + ", text string, cover binary")
 
 
 def find(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -219,7 +219,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BY
                 clean = [not items for _, _, items, _ in _shards(shared.value, batch.column(at))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        frame = (frame if k == 0 else cut(frame, "decontam")).mapInArrow(run, docs.schema)
+        frame = (frame if k == 0 else cut(frame, "decontam")).transform(tb.bounded).mapInArrow(run, docs.schema)
     return frame
 
 

@@ -146,7 +146,7 @@ def fit(docs: DataFrame, taught: Column) -> Model:
                 rows = [np.minimum(r, 65535).astype(np.uint16).tobytes() for r in tf]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(rows, pa.binary())], names=["lang", "tf"])
 
-    sample = picked.mapInArrow(run, "lang string, tf binary").toArrow()
+    sample = picked.transform(tb.bounded).mapInArrow(run, "lang string, tf binary").toArrow()
     tf = np.frombuffer(b"".join(sample.column(1).to_pylist()), np.uint16).reshape(-1, DIMS)
     labels = sample.column(0).to_pylist()
     order = sorted(range(len(labels)), key=lambda k: (labels[k], tf[k].tobytes()))
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "lang_pred", "score", "rejected"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").transform(tb.bounded).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
@@ -191,7 +191,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
         for batch in tb.tidy(batches):
             yield batch.filter(pa.array(~_judge(shared.value, batch.column(at))[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(tb.bounded).mapInArrow(run, docs.schema)
 
 
 def held_out(parts: int = 4, part: int = 2) -> Column:

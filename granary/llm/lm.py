@@ -80,7 +80,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 n = np.bincount(codes, minlength=len(distinct))
                 yield pa.RecordBatch.from_arrays([distinct.cast(pa.string()), pa.array(n, pa.int64())], names=["token", "n"])
 
-    return docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
+    return docs.select("text").transform(tb.bounded).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
 def bins(distinct: pa.Array) -> np.ndarray:
@@ -140,7 +140,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             v += np.bincount(unit, minlength=UNITS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(UNITS)), pa.array(n), pa.array(v)], names=["unit", "n", "v"])
 
-    sums = counts.mapInArrow(run, "unit long, n long, v long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    sums = counts.transform(tb.bounded).mapInArrow(run, "unit long, n long, v long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     by_bin, distinct_by_bin = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
     for unit, n, v in sums.where(F.col("unit") >= OWN).collect():  # BINS rows
         by_bin[unit - OWN], distinct_by_bin[unit - OWN] = n, v
@@ -258,7 +258,7 @@ def train(docs: DataFrame, shared, start: LogBilinear) -> LogBilinear:
         part, n = table.column("part")[0].as_py(), pc.sum(table.column("n")).as_py()
         return pa.table({"part": [part], "n": [n], "w": pa.array([w.tobytes()], pa.binary())})
 
-    weights = docs.select("text").mapInArrow(run, "part long, n long, w binary")
+    weights = docs.select("text").transform(tb.bounded).mapInArrow(run, "part long, n long, w binary")
     parts = docs.rdd.getNumPartitions()
     while True:  # each level leaves one row for FAN_IN
         groups = -(-parts // FAN_IN)
@@ -329,7 +329,7 @@ def score(docs: DataFrame, taught: Column) -> tuple[DataFrame, Vocabulary]:
     schema = (
         "row long, doc_id long, n_tokens long, known long, base double, lm double, rare array<string>, tf array<long>"
     )
-    scored = cut(docs.select("doc_id", "text").mapInArrow(run, schema), "scored")
+    scored = cut(docs.select("doc_id", "text").transform(tb.bounded).mapInArrow(run, schema), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "tf")).alias("x")).select(
         "row", F.col("x.rare").alias("token"), F.col("x.tf").alias("tf")
     )

@@ -173,7 +173,7 @@ def classes(docs: DataFrame) -> DataFrame:
     copies = keyed.groupBy("key").agg(F.min("doc_id").alias("least_id"))
     signed = (
         docs.select(_key(docs).alias("key"), "text")
-        .mapInArrow(_signed, "key binary, n long, bands array<long>, signature binary")
+        .transform(tb.bounded).mapInArrow(_signed, "key binary, n long, bands array<long>, signature binary")
         .groupBy("key")
         .agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"))
     )
@@ -191,7 +191,7 @@ def classes(docs: DataFrame) -> DataFrame:
         "hubs",
     )
     in_buckets = nodes.join(weight.select("node"), "node", "left_semi").select("node", "key", "least_id")
-    sets = cut(_filtered(docs, in_buckets).mapInArrow(_sets, "node long, set binary"), "sets")
+    sets = cut(_filtered(docs, in_buckets).transform(tb.bounded).mapInArrow(_sets, "node long, set binary"), "sets")
     alike = F.least("n", "hub_n") >= F.lit(SIMILARITY) * F.greatest("n", "hub_n")
     pairs = (
         members.join(hubs, "bucket").where((F.col("node") != F.col("hub")) & alike)
@@ -202,7 +202,7 @@ def classes(docs: DataFrame) -> DataFrame:
         return sets.select(F.col("node").alias(name), F.col("set").alias(f"set_{name}"))
 
     links = cut(
-        pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(_verified, "u long, v long"),
+        pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "set_u", "set_v").transform(tb.bounded).mapInArrow(_verified, "u long, v long"),
         "links",
     )
     labels = cut(components(links), "labels")
@@ -234,14 +234,14 @@ def classes(docs: DataFrame) -> DataFrame:
         .select("bucket", "block", "node", "label", "n", "signature")
         .repartition("bucket", "block")
         .sortWithinPartitions("bucket", "block")
-        .mapInArrow(_may_link, "bucket long, block long, node long, label long")
+        .transform(tb.bounded).mapInArrow(_may_link, "bucket long, block long, node long, label long")
     )
     more = (
         near.join(sets, "node")
         .select("bucket", "block", "node", "label", "set")
         .repartition("bucket", "block")
         .sortWithinPartitions("bucket", "block")
-        .mapInArrow(_settled, "u long, v long")
+        .transform(tb.bounded).mapInArrow(_settled, "u long, v long")
     )
     more = cut(more, "more")
     if more.isEmpty():

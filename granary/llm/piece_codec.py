@@ -107,7 +107,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
                 names=["doc_id", "ids", "decoded"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").transform(tb.bounded).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, model_file: str) -> DataFrame:
@@ -130,7 +130,7 @@ def digests(docs: DataFrame, model_file: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select("doc_id", "text").transform(tb.bounded).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -21,12 +22,26 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: text in one Arrow batch; Spark's own bound would hold 10,000 texts of any length
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(frame: DataFrame) -> DataFrame:
+    """``frame``, whose session sends Arrow batches of about ``BATCH_BYTES`` unless it was told a size."""
+    conf = frame.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) is None:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return frame
+
+
 #: gives freed memory back to the system, where the C library can
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; after each, memory no longer used goes back, for idle Python workers stay and add up."""
+    pa.set_memory_pool(pa.system_memory_pool())  # what it frees, the C library can give back
     for batch in batches:
         yield batch
         del batch

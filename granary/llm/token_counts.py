@@ -264,7 +264,7 @@ def count_tokens(docs: DataFrame, rank_file: str, special: str = "") -> DataFram
                 names=["doc_id", "n_bytes", "n_tokens"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return docs.select("doc_id", "text").transform(tb.bounded).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def op8(docs: DataFrame, limit: int = 1024) -> DataFrame:
