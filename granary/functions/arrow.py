@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import re
 import unicodedata
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,3 +64,53 @@ def grouped_segments(segments: Column, window: float) -> Column:
         return F.when(acc["n"] > 0, F.concat(acc["out"], rest)).otherwise(acc["out"])
 
     return F.aggregate(segments, begin, step, finish)
+
+
+#: encodings tried in this order; the last takes any bytes
+ENCODINGS = ("utf-8", "cp1251", "utf-16", "latin-1")
+
+
+def decoded(content: bytes) -> str:
+    for encoding in ENCODINGS[:-1]:
+        try:
+            return content.decode(encoding)
+        except UnicodeDecodeError:
+            pass
+    return content.decode(ENCODINGS[-1])
+
+
+@F.pandas_udf(T.StringType())
+def decode_text(content: pd.Series) -> pd.Series:
+    """Bytes by the first encoding that takes them."""
+    return content.map(lambda x: None if x is None else decoded(bytes(x)))
+
+
+_WORD = re.compile("[a-zа-яё0-9]+")
+
+
+@functools.lru_cache(1 << 16)
+def _place(gram: str) -> tuple[int, float]:
+    digest = hashlib.blake2b(gram.encode(), digest_size=8).digest()
+    return int.from_bytes(digest[:4], "little"), 1.0 if digest[4] % 2 else -1.0
+
+
+def hashed(text: str, dims: int) -> np.ndarray:
+    """Signed counts of words and of the 3- and 4-grams of words between ^ and $, as a unit vector (zero without words)."""
+    out = np.zeros(dims, np.float32)
+    for word, n in Counter(_WORD.findall(text.lower())).items():
+        edged = f"^{word}$"
+        for gram in (word, *(edged[i : i + k] for k in (3, 4) for i in range(len(edged) - k + 1))):
+            place, sign = _place(gram)
+            out[place % dims] += sign * n
+    norm = float(np.linalg.norm(out))
+    return out / norm if norm else out
+
+
+def hash_embedding(text: Column, dims: int = 64) -> Column:
+    """Feature-hashed embedding of whole texts; null is empty."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: hashed(x or "", dims).tolist())
+
+    return embed(text)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import arrow as ar
 from granary.functions import text as tx
+from granary.operators import retention
 from granary.queries.registry import query
 
 
@@ -28,3 +29,39 @@ def ret_07(t):
     docs = t.documents.select("doc_id", tx.rerank_tokens(F.coalesce("text", F.lit(""))).alias("d"), F.pmod("doc_id", F.lit(40)).alias("item_id"))
     asks = t.benchmark.where("item_id < 40").select("item_id", F.array_distinct(tx.rerank_tokens(F.col("text"))).alias("q"))
     return docs.join(asks, "item_id").select("doc_id", "item_id", F.round(ar.proximity("q", "d"), 6).alias("proximity"))
+
+
+@query("src_10", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'п' || p_name END AS text FROM part")
+def src_10(t):
+    raw = F.when(F.col("p_partkey") % 2 == 0, F.encode("p_name", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("EF")), F.encode("p_name", "UTF-8")))
+    return t.part.select("p_partkey", ar.decode_text(raw).alias("text"))
+
+
+@query("vec_01")
+def vec_01(t):
+    return t.documents.select("doc_id", ar.hash_embedding(F.col("text")).alias("embedding"))
+
+
+@query(
+    "win_09",
+    """WITH e AS (SELECT event_id, user_id, ts, floor(epoch(max(ts) OVER ()) / 86400 - epoch(ts) / 86400 + 1e-9) AS age FROM events),
+d AS (SELECT *, age <= 7 AND row_number() OVER (PARTITION BY user_id, age <= 7, date_trunc('day', ts) ORDER BY ts DESC, event_id DESC) = 1 AS day FROM e),
+w AS (SELECT *, NOT day AND age <= 14 AND row_number() OVER (PARTITION BY user_id, NOT day AND age <= 14, date_trunc('week', ts) ORDER BY ts DESC, event_id DESC) = 1 AS week FROM d),
+m AS (SELECT *, NOT day AND NOT week AND age <= 62 AND row_number() OVER (PARTITION BY user_id, NOT day AND NOT week AND age <= 62, date_trunc('month', ts) ORDER BY ts DESC, event_id DESC) = 1 AS month FROM w)
+SELECT event_id, CASE WHEN day THEN 'day' WHEN week THEN 'week' WHEN month THEN 'month' WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 THEN 'newest' END AS kept_for FROM m""",
+)
+def win_09(t):
+    copies = t.events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    dated = copies.crossJoin(F.broadcast(copies.agg(F.max("ts").alias("as_of"))))  # one row
+    return retention.rolling(dated, "user_id", "ts", "event_id", F.col("as_of"), 7, 2, 2).select("event_id", "kept_for")
+
+
+@query(
+    "txt_29",
+    """SELECT p_partkey, '• ' || p_name || ' — арт. ' || p_partkey || ', ' || replace(format('{:,.2f}', p_retailprice), ',', ' ') || ' ₽'
+|| E'\\n   type: ' || p_type || '; size: ' || p_size AS line FROM part""",
+)
+def txt_29(t):
+    attributes = F.create_map(F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string"))
+    line = tx.product_line(F.col("p_name"), F.col("p_partkey").cast("string"), F.col("p_retailprice"), F.lit(None).cast("string"), attributes)
+    return t.part.select("p_partkey", line.alias("line"))

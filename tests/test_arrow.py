@@ -17,3 +17,14 @@ def test_segments(spark):
     got = one.select(ar.grouped_segments(F.col("s"), 60.0).alias("g")).first()["g"]
     assert [(g["first"], g["last"], g["n"]) for g in got] == [(0.0, 70.0, 2), (80.0, 90.0, 1)]
     assert one.select(ar.grouped_segments(F.slice("s", 1, 0), 60.0).alias("g")).first()["g"] == []
+
+
+def test_decoded():
+    assert ar.decoded("ё".encode()) == "ё" and ar.decoded("ё".encode("cp1251")) == "ё"
+    assert ar.decoded(b"\xff\xfe\x98\x04") == "\u0498" and ar.decoded(b"") == ""
+
+
+def test_hashed():
+    v = ar.hashed("Ab ab", 64)
+    assert abs(float((v * v).sum()) - 1) < 1e-6 and (ar.hashed("ab", 64) == v).all()
+    assert not ar.hashed("", 64).any() and not ar.hashed("!?", 64).any()
