@@ -163,9 +163,10 @@ def _filtered(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, class_id, n_links) of every document.
+    """(doc_id, key, class_id, class_key, n_links) of every document.
 
-    ``n_links`` counts the verified links found at the document's text, which
+    ``class_key`` is the least key of a class and tells classes apart, which
+    ``class_id`` does not where ids are null or shared.  ``n_links`` counts the verified links found at the document's text, which
     join it to different texts of its class.
     """
     spark = docs.sparkSession
@@ -254,23 +255,26 @@ def classes(docs: DataFrame) -> DataFrame:
         .join(final, "node")
         .join(degrees, "node", "left")
     )
-    least = labelled.groupBy("label").agg(F.min("least_id").alias("class_id"))
-    linked = cut(labelled.join(least, "label").select("key", "class_id", "n_links"), "linked")
+    least = labelled.groupBy("label").agg(F.min("least_id").alias("class_id"), F.min("key").alias("class_key"))
+    linked = cut(labelled.join(least, "label").select("key", "class_id", "class_key", "n_links"), "linked")
     by_key = copies.join(linked, "key", "left").select(
-        "key", F.coalesce("class_id", "least_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "key",
+        F.coalesce("class_id", "least_id").alias("class_id"),
+        F.coalesce("class_key", "key").alias("class_key"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
     # written first: a join of plain exchanges is one whose large partitions can be split
-    return keyed.join(cut(by_key, "by_key"), "key").select("doc_id", "key", "class_id", "n_links")
+    return keyed.join(cut(by_key, "by_key"), "key").select("doc_id", "key", "class_id", "class_key", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: the one whose id is the class id."""
+    """``docs`` with one document of each class: of the least id, null last, then of the least key."""
     cols = docs.columns
     found = cut(classes(docs), "classes")
-    kept = found.groupBy("class_id").agg(F.min_by("key", F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), "key")).alias("key"))
+    kept = found.groupBy("class_key").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("kept"))
     gone = found.join(
-        kept.select(F.col("class_id").alias("c"), F.col("key").alias("k")),
-        F.col("class_id").eqNullSafe(F.col("c")) & (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("class_id")),
+        kept.select(F.col("kept.doc_id").alias("i"), F.col("kept.key").alias("k")),
+        F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")),
         "left_anti",
     ).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
     gone = cut(gone, "gone")

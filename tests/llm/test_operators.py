@@ -99,6 +99,21 @@ def test_op2(docs):
     assert sorted([r["doc_id"] for r in kept.collect()], key=repr) == sorted(set(least.values()), key=repr)
 
 
+def test_classes_are_told_apart_without_ids(spark):
+    """Different texts without an id, or of one id, are different classes; one of each class stays."""
+    rng = random.Random(6)
+    texts = [prose(rng, 60) for _ in range(6)]
+    near = texts[0] + " tail"
+    rows = [(None, texts[0]), (None, near), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (3, texts[5]), (None, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in near_dups.keep_one(df).collect()]
+    first = [x for x in kept if x[1] in (texts[0], near)]
+    assert len(first) == 1
+    rest = [(None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (3, texts[5])]
+    assert sorted(set(kept) - set(first), key=repr) == sorted(rest, key=repr) and len(kept) == 6
+    assert near_dups.classes(df).select("class_key").distinct().count() == 6
+
+
 def test_near_copies_in_a_large_group(spark):
     """Copies of one text, each with other words changed: the components are those of brute force."""
     rng = random.Random(8)
