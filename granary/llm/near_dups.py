@@ -1,8 +1,11 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
 1. Equal texts (by MD5, the count pre-aggregated before the shuffle) become one
-   node.  A node's weighted 5-word shingles (weight 1 + ln count) give a
-   ProbMinHash signature; ``BANDS`` bands of ``ROWS`` places are its buckets.
+   node.  A node's distinct 5-word shingles, each of weight 1, give a
+   ProbMinHash signature, whose places agree with the Jaccard similarity that
+   links are verified on; ``BANDS`` bands of ``ROWS`` places are its buckets.
+   (Weights that grow with the count would lose links: what two texts do not
+   share may be what repeats.)
 2. In each bucket the hub (the member whose buckets are the fullest: the text
    the others are copies of) is compared with all other members.  Pairs are
    verified on the whole shingle sets: a link is a Jaccard similarity of
@@ -58,8 +61,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = tb.flat(batch.column(1))
         for i, j in tb.slices(offsets, SLICE_BYTES):
             words, at = sh.word_hashes(batch.column(1), i, j, data, offsets)
-            text, hashes, count = sh.shingles(words, at)
-            signature = sh.prob_min_hash(text, hashes, 1 + np.log(count), j - i, m)
+            text, hashes, _ = sh.shingles(words, at)
+            signature = sh.prob_min_hash(text, hashes, np.ones(len(text)), j - i, m)
             rows = signature.reshape(j - i, BANDS, ROWS)
             bands = np.arange(BANDS, dtype=np.uint64)[None, :]
             for k in range(ROWS):

@@ -128,6 +128,19 @@ def test_near_copies_in_a_large_group(spark):
     assert sorted((r["doc_id"], r["class_id"]) for r in near_dups.op2(df).collect()) == list(enumerate(brute.classes(texts)))
 
 
+def test_links_are_found_where_lines_repeat(spark):
+    """Pairs of Jaccard 0.8 whose shingles not shared repeat: each pair is a class of its own."""
+    texts = []
+    for k in range(60):
+        shared = [f"s{k}x{i}" for i in range(84)]  # 80 shingles
+        line = [f"r{k}x{i}" for i in range(16)]  # 4 shingles over the seam, 12 inside, 4 from its end to its start
+        texts += [" ".join(shared), " ".join(shared + line * 50)]
+    sets = [brute.shingles(t) for t in texts[:2]]
+    assert len(sets[0] & sets[1]) == 80 and len(sets[0] | sets[1]) == 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["class_id"]) for r in near_dups.op2(df).collect()) == [(i, i - i % 2) for i in range(120)]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**62, 400).astype(np.uint64), rng.integers(0, 2**62, 400).astype(np.uint64)
