@@ -40,6 +40,7 @@ NEAR = {
     "phone": "phone|call|tel|mobile|fax|contact",
     "iban": "iban|bank|account|konto|compte|cuenta",
 }
+# words that speak against a kind, matched whole
 AGAINST = {"email": "dummy", "ip": "version|release|build", "card": "dummy|sample", "phone": "dummy", "iban": "dummy|sample"}
 REACH = 40
 SPAN = "struct<s:int,r:int,e:int,k:string,c:double>"
@@ -117,17 +118,25 @@ def confirmed(kind: str, m: Column) -> Column:
 
 
 def score(kind: str, text: Column, x: Column) -> Column:
-    """The kind's base score, moved by words within ``REACH`` code points of the span."""
-    start = F.greatest(x["s"] - REACH, F.lit(0))
-    near = F.lower(
-        F.concat_ws(" ", F.substring(text, start + 1, x["s"] - start), F.substring(text, x["e"] + 1, F.lit(REACH)))
+    """The kind's base score, moved by words within ``REACH`` code points of the span.
+
+    Words against it count only whole: one more code point on either side tells
+    whether the reach cuts a word.
+    """
+    side = REACH + 1
+    start = F.greatest(x["s"] - side, F.lit(0))
+    around = F.concat(
+        F.lpad(F.substring(text, start + 1, x["s"] - start), side, "\n"),
+        F.lit("\n"),
+        F.rpad(F.substring(text, x["e"] + 1, F.lit(side)), side, "\n"),
     )
+    whole = rf"(?Us)(?<=.)\b(?:{AGAINST[kind]})s?\b(?=.)"
     return let(
-        near,
+        around,
         lambda c: F.round(
             F.lit(SCORES[kind])
-            + F.when(c.rlike(NEAR[kind]), 0.2).otherwise(0.0)
-            - F.when(c.rlike(AGAINST[kind]), 0.3).otherwise(0.0),
+            + F.when(F.lower(F.substring(c, 2, 2 * REACH + 1)).rlike(NEAR[kind]), 0.2).otherwise(0.0)
+            - F.when(F.lower(c).rlike(whole), 0.3).otherwise(0.0),
             2,
         ),
     )
@@ -177,14 +186,17 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """``docs`` with every span of score ``least`` or more replaced by its kind in brackets."""
+    """``docs`` with every span of score ``least`` or more replaced by its kind in brackets.
+
+    Overlapping spans are replaced as one, by the kind of the first.
+    """
     cols = docs.columns
 
     def masked(text: Column, xs: Column) -> Column:
         cut_at = F.aggregate(
             xs,
             F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-            lambda acc, x: F.when(x["s"] < acc["at"], acc).otherwise(
+            lambda acc, x: F.when(x["s"] < acc["at"], F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))).otherwise(
                 F.struct(
                     x["e"].alias("at"),
                     F.concat(

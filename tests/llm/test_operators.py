@@ -166,6 +166,23 @@ def test_redaction_keeps_columns(docs):
     assert text == "mail me: [EMAIL], call [PHONE] or [CARD]"
 
 
+def test_redaction_of_odd_contexts(spark):
+    cases = [
+        ("camera of the new building: 203.0.113.7", "camera of the new building: [IP]"),
+        ("conversion at 203.0.113.7", "conversion at [IP]"),
+        ("203.0.113.7 is " + "x " * 15 + "of buildings", "[IP] is " + "x " * 15 + "of buildings"),  # the reach ends within a word
+        ("203.0.113.7 is " + "x " * 15 + "1 buildstore", "[IP] is " + "x " * 15 + "1 buildstore"),
+        ("rebuild " + "x " * 17 + " 203.0.113.7", "rebuild " + "x " * 17 + " [IP]"),
+        ("build 1.2.3.4", "build 1.2.3.4"),
+        ("1.2.3.4 releases", "1.2.3.4 releases"),
+        ("version 1.2.3.4 runs", "version 1.2.3.4 runs"),
+        ("+1 (555) 123-4567.x@y.com", "[PHONE]"),
+        ("+1 (555) 123-4567, x@y.com", "[PHONE], [EMAIL]"),
+    ]
+    out = private.redact(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string"))
+    assert [r["text"] for r in out.orderBy("doc_id").collect()] == [x for _, x in cases]
+
+
 def test_op4(docs, bench):
     items = [(r["item_id"] if r["item_id"] is not None else "null", r["text"]) for r in bench.collect()]
     want = sorted([(k, *x) for k, x in zip([k for k, _ in pairs(docs)], brute.contaminated([t for _, t in pairs(docs)], items))], key=repr)
