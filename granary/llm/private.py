@@ -7,6 +7,8 @@ The patterns are the given ones in forms that never backtrack over a long run:
 a possessive loop where the next character decides, and a start allowed only
 where a run begins or right after the match before (``\\G``).  They match the
 same spans and stay linear, without deep recursion, on texts of any length.
+Offsets are running totals by levels and parts of a text are read from its
+pieces, so time stays linear in the matches as well.
 
 Edge cases: null text is empty; spans of different kinds may overlap; repeated
 rows are treated alike; an empty table gives no rows; further columns are kept
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.quality import let
+from granary.llm.scratch import free
 
 # fixed values: kinds in their order of rank, patterns, base scores, context words
 KINDS = ("email", "ip", "card", "phone", "iban")
@@ -43,9 +46,45 @@ NEAR = {
 # words that speak against a kind, matched whole
 AGAINST = {"email": "dummy", "ip": "version|release|build", "card": "dummy|sample", "phone": "dummy", "iban": "dummy|sample"}
 REACH = 40
+# how arrays and texts are taken apart
+FAN = 32
+LEVELS = 3
+PIECE = 1024
 SPAN = "struct<s:int,r:int,e:int,k:string,c:double>"
 
 
+def running(values: Column, start: int, step) -> Column:
+    """For each value, ``step`` over all values before it, from ``start``.
+
+    ``step`` is a sum or a maximum.  Totals of ``FAN`` values, of ``FAN`` such totals and so on
+    leave at most ``FAN`` terms a level for each value: linear up to ``FAN`` to
+    the number of levels, where no array grows by one value at a time.
+    """
+
+    def total(xs: Column, first: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(xs, (first + 1).cast("int"), n.cast("int")), F.lit(start), step)
+
+    def above(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / FAN).cast("int")), lambda j: total(xs, j * FAN, F.lit(FAN)))
+
+    def level(xs: Column, sums: list[Column], left: int) -> Column:
+        if left:
+            return let(above(xs), lambda up: level(up, [*sums, xs], left - 1))
+        own = [*sums, xs]
+
+        def at(_: Column, i: Column) -> Column:
+            parts = []
+            for depth, s in enumerate(own):
+                place = F.floor(i / FAN**depth).cast("int")
+                begin = F.lit(0) if depth == len(own) - 1 else place - place % FAN
+                parts.append(total(s, begin, place - begin))
+            return F.aggregate(F.array(*parts), F.lit(start), step)
+
+        return F.transform(own[0], at)
+
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(values, lambda xs: level(xs, [], LEVELS)))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<s,e,m>>: every match with its code point offsets.
 
@@ -54,20 +93,14 @@ def matches(text: Column, pattern: str) -> Column:
     kind = "array<struct<s:int,e:int,m:string>>"
 
     def placed(hits: Column, gaps: Column) -> Column:
-        return F.aggregate(
-            F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("h"), g.alias("g"))),
-            F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-            lambda acc, x: let(
-                acc["at"] + F.length(x["g"]),
-                lambda s: F.struct(
-                    (s + F.length(x["h"])).alias("at"),
-                    F.concat(
-                        acc["out"],
-                        F.array(F.struct(s.alias("s"), (s + F.length(x["h"])).alias("e"), x["h"].alias("m"))),
-                    ).alias("out"),
-                ),
+        sizes = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(F.length(g).alias("g"), F.length(h).alias("h"), h.alias("m")))
+        return let(
+            sizes,
+            lambda z: F.zip_with(
+                z,
+                running(F.transform(z, lambda x: x["g"] + x["h"]), 0, lambda a, x: a + x),
+                lambda x, before: F.struct((before + x["g"]).alias("s"), (before + x["g"] + x["h"]).alias("e"), x["m"].alias("m")),
             ),
-            lambda acc: acc["out"],
         )
 
     return let(
@@ -78,6 +111,24 @@ def matches(text: Column, pattern: str) -> Column:
     )
 
 
+def blocks_of(text: Column) -> Column:
+    """The text in pieces of ``PIECE`` code points, so that a part of it is read without what lies before."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def part(blocks: Column, start: Column, end: Column) -> Column:
+    """The text between two code point offsets."""
+    a, b = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    head = F.coalesce(F.get(blocks, a), F.lit(""))
+    return F.when(a == b, F.substring(head, start % PIECE + 1, end - start)).otherwise(
+        F.concat(
+            F.substring(head, start % PIECE + 1, F.lit(PIECE)),
+            F.array_join(F.slice(blocks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""),
+            F.substring(F.coalesce(F.get(blocks, b), F.lit("")), F.lit(1), end % PIECE),
+        )
+    )
+
+
 def luhn(digits: Column) -> Column:
     """Whether the digit string passes the Luhn check."""
     total = F.aggregate(
@@ -117,18 +168,17 @@ def confirmed(kind: str, m: Column) -> Column:
     return let(F.replace(m, F.lit(" "), F.lit("")), lambda c: F.when(F.length(c).between(15, 34), mod97(c)).otherwise(False))
 
 
-def score(kind: str, text: Column, x: Column) -> Column:
+def score(kind: str, blocks: Column, x: Column) -> Column:
     """The kind's base score, moved by words within ``REACH`` code points of the span.
 
     Words against it count only whole: one more code point on either side tells
     whether the reach cuts a word.
     """
     side = REACH + 1
-    start = F.greatest(x["s"] - side, F.lit(0))
     around = F.concat(
-        F.lpad(F.substring(text, start + 1, x["s"] - start), side, "\n"),
+        F.lpad(part(blocks, F.greatest(x["s"] - side, F.lit(0)), x["s"]), side, "\n"),
         F.lit("\n"),
-        F.rpad(F.substring(text, x["e"] + 1, F.lit(side)), side, "\n"),
+        F.rpad(part(blocks, x["e"], x["e"] + side), side, "\n"),
     )
     whole = rf"(?Us)(?<=.)\b(?:{AGAINST[kind]})s?\b(?=.)"
     return let(
@@ -142,28 +192,35 @@ def score(kind: str, text: Column, x: Column) -> Column:
     )
 
 
-def spans_of(kind: str, rank: int, text: Column) -> Column:
+def confirmed_spans(kind: str, rank: int, text: Column) -> Column:
     return F.transform(
         F.filter(matches(text, PATTERNS[kind]), lambda x: confirmed(kind, x["m"])),
         lambda x: F.struct(
-            x["s"].alias("s"),
-            F.lit(rank).alias("r"),
-            x["e"].alias("e"),
-            F.lit(kind).alias("k"),
-            score(kind, text, x).alias("c"),
+            x["s"].alias("s"), F.lit(rank).alias("r"), x["e"].alias("e"), F.lit(kind).alias("k"), F.lit(0.0).alias("c")
         ).cast(SPAN),
     )
 
 
 def spans(text: Column) -> Column:
     """All confirmed spans by start, then rank of kind: array<struct<s,r,e,k,c>>."""
+    none = F.array().cast(f"array<{SPAN}>")
     parts = []
     for rank, kind in enumerate(KINDS):
-        found = spans_of(kind, rank, text)
+        found = confirmed_spans(kind, rank, text)
         if kind in NEEDS:
-            found = F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+            found = F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(none)
         parts.append(found)
-    return F.sort_array(F.concat(*parts))
+
+    def scored(blocks: Column, x: Column) -> Column:
+        c = F.lit(0.0)
+        for rank, kind in enumerate(KINDS):
+            c = F.when(x["r"] == rank, score(kind, blocks, x)).otherwise(c)
+        return F.struct(x["s"].alias("s"), x["r"].alias("r"), x["e"].alias("e"), x["k"].alias("k"), c.alias("c")).cast(SPAN)
+
+    return let(
+        F.sort_array(F.concat(*parts)),
+        lambda xs: F.when(F.size(xs) == 0, none).otherwise(let(blocks_of(text), lambda b: F.transform(xs, lambda x: scored(b, x)))),
+    )
 
 
 def listed(xs: Column) -> Column:
@@ -191,24 +248,28 @@ def redact(docs: DataFrame, least: float = 0.25) -> DataFrame:
     Overlapping spans are replaced as one, by the kind of the first.
     """
     cols = docs.columns
+    spans_name = free(cols, "spans")
 
     def masked(text: Column, xs: Column) -> Column:
-        cut_at = F.aggregate(
-            xs,
-            F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-            lambda acc, x: F.when(x["s"] < acc["at"], F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))).otherwise(
-                F.struct(
-                    x["e"].alias("at"),
-                    F.concat(
-                        acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["k"]), F.lit("]")
-                    ).alias("out"),
-                )
+        """A span that begins before all earlier ones have ended adds to their run; ``before`` is where these end."""
+
+        def joined(blocks: Column, runs: Column, end: Column) -> Column:
+            pieces = F.transform(runs, lambda x: F.concat(part(blocks, x["before"], x["s"]), F.lit("["), F.upper(x["k"]), F.lit("]")))
+            return F.concat(F.array_join(pieces, ""), part(blocks, end, F.length(text)))
+
+        ends = F.transform(xs, lambda x: x["e"])
+        runs = F.filter(
+            F.zip_with(
+                xs,
+                running(ends, 0, lambda a, x: F.greatest(a, x)),
+                lambda x, before: F.struct(x["s"].alias("s"), x["k"].alias("k"), before.alias("before")),
             ),
+            lambda x: x["s"] >= x["before"],
         )
-        return let(cut_at, lambda z: F.concat(z["out"], F.substring(text, z["at"] + 1, F.length(text))))
+        return let(blocks_of(text), lambda b: let(runs, lambda r: joined(b, r, F.array_max(ends))))
 
-    marked = docs.withColumn("__spans", F.filter(spans(F.coalesce(F.col("text"), F.lit(""))), lambda x: x["c"] >= least))
-    new = F.when(F.size("__spans") > 0, masked(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
+    marked = docs.withColumn(spans_name, F.filter(spans(F.coalesce(F.col("text"), F.lit(""))), lambda x: x["c"] >= least))
+    new = F.when(F.size(spans_name) > 0, masked(F.col("text"), F.col(spans_name))).otherwise(F.col("text"))
     out = marked.withColumn("text", new)
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
