@@ -3,8 +3,9 @@
 A text is the vector of its byte n-grams (orders 1 to 3, hashed to ``DIMS``
 places), weighted ln(1 + tf) * idf and normalised.  Each language keeps several
 centroids, found by spherical k-means over a bounded sample of labelled texts:
-``SAMPLE`` texts in all, shared equally among the languages and chosen by the
-hash of their id.  A text takes the language of the centroid with the largest
+``SAMPLE`` texts in all, shared equally among the ``LABELS`` most frequent
+labels (ties by name; any other label is not learned) and chosen by the hash of
+their id.  A text takes the language of the centroid with the largest
 cosine; it is rejected if that cosine lies below ``REJECT`` times the cosine
 that nearly all (``LOW``) of the centroid's language's own sample reach.
 
@@ -37,7 +38,7 @@ LOW = 0.01
 REJECT = 0.3
 SLICE_BYTES = 1 << 20
 SLICE_TEXTS = 128
-MAX_LANGUAGES = 400
+LABELS = 400
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -125,9 +126,7 @@ def train(labels: list[str], tf: np.ndarray) -> Model:
 def fit(docs: DataFrame, taught: Column) -> Model:
     """The model of the rows for which ``taught`` holds."""
     rows = docs.where(taught & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()
     if not sizes:
         return train([], np.zeros((0, DIMS), np.int64))
     share = max(4, SAMPLE // len(sizes))
@@ -143,11 +142,20 @@ def fit(docs: DataFrame, taught: Column) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.tidy(batches):
             for a, b, tf in slices(batch.column(1)):
-                rows = [np.minimum(r, 65535).astype(np.uint16).tobytes() for r in tf]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(rows, pa.binary())], names=["lang", "tf"])
-
-    sample = picked.transform(tb.bounded).mapInArrow(run, "lang string, tf binary").toArrow()
-    tf = np.frombuffer(b"".join(sample.column(1).to_pylist()), np.uint16).reshape(-1, DIMS)
+                used = [np.flatnonzero(r) for r in tf]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0)[a:b],
+                        pa.array([u.astype(np.uint16).tobytes() for u in used], pa.binary()),
+                        pa.array([r[u].astype(np.uint32).tobytes() for r, u in zip(tf, used)], pa.binary()),
+                    ],
+                    names=["lang", "places", "counts"],
+                )
+
+    sample = picked.transform(tb.bounded).mapInArrow(run, "lang string, places binary, counts binary").toArrow()
+    tf = np.zeros((sample.num_rows, DIMS), np.uint32)
+    for row, places, n in zip(tf, sample.column(1).to_pylist(), sample.column(2).to_pylist()):
+        row[np.frombuffer(places, np.uint16)] = np.frombuffer(n, np.uint32)
     labels = sample.column(0).to_pylist()
     order = sorted(range(len(labels)), key=lambda k: (labels[k], tf[k].tobytes()))
     return train([labels[k] for k in order], tf[order])

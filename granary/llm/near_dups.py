@@ -39,7 +39,7 @@ from granary.llm import shingles as sh
 from granary.llm import textbytes as tb
 from granary.llm.components import components
 from granary.llm.runs import runs
-from granary.llm.scratch import cut
+from granary.llm.scratch import cut, free
 
 BANDS = 32
 ROWS = 5
@@ -273,21 +273,22 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class: of the least id, null last, then of the least key."""
     cols = docs.columns
+    i, k, h = free(cols, "kept_id"), free(cols, "kept_key"), free(cols, "text_key")
     found = cut(classes(docs), "classes")
     kept = found.groupBy("class_key").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("kept"))
     gone = found.join(
-        kept.select(F.col("kept.doc_id").alias("i"), F.col("kept.key").alias("k")),
-        F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")),
+        kept.select(F.col("kept.doc_id").alias(i), F.col("kept.key").alias(k)),
+        F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("key") == F.col(k)),
         "left_anti",
-    ).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    ).select(F.col("doc_id").alias(i), F.col("key").alias(k)).distinct()
     gone = cut(gone, "gone")
     small = gone.count() <= BROADCAST_ROWS
-    own = docs.withColumn("__k", _key(docs))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key"))
+    own = docs.withColumn(h, _key(docs))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(k))
     out = own.join(F.broadcast(gone) if small else gone, same, "left_anti")
     twice = found.groupBy("doc_id", "key").count().where("count > 1")
     if not twice.isEmpty():  # repeated rows: one of them stays
-        out = out.dropDuplicates(["doc_id", "__k"])
+        out = out.dropDuplicates(["doc_id", h])
     return out.select(*[F.col(f"`{c}`") for c in cols])
 
 

@@ -1,7 +1,8 @@
 """Tables that cut lineage, kept in the folder all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only a session that has
-none (unit tests on one machine) gets a folder of its own.  A written table is
+The folder is the session's ``spark.checkpoint.dir``.  Only a session on one
+machine (``local`` master, as in unit tests) that has none gets a folder of its
+own; on a cluster a missing setting is an error.  A written table is
 preferred to ``DataFrame.checkpoint`` because it computes its input once and
 survives the loss of any executor.
 """
@@ -23,12 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="granary-")
     return _own[app]
 
 
+def free(columns: list[str], name: str) -> str:
+    """``name``, or what comes of it by underscores, that is no column's name in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of that table."""
     spark = df.sparkSession
