@@ -1,9 +1,12 @@
 """Host-level quality rules, in DataFrame functions only.
 
 Every document is measured against rules; a host's rule failures are counted,
-its failure rate is shrunk towards all hosts by a beta prior fitted to the
-hosts' rates (method of moments), and a host whose shrunk rate of any rule
-passes ``host_limit`` loses its documents.
+its failure rate is shrunk towards all hosts by a beta prior, and a host whose
+shrunk rate of any rule passes ``host_limit`` loses its documents.  The prior is
+fitted by the moments of the beta-binomial: what hosts differ by beyond the
+binomial noise of their sizes is the correlation rho within a host, and the
+prior weighs 1 / rho - 1 documents (within ``PRIOR_RANGE``).  Hosts of a
+document each tell nothing of rho, and take the mean of all.
 
 Edge cases: null text has no words; a null host is a host of its own; repeated
 rows count once each; an empty table gives no rows; further columns are
@@ -108,6 +111,19 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     )
 
 
+def prior(n: float, n2: float, hosts: float, bad: float, bad2_by_n: float) -> tuple[float, float]:
+    """(mean, weight in documents) of the prior, from sums over the hosts of n, n * n, 1, bad and bad * bad / n."""
+    if not n:
+        return 0.0, PRIOR_RANGE[1]
+    mean, rho = bad / n, 0.0
+    room = n - n2 / n - (hosts - 1)
+    if 0 < mean < 1 and room > 1e-9:
+        rho = ((bad2_by_n - n * mean * mean) / (mean * (1 - mean)) - (hosts - 1)) / room
+    if rho <= 1 / PRIOR_RANGE[1]:
+        return mean, PRIOR_RANGE[1]
+    return mean, min(max(1 / rho - 1, PRIOR_RANGE[0]), PRIOR_RANGE[1])
+
+
 def host_rates(rows: DataFrame) -> DataFrame:
     """(host, worst): the largest of a host's shrunk failure rates over the rules."""
     hosts = rows.groupBy("__host").agg(
@@ -115,18 +131,17 @@ def host_rates(rows: DataFrame) -> DataFrame:
     )
     hosts = cut(hosts, "hosts")
     # sums over all hosts: one row
+    n = F.col("n").cast("double")
     sums = hosts.agg(
         F.sum("n").alias("n"),
+        F.sum(n * n).alias("n2"),
+        F.count(F.lit(1)).alias("k"),
         *[F.sum(r).alias(r) for r in RULES],
         *[F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_sq") for r in RULES],
     ).first()
     shrunk = []
     for r in RULES:
-        n = float(sums["n"] or 1)
-        mean = float(sums[r] or 0) / n
-        variance = float(sums[f"{r}_sq"] or 0) / n - mean * mean
-        strength = mean * (1 - mean) / variance - 1 if variance > 1e-12 else PRIOR_RANGE[1]
-        strength = min(max(strength, PRIOR_RANGE[0]), PRIOR_RANGE[1])
+        mean, strength = prior(*(float(sums[c] or 0) for c in ("n", "n2", "k", r, f"{r}_sq")))
         shrunk.append((F.col(r) + F.lit(mean * strength)) / (F.col("n") + F.lit(strength)))
     return hosts.select("__host", F.greatest(*shrunk).alias("host_rate"))
 

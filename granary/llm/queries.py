@@ -44,10 +44,11 @@ sizes AS (SELECT DISTINCT size FROM iw),
 dw AS (SELECT doc_id, size, p, array_to_string(w[p:p + size - 1], ' ') AS win FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, sizes)),
 hit AS (SELECT dw.doc_id, dw.p, dw.size, iw.item_id, iw.s FROM dw JOIN iw ON dw.size = iw.size AND dw.win = iw.win),
 runs AS (SELECT doc_id, item_id, p, size, p - row_number() OVER (PARTITION BY doc_id, item_id, size, p - s ORDER BY p) AS run, p - s AS diagonal FROM (SELECT DISTINCT * FROM hit)),
-lng AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, count(*) - 1 + size AS n FROM runs GROUP BY doc_id, item_id, size, diagonal, run) GROUP BY doc_id),
+lng AS (SELECT doc_id, n, item, at FROM (SELECT doc_id, n, item, at, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item, at) AS r
+ FROM (SELECT doc_id, count(*) - 1 + size AS n, CAST(item_id AS VARCHAR) AS item, min(p) - 1 AS at FROM runs GROUP BY doc_id, item_id, size, diagonal, run)) WHERE r = 1),
 cov AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS x FROM (SELECT DISTINCT doc_id, p, size FROM hit)) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n, 0) AS BIGINT) AS longest, item AS longest_item, CAST(at AS BIGINT) AS longest_at
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN lng USING (doc_id)""",
     "op5_quality_rules": f"""WITH b AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), E'\\n'), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
 t3 AS (SELECT doc_id, p, array_to_string(w[p:p + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM b)),
@@ -57,8 +58,9 @@ m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(arra
  CAST(len(l) AS BIGINT) AS lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM b LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS repeats, 10 * n_symbols > n_words AS symbols, 10 * n_dup_lines > 3 * lines AS dups FROM m),
 h AS (SELECT source, rule, count(*)::DOUBLE AS n, count(*) FILTER (bad)::DOUBLE AS bad FROM (SELECT source, unnest(['short', 'repeats', 'symbols', 'dups']) AS rule, unnest([short, repeats, symbols, dups]) AS bad FROM f) GROUP BY source, rule),
-s AS (SELECT rule, sum(bad) / sum(n) AS mean, sum(bad * bad / n) / sum(n) - (sum(bad) / sum(n)) * (sum(bad) / sum(n)) AS var FROM h GROUP BY rule),
-k AS (SELECT rule, mean, CASE WHEN var > 1e-12 THEN least(greatest(mean * (1 - mean) / var - 1, 1), 1e6::DOUBLE) ELSE 1e6::DOUBLE END AS strength FROM s),
+s AS (SELECT rule, sum(bad) / sum(n) AS mean, sum(bad * bad / n) AS sq, sum(n) AS n, sum(n * n) AS n2, count(*) - 1 AS k FROM h GROUP BY rule),
+o AS (SELECT rule, mean, CASE WHEN mean > 0 AND mean < 1 AND n - n2 / n - k > 1e-9 THEN ((sq - n * mean * mean) / (mean * (1 - mean)) - k) / (n - n2 / n - k) ELSE 0::DOUBLE END AS rho FROM s),
+k AS (SELECT rule, mean, CASE WHEN rho > 1e-6::DOUBLE THEN least(greatest(1 / rho - 1, 1), 1e6::DOUBLE) ELSE 1e6::DOUBLE END AS strength FROM o),
 r AS (SELECT source, max((bad + mean * strength) / (n + strength)) AS rate FROM h JOIN k USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed, NOT (short OR repeats) AND rate <= 0.5::DOUBLE AS kept, round(rate, 6) AS host_rate FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source""",
 }
