@@ -8,16 +8,24 @@ record (at most ``LENGTH + W - 1`` bytes), and repeats are found among the
 records of each anchor:
 
 1. Anchors that occur once in the corpus are dropped (a distributed count).
-2. Equal records are collapsed, with their number, before they are sent on.
-3. The different records of an anchor go together to one task, which builds the
+2. Equal records are collapsed before they are sent on; a record found more than
+   once goes on as two copies, so that its windows meet in the order like all
+   others.
+3. The records of an anchor go together to one task, which builds the
    (positional) Burrows-Wheeler transform of a collection of whole anchor groups
    column by column: each round inserts one symbol of every record and updates
-   the order and the common prefixes, both held in external files that are read
-   and written in sequence.  A window with a common prefix of ``LENGTH`` with a
-   neighbour in the order of its column is a repeat.
-4. An anchor with more than ``HOT`` different records (a common line amid ever
-   different text) would be too large a group; the windows of its records are
-   told apart by 128-bit digests, counted with map-side combination.
+   the transform, the order and the common prefixes, held in external files of the
+   shared folder that are read and written in sequence.  A window with a common
+   prefix of ``LENGTH`` with a neighbour in the order of its column is a repeat.
+   Nothing else makes a repeat.
+4. An anchor of more than ``GROUP`` different records (a common line amid ever
+   different text) is cut in two by the place of the anchor in the window, and each half is keyed
+   by the bytes that all its windows share; this goes on until every group is
+   small enough for one task.  After eight halvings a group's windows are equal,
+   so it ends.  All groups go through step 3.
+
+Records and groups are keyed by 64-bit hashes: two different records are taken
+for one only if both their anchors' and their contents' hashes agree.
 
 Edge cases: null text is empty; texts under ``LENGTH`` bytes keep all; matches
 never cross texts; repeated rows are copies of each other; a text of any length
@@ -28,26 +36,25 @@ rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
-import shutil
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import textbytes as tb
 from granary.llm.runs import runs
-from granary.llm.scratch import cut
+from granary.llm.scratch import cut, shared_dir
 
 LENGTH = 200
 K = 64
 W = LENGTH - K + 1
 PART = 1 << 20
 CHUNK = 4 << 20
-HOT = 20_000
+GROUP = 20_000
 BROADCAST_ROWS = 1_000_000
 POSITION = np.uint64((1 << 24) - 1)
 
@@ -127,33 +134,34 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class ExternalColumns:
-    """The order of the suffixes and their common prefixes, each in a file of its own, rewritten in sequence every round."""
+    """Files of one collection in ``folder``: the transform, column after column, and the order of the suffixes and
+    their common prefixes, which are rewritten in sequence every round."""
 
     kinds = {"order": np.int32, "prefixes": np.uint8}
 
-    def __init__(self) -> None:
-        self.folder = tempfile.mkdtemp(prefix="bwt-")
-        self.files = [open(os.path.join(self.folder, name), "w+b", buffering=0) for name in self.kinds]
-        self.n = 0
+    def __init__(self, folder: str) -> None:
+        self.fs, path = fs.FileSystem.from_uri(folder)
+        self.folder = f"{path}/bwt-{uuid.uuid4().hex}"
+        self.fs.create_dir(self.folder)
+        self.transform = self.fs.open_output_stream(f"{self.folder}/transform")
 
-    def write(self, *columns: np.ndarray) -> None:
-        """Replace both columns; files keep their room, ``n`` tells how much of it is in use."""
-        self.n = len(columns[0])
-        for file, column in zip(self.files, columns):
-            file.seek(0)
-            file.write(memoryview(np.ascontiguousarray(column)).cast("B") if self.n else b"")
+    def write(self, symbols: np.ndarray, *columns: np.ndarray) -> None:
+        """Add a column of the transform and replace the order and the prefixes."""
+        self.transform.write(np.ascontiguousarray(symbols))
+        for name, column in zip(self.kinds, columns):
+            with self.fs.open_output_stream(f"{self.folder}/{name}") as file:
+                file.write(np.ascontiguousarray(column))
 
     def read(self) -> list[np.ndarray]:
         out = []
-        for file, kind in zip(self.files, self.kinds.values()):
-            file.seek(0)
-            out.append(np.frombuffer(file.read(self.n * np.dtype(kind).itemsize), kind))
+        for name, kind in self.kinds.items():
+            with self.fs.open_input_stream(f"{self.folder}/{name}") as file:
+                out.append(np.frombuffer(file.read(), kind))
         return out
 
     def close(self) -> None:
-        for file in self.files:
-            file.close()
-        shutil.rmtree(self.folder, ignore_errors=True)
+        self.transform.close()
+        self.fs.delete_dir(self.folder)
 
 
 def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -168,7 +176,7 @@ def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(np.append(values, np.uint8(0)), ends)[::2][::-1]
 
 
-def repeats(data: np.ndarray, offsets: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+def repeats(data: np.ndarray, offsets: np.ndarray, anchors: np.ndarray, folder: str) -> np.ndarray:
     """For each byte of the records: whether a window that starts there stands elsewhere among them too.
 
     The records stand aligned by their anchors (``anchors``: its place in each),
@@ -192,9 +200,9 @@ def repeats(data: np.ndarray, offsets: np.ndarray, anchors: np.ndarray) -> np.nd
     right, left = sizes - anchors, -anchors
     by_end = np.argsort(-right, kind="stable").astype(np.int32)
     ends = -right[by_end]
-    files = ExternalColumns()
+    files = ExternalColumns(folder)
     try:
-        files.write(np.zeros(0, np.int32), np.zeros(0, np.uint8))
+        files.write(np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.uint8))
         come = 0
         for j in range(int(right.max()) - 1, int(left.min()) - 1, -1):
             order, common = files.read()
@@ -215,7 +223,7 @@ def repeats(data: np.ndarray, offsets: np.ndarray, anchors: np.ndarray) -> np.nd
             now = np.zeros(len(p), np.uint8)
             now[at] = np.minimum(_least(common, p[at - 1] + 1, p[at] + 1), LENGTH - 1) + 1
             order = order[p]
-            files.write(order, now)
+            files.write(symbol, order, now)
             start = anchors[order] + j
             window = sizes[order] - start >= LENGTH
             shared = np.maximum(now, np.append(now[1:], np.uint8(0))) >= LENGTH
@@ -225,27 +233,24 @@ def repeats(data: np.ndarray, offsets: np.ndarray, anchors: np.ndarray) -> np.nd
     return out
 
 
-def _transformed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows repeated of records (anchor, content, n, bytes), sorted by anchor, in chunks of whole anchors."""
+def _transformed(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """The windows repeated of records (key, ckey, n, place, bytes), sorted by key, in chunks of whole groups."""
 
     def done(tables: list[pa.Table]) -> pa.RecordBatch:
         table = pa.concat_tables(tables).combine_chunks()
-        bytes_ = table.column("bytes").combine_chunks().cast(pa.large_binary())
-        offsets = np.frombuffer(bytes_.buffers()[1], np.int64)[bytes_.offset : bytes_.offset + len(bytes_) + 1]
-        data = np.frombuffer(bytes_.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        again = repeats(data, offsets, np.asarray(table.column("place").combine_chunks()).astype(np.int64))
-        many = np.asarray(table.column("n").combine_chunks()) > 1
+        key, ckey, n, place, raw = (table.column(k).combine_chunks() for k in range(5))
+        own = np.arange(len(raw))
+        copies = np.flatnonzero(np.asarray(n) > 1)
+        who = np.concatenate([own, copies])
+        data, offsets = tb.raw(raw.cast(pa.large_binary()).take(pa.array(who)))
+        again = repeats(data, offsets, np.asarray(place).astype(np.int64)[who], folder)
         masks = []
-        for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
-            mask = again[a : b - LENGTH + 1] | many[k]
+        for a, b in zip(offsets[: len(own)].tolist(), offsets[1 : len(own) + 1].tolist()):
+            mask = again[a : b - LENGTH + 1]
             masks.append(np.packbits(mask).tobytes() if mask.any() else None)
         masks = pa.array(masks, pa.binary())
         has = masks.is_valid()
-        return pa.RecordBatch.from_arrays(
-            [table.column(k).combine_chunks().filter(has) for k in ("anchor", "content")] + [masks.filter(has)],
-            names=["anchor", "content", "mask"],
-        )
+        return pa.RecordBatch.from_arrays([key.filter(has), ckey.filter(has), masks.filter(has)], names=["key", "ckey", "mask"])
 
     held, size = [], 0
     for run in runs(batches, 1):
@@ -259,7 +264,7 @@ def _transformed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, content, n, d, place, bytes) of texts with their lists of records."""
+    """(anchor, content, n, place, bytes) of texts with their lists of records."""
     for batch in tb.tidy(batches):
         data, offsets = tb.flat(batch.column(0))
         lists = batch.column(1)
@@ -269,51 +274,89 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = a + np.asarray(flat.field("windows")) + LENGTH - 1
         raw = data.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [flat.field(x) for x in ("anchor", "content", "n", "d", "place")] + [pa.array([raw[x:y] for x, y in zip(a, b)], pa.binary())],
-            names=["anchor", "content", "n", "d", "place", "bytes"],
+            [flat.field(x) for x in ("anchor", "content", "n", "place")] + [pa.array([raw[x:y] for x, y in zip(a, b)], pa.binary())],
+            names=["anchor", "content", "n", "place", "bytes"],
         )
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, content, window, 128-bit digest, n) of every window of records (anchor, content, n, bytes)."""
-    for batch in tb.tidy(batches):
-        anchor, content, n = (np.asarray(batch.column(k)) for k in range(3))
-        rows = [
-            (k, w, hashlib.blake2b(x[w : w + LENGTH], digest_size=16).digest())
-            for k, x in enumerate(batch.column(3).to_pylist())
-            for w in range(len(x) - LENGTH + 1)
-        ]
-        who = np.array([r[0] for r in rows], np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(anchor[who]),
-                pa.array(content[who]),
-                pa.array([r[1] for r in rows], pa.int32()),
-                pa.array([r[2] for r in rows], pa.binary()),
-                pa.array(n[who]),
-            ],
-            names=["anchor", "content", "w", "digest", "n"],
-        )
+PIECE = "anchor long, content long, first int, key long, ckey long, lo int, hi int, n long, place int, bytes binary"
+
 
+def _hash(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
 
-def _masked(windows: DataFrame) -> DataFrame:
-    """(anchor, content, mask) from (anchor, content, w): a record has at most W windows."""
+
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each piece whose anchor stands in the first and in the second half of its range of places.
+
+    All windows of a half hold the bytes from ``l`` before the anchor to ``LENGTH - h`` after its start.
+    """
+    for batch in tb.tidy(batches):
+        rows = []
+        for r in batch.to_pylist():
+            mid = (r["lo"] + r["hi"]) // 2
+            x, place = r["bytes"], r["place"]
+            for l, h in ((r["lo"], mid), (mid + 1, r["hi"])):  # noqa: E741
+                w1, w2 = max(0, place - h), min(len(x) - LENGTH, place - l)
+                if w1 <= w2:
+                    own = x[w1 : w2 + LENGTH]
+                    shared = x[place - l : place + LENGTH - h]
+                    key = _hash(r["key"].to_bytes(8, "little", signed=True), bytes([l]), shared)
+                    rows.append(r | {"first": r["first"] + w1, "key": key, "ckey": _hash(own), "lo": l, "hi": h, "place": place - w1, "bytes": own})
+        yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+
+
+def _whole(masks: DataFrame) -> DataFrame:
+    """(anchor, content, mask) of records whose windows' masks came in pieces (at most W of a record)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.tidy(batches):
-            masks = []
-            for ws in batch.column(2).to_pylist():
-                bits = np.zeros(W, np.uint8)
-                bits[ws] = 1
-                masks.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks, pa.binary())], names=["anchor", "content", "mask"])
+            out = []
+            for parts in batch.column(2).to_pylist():
+                bits = np.zeros(W + 8, np.uint8)
+                for x in parts:
+                    own = np.unpackbits(np.frombuffer(x["mask"], np.uint8))
+                    bits[x["first"] : x["first"] + len(own)] |= own[: len(bits) - x["first"]]
+                out.append(np.packbits(bits[:W]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["anchor", "content", "mask"])
 
     return (
-        windows.groupBy("anchor", "content").agg(F.collect_set("w").alias("ws"))
+        masks.groupBy("anchor", "content").agg(F.collect_list(F.struct("first", "mask")).alias("parts"))
         .transform(tb.bounded).mapInArrow(run, "anchor long, content long, mask binary")
     )
 
 
+def _groups(parts: DataFrame, group: int) -> DataFrame | None:
+    """The records in groups of at most ``group`` different ones (``PIECE``); None if the anchors are such groups."""
+
+    def hot(sizes: DataFrame) -> DataFrame | None:
+        found = cut(sizes.where(F.col("d") > group).select(F.col("key").alias("hot")), "hot")
+        return None if found.isEmpty() else F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+
+    many = hot(parts.groupBy(F.col("anchor").alias("key")).agg(F.count(F.lit(1)).alias("d")))
+    if many is None:
+        return None
+    pieces = parts.select(
+        "anchor", "content", F.lit(0).alias("first"), F.col("anchor").alias("key"), F.col("content").alias("ckey"),
+        F.lit(0).alias("lo"), F.lit(W - 1).alias("hi"), "n", "place", "bytes",
+    )
+    while many is not None:
+        same = F.col("key") == F.col("hot")
+        halves = pieces.join(many, same, "left_semi").transform(tb.bounded).mapInArrow(_halved, PIECE)
+        pieces = cut(pieces.join(many, same, "left_anti").unionByName(halves), "pieces")
+        many = hot(pieces.select("key", "ckey").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("d")))
+    return pieces
+
+
+def _marked(records: DataFrame) -> DataFrame:
+    """(key, ckey, mask) of records (key, ckey, n, place, bytes)."""
+    folder = shared_dir(records.sparkSession)
+    return (
+        records.repartition("key").sortWithinPartitions("key")
+        .transform(tb.bounded).mapInArrow(lambda batches: _transformed(batches, folder), "key long, ckey long, mask binary")
+    )
+
+
 def _near(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose (doc_id, th) may be in ``wanted``: by a broadcast if that is small, else all."""
     ids = cut(wanted.select(F.col("th").alias("__th")).distinct(), "ids")
@@ -322,7 +365,7 @@ def _near(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids), F.col("th") == F.col("__th"), "left_semi")
 
 
-def repeated_windows(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """``docs`` keyed (doc_id, th, text) and, for each text with repeats, its (a, mask) list of windows."""
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
@@ -338,39 +381,27 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFr
     different = found.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("n"), F.any_value("windows").alias("windows"), F.any_value("place").alias("place"), F.min(F.struct("doc_id", "th", "a")).alias("at")
     )
-    different = cut(different, "different")
-    groups = cut(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")), "groups")
-    sized = different.join(groups, "anchor")
-    # one content only: all its places are copies
-    full = sized.where("d = 1 AND n > 1").select("anchor", "content", F.lit(b"\xff" * (-(-W // 8))).alias("mask"))
     wanted = cut(
-        sized.where("d > 1")
-        .groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"))
-        .agg(F.collect_list(F.struct(F.col("at.a").alias("a"), "windows", "anchor", "content", "place", "n", "d")).alias("list")),
+        different.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"))
+        .agg(F.collect_list(F.struct(F.col("at.a").alias("a"), "windows", "anchor", "content", "place", "n")).alias("list")),
         "wanted",
     )
     some = (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("th") == F.col("__th"))
     listed = wanted.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "list")
-    parts = (
+    parts = cut(
         _near(long, wanted).dropDuplicates(["doc_id", "th"]).join(listed, some)
         .select("text", "list")
-        .transform(tb.bounded).mapInArrow(_sliced, "anchor long, content long, n long, d long, place int, bytes binary")
+        .transform(tb.bounded).mapInArrow(_sliced, "anchor long, content long, n long, place int, bytes binary"),
+        "parts",
     )
-    masks = full
-    columns = ["anchor", "content", "n", "bytes"]
-    if not groups.where(F.col("d") > hot).isEmpty():
-        parts = cut(parts, "parts")
-        windows = parts.where(F.col("d") > hot).select(columns).transform(tb.bounded).mapInArrow(
-            _digests, "anchor long, content long, w int, digest binary, n long"
+    pieces = _groups(parts, group)
+    if pieces is None:
+        masks = _marked(parts.select(F.col("anchor").alias("key"), F.col("content").alias("ckey"), "n", "place", "bytes")).toDF("anchor", "content", "mask")
+    else:
+        records = pieces.groupBy("key", "ckey").agg(
+            F.sum("n").alias("n"), F.any_value("place").alias("place"), F.any_value("bytes").alias("bytes")
         )
-        twice = windows.groupBy("digest").agg(F.sum("n").alias("m")).where("m > 1").select("digest")
-        masks = masks.unionByName(_masked(windows.join(twice, "digest").select("anchor", "content", "w")))
-        parts = parts.where(F.col("d") <= hot)
-    transformed = (
-        parts.select(*columns, "place").repartition("anchor").sortWithinPartitions("anchor")
-        .transform(tb.bounded).mapInArrow(_transformed, "anchor long, content long, mask binary")
-    )
-    masks = masks.unionByName(transformed)
+        masks = _whole(pieces.select("anchor", "content", "first", "key", "ckey").join(_marked(records), ["key", "ckey"]))
     # rows equal in all three are repeated documents, which share their spans
     hits = found.join(masks, ["anchor", "content"]).groupBy("doc_id", "th", "a").agg(
         F.any_value("windows").alias("windows"), F.any_value("mask").alias("mask")
@@ -408,9 +439,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<s,e>>, kept binary) of every document."""
-    keyed, hits = repeated_windows(docs, hot)
+    keyed, hits = repeated_windows(docs, group)
     other = hits.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "hits")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
     schema = "doc_id long, n_bytes long, spans array<struct<s:long,e:long>>, kept binary"
