@@ -7,14 +7,16 @@ counts.  The neural model predicts the unit of a token from the units of the
 two before it: the context vector is the sum of two scaled unit vectors, and
 the score of a unit is its product with that unit's output vector plus a bias.
 
-Every partition of the training documents trains on all its tokens in numpy,
-from one common start, against shared noise drawn from the unit counts; the
-weights are averaged by token count in a tree.  For scoring, the exponentials
+Training documents are dealt by a hash of id and text into ``ROUNDS`` rounds and,
+within a round, into parts of about ``PART_BYTES`` of text, so neither files nor
+partitions matter.  In a round every part trains in numpy on all its tokens, in
+the order of that hash, from the weights at hand, against shared noise drawn from the unit
+counts; the weights are then averaged by token count in a tree.  For scoring, the exponentials
 factor over the two context places, so one matrix product gives the normaliser
 of every pair of context units, and the token probabilities sum to one.
 
-The counts of the ``COMMON`` most frequent tokens are broadcast, a fixed size;
-all other tokens get their counts by a join.
+The counts of the ``COMMON`` most frequent tokens of at most ``TOKEN_BYTES``
+bytes are broadcast, a fixed size; all other tokens get their counts by a join.
 
 Edge cases: null text is empty and has its end token only; rows with a null id
 are scored and never teach; without any training row the model is uniform;
@@ -40,6 +42,7 @@ from granary.llm.scratch import cut
 
 END = "\n"  # no word holds white space
 COMMON = 1 << 18
+TOKEN_BYTES = 64
 OWN = 768
 BINS = 256
 UNITS = OWN + BINS
@@ -50,6 +53,8 @@ RATE = 0.15
 SMOOTH = 0.1
 SLICE_BYTES = 8 << 20
 FAN_IN = 64
+ROUNDS = 3
+PART_BYTES = 16 << 20
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -120,7 +125,7 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """Of the table of counts: the common tokens and, over all others, sums a bin."""
-    top = counts.orderBy((F.col("token") == END).desc(), F.desc("c"), "token").limit(COMMON).toArrow()
+    top = counts.where(F.octet_length("token") <= TOKEN_BYTES).orderBy((F.col("token") == END).desc(), F.desc("c"), "token").limit(COMMON).toArrow()
     common = pa.concat_arrays(top.column(0).chunks) if top.num_rows else pa.array([], pa.string())
     common = common.cast(pa.large_string())
     if not len(common) or common[0].as_py() != END:
@@ -229,52 +234,86 @@ def contexts(units: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return u1, u2
 
 
-def train(docs: DataFrame, shared, start: LogBilinear) -> LogBilinear:
-    """The model trained on every token of ``docs``; ``shared`` is the broadcast vocabulary."""
+class Trainer:
+    """A model that learns from texts, begun with the given weights."""
+
+    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray, part: int):
+        self.vocabulary = vocabulary
+        self.model = LogBilinear(vocabulary.noise())
+        self.model.load(weights)
+        self.rng = np.random.default_rng(part)
+        self.cumulated = np.cumsum(self.model.noise)
+        self.log_noise = np.log(NOISE * self.model.noise).astype(np.float32)
+        self.seen = 0
+
+    def learn(self, column: pa.Array) -> None:
+        for _, _, distinct, codes, at in _slices(column):
+            unit = self.vocabulary.units(distinct)[0].astype(np.int32)[codes]
+            u1, u2 = contexts(unit, at)
+            for k in range(0, len(unit), BATCH):
+                noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), UNITS - 1)
+                self.model.learn(u1[k : k + BATCH], u2[k : k + BATCH], unit[k : k + BATCH], noise, self.log_noise)
+            self.seen += len(unit)
+
+    def row(self, part: int) -> pa.RecordBatch:
+        weighted = (self.model.flat() * self.seen).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([self.seen]), pa.array([weighted], pa.binary())], names=["part", "n", "w"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        vocabulary = shared.value
-        model = LogBilinear(vocabulary.noise())
-        rng = np.random.default_rng(part)
-        cumulated = np.cumsum(model.noise)
-        log_noise = np.log(NOISE * model.noise).astype(np.float32)
-        seen = 0
-        for batch in tb.tidy(batches):
-            for _, _, distinct, codes, at in _slices(batch.column(0)):
-                unit = vocabulary.units(distinct)[0].astype(np.int32)[codes]
-                u1, u2 = contexts(unit, at)
-                for k in range(0, len(unit), BATCH):
-                    noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), UNITS - 1)
-                    model.learn(u1[k : k + BATCH], u2[k : k + BATCH], unit[k : k + BATCH], noise, log_noise)
-                seen += len(unit)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part]), pa.array([seen]), pa.array([(model.flat() * seen).tobytes()], pa.binary())],
-            names=["part", "n", "w"],
-        )
+
+def added(weights: DataFrame, parts: int, fan_in: int = FAN_IN) -> DataFrame:
+    """Sums of (part, n, w) by a tree, until at most ``fan_in`` rows are left; no task gets more than ``fan_in``."""
 
     def summed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")  # sums of floats depend on the order
         w = np.sum([np.frombuffer(x, np.float64) for x in table.column("w").to_pylist()], axis=0)
         part, n = table.column("part")[0].as_py(), pc.sum(table.column("n")).as_py()
         return pa.table({"part": [part], "n": [n], "w": pa.array([w.tobytes()], pa.binary())})
 
-    weights = docs.select("text").transform(tb.bounded).mapInArrow(run, "part long, n long, w binary")
-    parts = docs.rdd.getNumPartitions()
-    while True:  # each level leaves one row for FAN_IN
-        groups = -(-parts // FAN_IN)
+    while parts > fan_in:
+        groups = -(-parts // fan_in)
         weights = (
-            weights.where("n > 0")
-            .groupBy(F.pmod("part", F.lit(groups)).alias("to"))
+            weights.groupBy(F.pmod("part", F.lit(groups)).alias("to"))
             .applyInArrow(summed, "part long, n long, w binary")
-            .withColumn("part", F.floor(F.col("part") % groups))
+            .withColumn("part", F.pmod("part", F.lit(groups)))
         )
         parts = groups
-        if parts <= FAN_IN:
-            break
-    rows = weights.toArrow()  # at most FAN_IN rows
-    n = sum(rows.column("n").to_pylist())
-    if n:
-        start.load(np.sum([np.frombuffer(x, np.float64) for x in rows.column("w").to_pylist()], axis=0) / n)
+    return weights
+
+
+def train(docs: DataFrame, shared, start: LogBilinear) -> LogBilinear:
+    """The model trained on every token of ``docs``; ``shared`` is the broadcast vocabulary."""
+    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").alias("size"))
+    size = dealt.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(1, -(-int(size) // (ROUNDS * PART_BYTES)))
+    context = docs.sparkSession.sparkContext
+    for turn in range(ROUNDS):
+        weights = context.broadcast(start.flat())
+
+        def run(batches: Iterator[pa.RecordBatch], weights=weights, turn=turn) -> Iterator[pa.RecordBatch]:
+            at, trainer = -1, None
+            for batch in tb.tidy(batches):
+                part = np.asarray(batch.column(0))
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    if b > a and part[a] != at:
+                        if trainer is not None and trainer.seen:
+                            yield trainer.row(at)
+                        at = int(part[a])
+                        trainer = Trainer(shared.value, weights.value, at * ROUNDS + turn)
+                    if b > a:
+                        trainer.learn(batch.column(1)[a:b])
+            if trainer is not None and trainer.seen:
+                yield trainer.row(at)
+
+        own = (
+            dealt.where(F.pmod("h", F.lit(ROUNDS)) == turn)
+            .select(F.pmod(F.floor(F.col("h") / ROUNDS), F.lit(parts)).cast("long").alias("part"), "text", "h")
+            .repartition(parts, "part").sortWithinPartitions("part", "h", "text").select("part", "text")
+        )
+        rows = added(own.transform(tb.bounded).mapInArrow(run, "part long, n long, w binary"), parts).toArrow().sort_by("part")  # at most FAN_IN rows
+        n = sum(rows.column("n").to_pylist())
+        if n:
+            start.load(np.sum([np.frombuffer(x, np.float64) for x in rows.column("w").to_pylist()], axis=0) / n)
     return start
 
 

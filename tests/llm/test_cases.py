@@ -195,7 +195,7 @@ def test_a_full_table_is_begun_anew(monkeypatch):
     rng = random.Random(1)
     texts = [prose(rng, rng.randint(0, 12)) for _ in range(60)] + ["  ", "", "x" * 300, " a", "a "]
     c = piece_codec.Codec(piece_codec.model_path())
-    got = [piece_codec._ids(rows).tolist() for rows in piece_codec._texts(c, pa.array(texts))]
+    got = [piece_codec._ids(x).tolist() for _, x, _ in piece_codec._texts(c, pa.array(texts))]
     assert got == [c.lib.encode(t) for t in texts]
 
 
@@ -210,3 +210,52 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         scratch.shared_dir(Session)
+
+
+def test_weights_add_up_over_two_levels(spark):
+    from granary.llm import lm
+
+    rows = [(k, k + 1, np.full(3, float(k)).tobytes()) for k in range(23)]
+    df = spark.createDataFrame(rows, "part long, n long, w binary")
+    out = lm.added(df, 23, 3).collect()
+    assert len(out) <= 3 and sum(r["n"] for r in out) == sum(range(24))
+    assert sum(np.frombuffer(r["w"], np.float64)[0] for r in out) == sum(range(23))
+
+
+def test_scores_against_a_plain_loop(spark):
+    """Each token's probability from the trained weights, one at a time; nor do partitions change the weights."""
+    from granary.llm import lm
+
+    rng = random.Random(21)
+    texts = [prose(rng, rng.randint(0, 60)) for _ in range(80)] + ["", None, "x" * 500 + " unseen words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    taught = F.col("doc_id") < 70
+    got = {r["doc_id"]: r["score"] for r in lm.score(df.repartition(5), taught)[0].collect()}
+    again = {r["doc_id"]: r["score"] for r in lm.score(df.repartition(2), taught)[0].collect()}
+    assert got == pytest.approx(again, rel=1e-6)
+
+    vocab = lm.vocabulary(lm.token_counts(df.where(taught)))
+    shared = spark.sparkContext.broadcast(vocab)
+    model = lm.train(df.where(taught), shared, lm.LogBilinear(vocab.noise()))
+    r, q, b, s = (model.w[k].astype(float) for k in "rqbs")
+    common = vocab.common.to_pylist()
+    count = dict(zip(common, vocab.c.tolist()))
+
+    def unit_of(token):
+        if token in count and common.index(token) < lm.OWN:
+            return common.index(token)
+        raw = token.encode()
+        return lm.OWN + (raw[-1] * 31 + (raw[-2] * 7 if len(raw) > 1 else 0)) % lm.BINS
+
+    for k in (0, 5, 69, 72, 79, 80, 81, 82):
+        units, total = [0, 0], 0.0
+        for token in [*((texts[k] or "").lower().split()), lm.END]:
+            u = unit_of(token)
+            h = r[units[-1]] * s[0] + r[units[-2]] * s[1]
+            scores = q @ h + b
+            total += (scores[u] - np.log(np.exp(scores - scores.max()).sum()) - scores.max()) / np.log(10)
+            if u >= lm.OWN:
+                den = vocab.bin_tokens[u - lm.OWN] + lm.SMOOTH * (vocab.bin_distinct[u - lm.OWN] + 1)
+                total += np.log10((count.get(token, 0) + lm.SMOOTH) / den)
+            units.append(u)
+        assert got[k] == pytest.approx(total, rel=1e-4)
