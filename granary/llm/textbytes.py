@@ -54,7 +54,11 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets of the texts); null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_string()).cast(pa.large_binary())
+    return raw(pc.fill_null(column, "").cast(pa.large_string()).cast(pa.large_binary()))
+
+
+def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, offsets) of a large binary array without nulls."""
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, dtype=np.uint8)
