@@ -22,16 +22,23 @@ def contained(need: Column, allowed: Column) -> Column:
     return F.size(F.array_except(need, allowed)) == 0
 
 
-#: fixed values: signs of an injected instruction, in both languages
+#: fixed values: signs of an injected instruction, in both languages, by what they try
 INJECTIONS = (
-    r"(?iU)ignore\s+(all\s+)?(previous|prior|above)\s+instructions",
-    r"(?iU)(игнорируй|забудь)\s+(все\s+)?(предыдущие|прошлые|прежние)",
-    r"(?iU)system\s+prompt",
-    r"(?iU)системн\w+\s+(промпт|инструкци)",
-    r"(?iU)you\s+are\s+now\s+",
-    r"(?iU)ты\s+теперь\s+",
-    r"(?iU)(reveal|show)\s+(your|the)\s+(prompt|instructions)",
-    r"(?iU)(раскрой|покажи)\s+(свои|твои)\s+инструкции",
+    # put the rules aside
+    r"(?iU)\b(?:игнорируй|не\s+обращай\s+внимания\s+на)\s+(?:все\s+)?(?:(?:предыдущ|прошл|сво|тво)\w+\s+)?(?:инструкции|правила|указания|ограничения)",
+    # forget them
+    r"(?iU)\bзабудь\s+(?:все\s+)?(?:инструкции|правила|что\s+тебе\s+говорили)",
+    # be somebody else
+    r"(?iU)\b(?:теперь\s+ты|ты\s+больше\s+не)\s+\w",
+    # show the prompt
+    r"(?iU)\b(?:выведи|повтори|покажи)\s+(?:свой\s+)?(?:исходн|системн)\w+\s*(?:инструкц|промпт|сообщение)",
+    # the same as the first, in English
+    r"(?iU)\b(?:disregard|ignore)\s+(?:all\s+)?(?:prior|previous)\s+instructions",
+    r"(?iU)system\s*prompt",
+    # whatever the rights
+    r"(?iU)\bвыдай\s.{0,30}(?:несмотря|независимо)\s+(?:на|от)\s.{0,30}(?:прав|роль|доступ)",
+    # in another's name
+    r"(?iU)\b(?:представь,?\s+что\s+ты|от\s+имени)\s+(?:директор|администратор)",
 )
 
 
@@ -62,12 +69,16 @@ def masked(text: Column) -> Column:
 
 def limited(events: DataFrame, per_hour: int, per_day: int, total: int) -> DataFrame:
     """(event_id, allowed): under the user's hourly and daily and the common daily limit of events before it."""
-    e = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    e = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("second", F.date_trunc("second", "ts"))
     by_user = Window.partitionBy("user_id").orderBy("us")
-    by_day = Window.partitionBy(F.to_date("ts")).orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     hour = F.count(F.lit(1)).over(by_user.rangeBetween(-3_599_999_999, -1))
     day = F.count(F.lit(1)).over(by_user.rangeBetween(-86_399_999_999, -1))
-    return e.select("event_id", ((hour < per_hour) & (day < per_day) & (F.count(F.lit(1)).over(by_day) < total)).alias("allowed"))
+    # of the day: whole seconds before, at most 86,400 rows, and what came earlier in the second
+    before = Window.partitionBy(F.to_date("second")).orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
+    seconds = e.groupBy("second").agg(F.count(F.lit(1)).alias("n")).select("second", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    within = F.count(F.lit(1)).over(Window.partitionBy("second").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, -1))
+    counted = e.select("event_id", "second", (hour < per_hour).alias("h"), (day < per_day).alias("d"), within.alias("within")).join(seconds, "second")
+    return counted.select("event_id", (F.col("h") & F.col("d") & (F.col("earlier") + F.col("within") < total)).alias("allowed"))
 
 
 def locked(failures: DataFrame, key: str, n: int, seconds: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.operators.common import common_share
+from granary.operators.common import at_ranks, common_share
 
 
 def funnel(questions: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -83,13 +83,12 @@ def histogram(scores: DataFrame, bins: int = 24) -> DataFrame:
 
 def threshold_advice(scores: DataFrame, qs=(0.05, 0.10, 0.15, 0.20, 0.30, 0.40)) -> DataFrame:
     """For the floor-index quantiles as thresholds: what each cuts, and which is best (bad - 3 * good, first wins)."""
-    w = Window.partitionBy(F.lit(1))
-    ranked = scores.select("score", (F.row_number().over(w.orderBy("score")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(q).alias("q")) for k, q in enumerate(qs)])).alias("g")
+    names = [f"q{k}" for k in range(len(qs))]
+    ranks = {name: (lambda n, q=q: F.least(F.floor(n * q), n - 1)) for name, q in zip(names, qs)}
+    found = at_ranks(scores, "score", ranks, [])  # one row
     cuts = (
-        ranked.select("score", "i", "n", grid)
-        .where(F.col("i") == F.least(F.floor(F.col("n") * F.col("g.q")), F.col("n") - 1))
-        .groupBy(F.round("score", 5).alias("threshold"))
+        found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(name).alias("score")) for k, name in enumerate(names)])).alias("g"))
+        .groupBy(F.round("g.score", 5).alias("threshold"))
         .agg(F.min("g.k").alias("k"))
     )
     hit = F.col("score") < F.col("threshold")
@@ -108,17 +107,16 @@ def threshold_advice(scores: DataFrame, qs=(0.05, 0.10, 0.15, 0.20, 0.30, 0.40))
 
 def score_summary(scores: DataFrame, below: float) -> DataFrame:
     """Upper median (element n // 2), extremes, and what lies on the wrong side of a threshold."""
-    w = Window.partitionBy(F.lit(1))
-    ranked = scores.select("score", "verdict", (F.row_number().over(w.orderBy("score")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
     low = F.col("score") < below
-    return ranked.agg(
-        F.max(F.when(F.col("i") == F.floor(F.col("n") / 2), F.col("score"))).alias("median"),
+    middle = at_ranks(scores, "score", {"median": lambda n: F.floor(n / 2)}, [])  # one row
+    counted = scores.agg(
         F.min("score").alias("least"),
         F.max("score").alias("most"),
         F.count_if(low).alias("below"),
         F.count_if(low & (F.col("verdict") == "up")).alias("good_below"),
         F.count_if(~low & (F.col("verdict") == "down")).alias("bad_above"),
     )
+    return counted.join(F.broadcast(middle), F.lit(True), "left").select("median", "least", "most", "below", "good_below", "bad_above")
 
 
 def channel_shares(questions: DataFrame) -> DataFrame:

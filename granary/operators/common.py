@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,22 +14,37 @@ def newest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return ranked.where("__r = 1").drop("__r")
 
 
-def floor_quantiles(df: DataFrame, value: str, ps: list[float], by: list[str]) -> DataFrame:
-    """For each group the sorted value at index min(floor(n * p), n - 1), as p05, p50, ...
+def at_ranks(df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], by: list[str], bins: int = 4096) -> DataFrame:
+    """For each group the value at given places of its order: name -> place (from 0) as a function of the count.
 
-    One sort of each group; no interpolation.
+    Exact, and no group is sorted whole: counts of ``bins`` equal ranges between
+    the least and the largest value tell the range of each place; of that range
+    alone the different values are put in order.  Nulls do not count.
     """
-    ranked = df.select(
-        *by,
-        F.col(value).alias("__v"),
-        (F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1).alias("__i"),
-        F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("__n"),
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.lit(0).alias("__all"), F.col(value).alias("__v"))
+    keys = [*by, "__all"]
+    ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    where = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins)).otherwise(F.lit(0)).cast("long")
+    counted = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__m")).join(ends, keys).withColumn("__bin", where)
+    upto = lambda w: F.sum("__m").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = counted.groupBy(*keys, "__bin").agg(F.sum("__m").alias("__m"), F.any_value("__n").alias("__n"))
+    ranges = ranges.withColumn("__before", F.coalesce(upto(Window.partitionBy(*keys).orderBy("__bin")), F.lit(0)))
+    places = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), f(F.col("__n")).cast("long").alias("at")) for k, f in ranks.items()])).alias("__p")
+    wanted = (
+        ranges.select(*keys, "__bin", "__m", "__before", places)
+        .where((F.col("__p.at") >= F.col("__before")) & (F.col("__p.at") < F.col("__before") + F.col("__m")))
+        .select(*keys, "__bin", F.col("__p.k").alias("__k"), (F.col("__p.at") - F.col("__before")).alias("__rest"))
     )
-    picks = [
-        F.max(F.when(F.col("__i") == F.least(F.floor(F.col("__n") * p), F.col("__n") - 1), F.col("__v"))).alias(f"p{round(100 * p):02d}")
-        for p in ps
-    ]
-    return ranked.groupBy(*by).agg(*picks)
+    inside = counted.select(*keys, "__bin", "__v", "__m").join(wanted, [*keys, "__bin"])
+    inside = inside.withColumn("__before", F.coalesce(upto(Window.partitionBy(*keys, "__k").orderBy("__v")), F.lit(0)))
+    picked = inside.where((F.col("__rest") >= F.col("__before")) & (F.col("__rest") < F.col("__before") + F.col("__m")))
+    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("__k") == k, F.col("__v"))).alias(k) for k in ranks]).drop("__all")
+
+
+def floor_quantiles(df: DataFrame, value: str, ps: list[float], by: list[str]) -> DataFrame:
+    """For each group the sorted value at index min(floor(n * p), n - 1), as p05, p50, ...; no interpolation."""
+    ranks = {f"p{round(100 * p):02d}": (lambda n, p=p: F.least(F.floor(n * p), n - 1)) for p in ps}
+    return at_ranks(df, value, ranks, by)
 
 
 def common_share(n: Column, total: Column, places: int = 3) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.tables import written
+
 
 def chain_edges(docs: DataFrame, folder: str, node: str, most: int = 60, weight: float = 0.2) -> DataFrame:
     """Edges between documents that follow on each other in a folder, among its first ``most``."""
@@ -24,37 +26,44 @@ def connected(edges: DataFrame) -> DataFrame:
     """(node, label): each node's least reachable node, by label exchange until nothing changes.
 
     Labels jump along labels each round, so long chains take few rounds.  Each
-    round is checkpointed to the session's shared folder if one is set.
+    round is a written table.
     """
-    spark = edges.sparkSession
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct()
-    both = _kept(both, spark)
+    both = written(both)
     labels = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("node"), "label")
-    labels = _kept(labels, spark)
+    labels = written(labels)
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("j"))
         new = labels.join(near, "node").join(jump, "label", "left").select("node", F.least("label", "m", F.coalesce("j", "label")).alias("label"), F.col("label").alias("old"))
-        new = _kept(new, spark)
+        new = written(new)
         if new.where("label <> old").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
 
 
-def _kept(df: DataFrame, spark) -> DataFrame:
-    """Checkpointed where a shared folder is set, else persisted."""
-    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df.persist()
+def weighted_terms(terms: DataFrame) -> DataFrame:
+    """(id, term, w, df) of questions (id, term; distinct): weight ln(n / (1 + df)) + 1."""
+    n = terms.agg(F.countDistinct("id").alias("n"))
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return terms.join(df.join(F.broadcast(n)).select("term", "df", (F.ln(F.col("n") / (1 + F.col("df"))) + 1).alias("w")), "term").select("id", "term", "w", "df")
 
 
 def question_pairs(terms: DataFrame, least: float = 0.45) -> DataFrame:
-    """(a, b, sim) of questions (id, term; distinct): shared weight over the smaller total, weight ln(n / (1 + df)) + 1."""
-    n = terms.agg(F.countDistinct("id").alias("n"))
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = df.join(F.broadcast(n)).select("term", (F.ln(F.col("n") / (1 + F.col("df"))) + 1).alias("w"))
-    own = terms.join(weight, "term")
+    """(a, b, sim) of questions (id, term; distinct): shared weight over the smaller total, a < b, ``sim`` at least ``least``.
+
+    A pair shares ``least`` of the lighter question's weight only if they share one of
+    its rarer terms: those before what is left weighs less.  So only these are
+    joined with all terms, and common terms make no pairs.
+    """
+    own = written(weighted_terms(terms))
     total = own.groupBy("id").agg(F.sum("w").alias("total"))
-    left, right = own.select(F.col("id").alias("a"), "term", "w"), own.select(F.col("id").alias("b"), "term")
-    shared = left.join(right, "term").where("a < b").groupBy("a", "b").agg(F.sum("w").alias("shared"))
-    side = lambda x: total.select(F.col("id").alias(x), F.col("total").alias(f"t{x}"))
-    sim = F.col("shared") / F.least("ta", "tb")
-    return shared.join(side("a"), "a").join(side("b"), "b").select("a", "b", sim.alias("sim")).where(F.col("sim") >= least)
+    rest = F.sum("w").over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")))
+    rare = own.withColumn("rest", rest).join(total, "id").where(F.col("rest") >= least * F.col("total") - 1e-9).select(F.col("id").alias("u"), "term", F.col("total").alias("tu"))
+    other = own.join(total, "id").select(F.col("id").alias("v"), "term", F.col("total").alias("tv"))
+    heavier = (F.col("tv") > F.col("tu")) | ((F.col("tv") == F.col("tu")) & (F.col("v") > F.col("u")))
+    found = rare.join(other, "term").where(heavier).select("u", "v", "tu").distinct()
+    mine, theirs = own.select(F.col("id").alias("u"), "term", "w"), own.select(F.col("id").alias("v"), "term")
+    shared = found.join(mine, "u").join(theirs, ["v", "term"]).groupBy("u", "v", "tu").agg(F.sum("w").alias("shared"))
+    sim = F.col("shared") / F.col("tu")
+    return shared.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), sim.alias("sim")).where(F.col("sim") >= least)

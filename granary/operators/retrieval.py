@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions import arrow as ar
 from granary.functions import text as tx
-from granary.operators.common import dot, unit
+from granary.operators.tables import BROADCAST_ROWS, small, written
 
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
-    """(key, term, tf): term frequencies weighted by field; and ``size``, all tokens of the row."""
+def postings(docs: DataFrame, fields: dict[str, float], terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, term, tf, size) of the wanted ``terms``, written once: frequencies weighted by field, all tokens of the row.
+
+    Tokens nobody asks for go before the shuffle.  Every row also has a posting of
+    the empty term, so that its size is known whatever it holds.
+    """
     words = [_words(f) for f in fields]
     size = sum((F.size(w) for w in words[1:]), F.size(words[0]))
-    rows = F.flatten(F.array(*[_weighted(w, weight) for w, weight in zip(words, fields.values())]))
+    mark = F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("weight")))
+    rows = F.flatten(F.array(mark, *[_weighted(w, weight) for w, weight in zip(words, fields.values())]))
+    wanted = small(terms.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct())
     # the size in a projection of its own, else it is computed anew for every exploded token
-    out = docs.select(key, size.alias("size"), rows.alias("rows")).select(key, "size", F.explode("rows").alias("x"))
-    return out.groupBy(key, "size", F.col("x.term").alias("term")).agg(F.sum("x.weight").alias("tf"))
+    out = docs.select(key, size.alias("size"), rows.alias("rows")).select(key, "size", F.explode("rows").alias("x")).select(key, "size", "x.term", "x.weight")
+    return written(out.join(wanted, "term", "left_semi").groupBy(key, "size", "term").agg(F.sum("weight").alias("tf")))
 
 
 def _words(field: str) -> Column:
@@ -29,22 +36,15 @@ def _weighted(words: Column, weight: float) -> Column:
     return F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(float(weight)).alias("weight")))
 
 
-def collection(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """One row: n documents and their mean size in tokens."""
-    size = sum((F.size(_words(f)) for f in fields[1:]), F.size(_words(fields[0])))
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("avg_size"))
-
-
 def bm25(docs: DataFrame, terms: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
     """(query, key, score) for every document that holds a term of a query.
 
-    ``terms`` has (query, term), distinct.  Only postings of query terms are
-    shuffled: the terms, small, filter the exploded tokens by a join.
+    ``terms`` has (query, term), distinct.  The corpus is tokenised once.
     """
-    wanted = terms.select("term").distinct()
-    hits = postings(docs, fields, key).join(wanted, "term")
+    found = postings(docs, fields, terms, key)
+    size = found.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("avg_size"))
+    hits = found.where("term <> ''")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    size = collection(docs, list(fields))
     scored = hits.join(df, "term").join(F.broadcast(size))  # one row
     raw = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(1e-6)
@@ -58,17 +58,6 @@ def ranked(scored: DataFrame, by: str, order: str, key: str, top: int) -> DataFr
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """(query, vec_id, cosine, rank): exact search of stated queries (query, vector) against all vectors.
-
-    The queries are a block that is broadcast; callers keep it bounded.
-    """
-    rows = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
-    asked = queries.select("query", unit(F.col("vector")).alias("qv"))
-    scored = rows.join(F.broadcast(asked)).select("query", "vec_id", F.round(dot(F.col("v"), F.col("qv")), 6).alias("cosine"))
-    return ranked(scored, "query", "cosine", "vec_id", top)
-
-
 def recency(score: Column, dated: Column, as_of: Column, half_life: float = 540, alpha: float = 0.85) -> Column:
     """alpha * score + (1 - alpha) * score * 2 * 0.5 ** (age / half_life); 0.5 without a date, age 0 in the future."""
     age = F.greatest(F.datediff(as_of, dated), F.lit(0))
@@ -94,15 +83,15 @@ def blended(rows: DataFrame, by: str, weight: float = 0.8) -> DataFrame:
     return mixed.withColumn("score", F.when(most > 0, F.col("mix") / most * F.col("top")).otherwise(F.col("mix")))
 
 
-def coverage_score(query: Column, text: Column) -> Column:
-    """Lexical re-rank without proximity: 0.60 coverage + 0.15 code hits, damped by length."""
+def rerank_score(query: Column, text: Column) -> Column:
+    """Lexical re-rank: 0.60 coverage + 0.25 proximity + 0.15 code hits, damped by length."""
     q, d = F.array_distinct(tx.rerank_tokens(query)), tx.rerank_tokens(text)
     hits = F.array_intersect(q, d)
     code = F.filter(q, lambda x: x.rlike("[0-9]"))
     weight = lambda ws: F.aggregate(ws, F.lit(0.0), lambda s, x: s + term_weight(x, F.lit(None).cast("double")))
     covered = F.when(F.size(q) > 0, weight(hits) / weight(q)).otherwise(0.0)
     coded = F.when(F.size(code) > 0, F.size(F.array_intersect(code, d)) / F.size(code)).otherwise(0.0)
-    return (0.60 * covered + 0.15 * coded) / (1 + F.ln(1 + F.size(d) / 400))
+    return (0.60 * covered + 0.25 * ar.proximity(q, d) + 0.15 * coded) / (1 + F.ln(1 + F.size(d) / 400))
 
 
 def tf_idf(docs: DataFrame, min_df: int = 2, max_share: float = 0.6, size: int = 60_000, key: str = "doc_id") -> DataFrame:
@@ -111,10 +100,12 @@ def tf_idf(docs: DataFrame, min_df: int = 2, max_share: float = 0.6, size: int =
     The vocabulary is terms in ``min_df`` documents (or with a digit) and less
     than ``max_share`` of them, the ``size`` most frequent, ties by term.
     """
-    tf = docs.select(key, F.explode(tx.tokens(F.col("text"), r"[\p{L}\p{N}][\p{L}\p{N}\-./]+")).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tokens = docs.select(key, F.explode(tx.tokens(F.col("text"), r"[\p{L}\p{N}][\p{L}\p{N}\-./]+")).alias("term"))
+    tf = written(tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))
     vocabulary = df.where(((F.col("df") >= min_df) | F.col("term").rlike("[0-9]")) & (F.col("df") < max_share * F.col("n"))).orderBy(F.desc("df"), "term").limit(size)
-    weights = tf.join(vocabulary, "term").select(key, "term", ((1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    weights = tf.join(F.broadcast(vocabulary) if size <= BROADCAST_ROWS else vocabulary, "term").select(key, "term", ((1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    weights = written(weights)
     norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weights.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))

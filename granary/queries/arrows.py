@@ -24,13 +24,6 @@ def win_10(t):
     )
 
 
-@query("ret_07")
-def ret_07(t):
-    docs = t.documents.select("doc_id", tx.rerank_tokens(F.coalesce("text", F.lit(""))).alias("d"), F.pmod("doc_id", F.lit(40)).alias("item_id"))
-    asks = t.benchmark.where("item_id < 40").select("item_id", F.array_distinct(tx.rerank_tokens(F.col("text"))).alias("q"))
-    return docs.join(asks, "item_id").select("doc_id", "item_id", F.round(ar.proximity("q", "d"), 6).alias("proximity"))
-
-
 @query("src_10", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'п' || p_name END AS text FROM part")
 def src_10(t):
     raw = F.when(F.col("p_partkey") % 2 == 0, F.encode("p_name", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("EF")), F.encode("p_name", "UTF-8")))

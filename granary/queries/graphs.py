@@ -9,7 +9,8 @@ from granary.functions import text as tx
 from granary.operators import graph as gr
 from granary.plans import kb
 from granary.queries.registry import query
-from granary.queries.retrieval import PAIRS, similar
+from granary.operators import vectors as vc
+from granary.queries.retrieval import PAIRS
 from granary.queries.texts import STOP_SQL, TOKENS
 
 D = kb.LIBRARY_SQL
@@ -43,14 +44,13 @@ def gr_02(t):
 
 @query("gr_03", f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS r FROM pr WHERE s >= 0.3) SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM r WHERE r <= 6")
 def gr_03(t):
-    r = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("s"), "y"))
-    return similar(t).where("s >= 0.3").withColumn("r", r).where("r <= 6").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return vc.alike(t.embeddings, 0.3, 6).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 @query("gr_04", f"WITH {PAIRS} SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT x FROM pr WHERE s >= 0.3) AND vec_id NOT IN (SELECT y FROM pr WHERE s >= 0.3)")
 def gr_04(t):
-    ends = similar(t).where("s >= 0.3").select(F.explode(F.array("x", "y")).alias("vec_id")).distinct()
-    return t.embeddings.select("vec_id").join(ends, "vec_id", "left_anti")
+    linked = vc.alike(t.embeddings, 0.3, 1).select(F.col("x").alias("vec_id"))
+    return t.embeddings.select("vec_id").join(linked, "vec_id", "left_anti")
 
 
 @query("gr_05", f"WITH {D} SELECT section, count(*) AS nodes, count(*) FILTER (status = 'ok') AS ok, count(DISTINCT brand) AS brands FROM d GROUP BY section")
@@ -80,7 +80,7 @@ SIM = f"{QT}, n AS (SELECT count(DISTINCT id) AS n FROM qt), wt AS (SELECT term,
 
 def pairs(t, least):
     terms = t.benchmark.select(F.col("item_id").alias("id"), F.explode(tx.keywords(F.col("text"))).alias("term"))
-    return gr.question_pairs(terms, 0.0).withColumn("sim", F.round("sim", 6)).where(F.col("sim") >= least)
+    return gr.question_pairs(terms, least - 1e-6).withColumn("sim", F.round("sim", 6)).where(F.col("sim") >= least)
 
 
 @query("cl_01_pairs", f"WITH {SIM} SELECT a, b, sim FROM sm WHERE sim >= 0.12")

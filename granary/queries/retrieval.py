@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from granary.functions import arrow as ar
 from granary.functions import text as tx
 from granary.operators import retrieval as rt
+from granary.operators import vectors as vc
 from granary.operators.common import dot, rrf, unit
+from granary.operators.tables import written
 from granary.plans import kb
 from granary.queries.registry import query
 from granary.queries.texts import STOP_SQL, TOKENS
@@ -68,26 +71,26 @@ KNN = f"{UNIT_SQL}, c AS (SELECT query, vec_id, label, round(list_cosine_similar
 
 @query("top_01", f"WITH {KNN} SELECT query, vec_id, rank FROM kn WHERE rank <= 10")
 def top_01(t):
-    return rt.nearest(t.embeddings, asked(t), 10).select("query", "vec_id", F.col("rank").cast("long").alias("rank"))
+    return vc.nearest(t.embeddings, asked(t), 10).select("query", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("top_02", f"WITH {UNIT_SQL}, c AS (SELECT query, vec_id, round(list_cosine_similarity(v, qv), 6) AS cosine FROM e, eq WHERE label IN (1, 3)), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM c) SELECT query, vec_id, rank FROM k WHERE rank <= 5")
 def top_02(t):
-    return rt.nearest(t.embeddings.where(F.col("label").isin(1, 3)), asked(t), 5).select("query", "vec_id", F.col("rank").cast("long").alias("rank"))
+    return vc.nearest(t.embeddings.where(F.col("label").isin(1, 3)), asked(t), 5).select("query", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("ret_02", f"WITH {KNN} SELECT query, vec_id, cosine FROM kn WHERE rank <= 40")
 def ret_02(t):
-    return rt.nearest(t.embeddings, asked(t), 40).select("query", "vec_id", "cosine")
+    return vc.nearest(t.embeddings, asked(t), 40).select("query", "vec_id", "cosine")
 
 
-HYBRID = f"{BM}, {UNIT_SQL.replace('vec_id % 50 = 0', 'vec_id < 40')}, c AS (SELECT query, vec_id AS doc_id, round(list_cosine_similarity(v, qv), 6) AS cosine FROM e, eq), den AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, doc_id) AS rank FROM c), rr AS (SELECT query, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query, doc_id, rank FROM lex WHERE rank <= 40 UNION ALL SELECT query, doc_id, rank FROM den WHERE rank <= 40) GROUP BY query, doc_id)"
+HYBRID = f"{BM}, {UNIT_SQL.replace('vec_id % 50 = 0', 'vec_id IN (SELECT item_id FROM benchmark)')}, c AS (SELECT query, vec_id AS doc_id, round(list_cosine_similarity(v, qv), 6) AS cosine FROM e, eq), den AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, doc_id) AS rank FROM c), rr AS (SELECT query, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query, doc_id, rank FROM lex WHERE rank <= 40 UNION ALL SELECT query, doc_id, rank FROM den WHERE rank <= 40) GROUP BY query, doc_id)"
 
 
 def fused(t):
-    """RRF of the lexical and the dense channel for the first 40 questions."""
-    own = t.embeddings.where("vec_id < 40").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
-    dense = rt.nearest(t.embeddings, own, 40).withColumnRenamed("vec_id", "doc_id")
+    """RRF of the lexical and the dense channel; the vector of a question's id stands for the question."""
+    own = t.benchmark.select(F.col("item_id").alias("vec_id")).join(t.embeddings, "vec_id").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    dense = vc.nearest(t.embeddings, own, 40).withColumnRenamed("vec_id", "doc_id")
     return rrf([lexical(t, 40), dense], ["query", "doc_id"])
 
 
@@ -123,21 +126,40 @@ STOP_LIST = "[" + STOP_SQL[1:-1] + "]"
 W8 = r"CASE WHEN regexp_matches(x, '[0-9]') AND regexp_matches(x, '\p{L}') THEN 4.2::DOUBLE WHEN length(x) > 9 THEN 3.45::DOUBLE ELSE 3.0::DOUBLE END"
 
 
-@query("ret_06", f"""WITH p AS (SELECT item_id, doc_id, list_distinct({RR_TOK.format(x='b.text', stop=STOP_LIST)}) AS q, {RR_TOK.format(x='d.text', stop=STOP_LIST)} AS dt FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id WHERE b.item_id < 40 AND doc_id < 400),
+PAIRED = f"""n AS (SELECT count(*) AS n FROM benchmark), p AS (SELECT item_id, doc_id, list_distinct({RR_TOK.format(x='b.text', stop=STOP_LIST)}) AS q, {RR_TOK.format(x="coalesce(d.text, '')", stop=STOP_LIST)} AS dt FROM documents d, n JOIN benchmark b ON d.doc_id % n.n = b.item_id),
+hp AS (SELECT item_id, doc_id, unnest(dt) AS term, unnest(range(0, len(dt))) AS pos FROM p), h AS (SELECT hp.* FROM hp JOIN (SELECT item_id, doc_id, unnest(q) AS term FROM p) USING (item_id, doc_id, term)),
+mt AS (SELECT item_id, doc_id, count(DISTINCT term) AS m FROM h GROUP BY 1, 2), lp AS (SELECT item_id, doc_id, pos, t.term, max(CASE WHEN h.term = t.term THEN pos END) OVER (PARTITION BY item_id, doc_id, t.term ORDER BY pos) AS lastp FROM h JOIN (SELECT DISTINCT item_id, doc_id, term FROM h) t USING (item_id, doc_id)),
+sp AS (SELECT item_id, doc_id, min(span) AS span FROM (SELECT item_id, doc_id, pos, pos - min(lastp) AS span FROM lp GROUP BY 1, 2, 3 HAVING count(lastp) = count(*)) GROUP BY 1, 2),
+px AS (SELECT p.item_id, p.doc_id, CASE WHEN m IS NULL THEN 0 WHEN m < 2 THEN 1 WHEN span <= greatest(3 * m, 12) THEN 1 ELSE greatest(3 * m, 12)::DOUBLE / span END AS near FROM p LEFT JOIN mt USING (item_id, doc_id) LEFT JOIN sp USING (item_id, doc_id))"""
+
+
+def paired(t):
+    """Every document with the question that its id falls to."""
+    n = t.benchmark.agg(N().alias("n"))
+    docs = t.documents.join(F.broadcast(n)).select("doc_id", F.coalesce("text", F.lit("")).alias("d"), F.pmod("doc_id", "n").alias("item_id"))
+    return docs.join(t.benchmark.select("item_id", F.col("text").alias("q")), "item_id")
+
+
+@query("ret_06", f"""WITH {PAIRED},
 s AS (SELECT item_id, doc_id, len(dt) AS n, list_sum(list_transform(list_intersect(q, dt), lambda x: {W8})) AS hit, list_sum(list_transform(q, lambda x: {W8})) AS total, len(list_filter(q, lambda x: regexp_matches(x, '[0-9]'))) AS codes, len(list_intersect(list_filter(q, lambda x: regexp_matches(x, '[0-9]')), dt)) AS coded FROM p)
-SELECT item_id, doc_id, round((0.60::DOUBLE * coalesce(hit / total, 0) + 0.15::DOUBLE * CASE WHEN codes > 0 THEN coded / codes ELSE 0 END) / (1 + ln(1 + n / 400)), 6) AS score FROM s""")
+SELECT item_id, doc_id, round((0.60::DOUBLE * coalesce(hit / total, 0) + 0.25::DOUBLE * near + 0.15::DOUBLE * CASE WHEN codes > 0 THEN coded / codes ELSE 0 END) / (1 + ln(1 + n / 400)), 6) AS score FROM s JOIN px USING (item_id, doc_id)""")
 def ret_06(t):
-    docs = t.documents.where("doc_id < 400").select("doc_id", F.col("text").alias("d"), (F.col("doc_id") % 40).alias("item_id"))
-    asks = t.benchmark.where("item_id < 40").select("item_id", F.col("text").alias("q"))
-    return docs.join(asks, "item_id").select("item_id", "doc_id", F.round(rt.coverage_score(F.col("q"), F.col("d")), 6).alias("score"))
+    return paired(t).select("item_id", "doc_id", F.round(rt.rerank_score(F.col("q"), F.col("d")), 6).alias("score"))
+
 
+@query("ret_07", f"WITH {PAIRED} SELECT doc_id, item_id, round(near::DOUBLE, 6) AS proximity FROM px")
+def ret_07(t):
+    q, d = F.array_distinct(tx.rerank_tokens(F.col("q"))), tx.rerank_tokens(F.col("d"))
+    return paired(t).select("doc_id", "item_id", F.round(ar.proximity(q, d), 6).alias("proximity"))
 
-@query("ret_08", rf"WITH t AS (SELECT DISTINCT unnest({TOKENS}) AS term FROM benchmark), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents WHERE doc_id < 300) GROUP BY term) SELECT term, round(coalesce(ln((1 + 300) / (1 + df)) + 1, CASE WHEN regexp_matches(term, '[0-9]') AND regexp_matches(term, '\p{{L}}') THEN 4.2 WHEN length(term) > 9 THEN 3.45 ELSE 3.0 END), 6) AS weight FROM t LEFT JOIN df USING (term)")
+
+@query("ret_08", rf"WITH t AS (SELECT DISTINCT unnest({TOKENS}) AS term FROM benchmark), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY term), n AS (SELECT count(*) AS n FROM documents) SELECT term, round(coalesce(ln((1 + n) / (1 + df)) + 1, CASE WHEN regexp_matches(term, '[0-9]') AND regexp_matches(term, '\p{{L}}') THEN 4.2 WHEN length(term) > 9 THEN 3.45 ELSE 3.0 END), 6) AS weight FROM t CROSS JOIN n LEFT JOIN df USING (term)")
 def ret_08(t):
     asked_terms = t.benchmark.select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
-    df = t.documents.where("doc_id < 300").select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).groupBy("term").agg(N().alias("df"))
-    idf = F.ln(F.lit(301.0) / (1 + F.col("df"))) + 1
-    return asked_terms.join(df, "term", "left").select("term", F.round(rt.term_weight(F.col("term"), idf), 6).alias("weight"))
+    df = t.documents.select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).groupBy("term").agg(N().alias("df"))
+    n = t.documents.agg(N().alias("n"))
+    idf = F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    return asked_terms.join(df, "term", "left").join(F.broadcast(n)).select("term", F.round(rt.term_weight(F.col("term"), idf), 6).alias("weight"))
 
 
 @query("ret_09", """WITH b AS (SELECT l_orderkey AS query, l_linenumber AS c, sum(l_extendedprice) AS base, max(l_discount) * 12 AS rr FROM lineitem GROUP BY 1, 2), f AS (SELECT *, CASE WHEN max(base) OVER w > min(base) OVER w THEN (base - min(base) OVER w) / (max(base) OVER w - min(base) OVER w) ELSE 0.5 END AS flat, max(base) OVER w AS hi FROM b WINDOW w AS (PARTITION BY query)),
@@ -149,7 +171,7 @@ def ret_09(t):
 
 @query("ret_10", f"WITH {KNN} SELECT query, max(cosine) AS confidence, max(cosine) FILTER (vec_id <> query) < 0.3 AS refused FROM kn WHERE rank <= 6 GROUP BY query")
 def ret_10(t):
-    near = rt.nearest(t.embeddings, asked(t), 6)
+    near = vc.nearest(t.embeddings, asked(t), 6)
     return near.groupBy("query").agg(F.max("cosine").alias("confidence"), (F.max(F.when(F.col("vec_id") != F.col("query"), F.col("cosine"))) < 0.3).alias("refused"))
 
 
@@ -192,7 +214,7 @@ def ret_14(t):
 
 @query("ret_15", f"WITH {KNN}, s AS (SELECT query, vec_id, label, rank FROM kn WHERE rank <= 6) SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN label < 3 THEN 0 ELSE 1 END, rank) AS n FROM s")
 def ret_15(t):
-    near = rt.nearest(t.embeddings, asked(t), 6).join(t.embeddings.select("vec_id", "label"), "vec_id")
+    near = vc.nearest(t.embeddings, asked(t), 6).join(t.embeddings.select("vec_id", "label"), "vec_id")
     n = F.row_number().over(Window.partitionBy("query").orderBy(F.when(F.col("label") < 3, 0).otherwise(1), "rank"))
     return near.select("query", "vec_id", n.cast("long").alias("n"))
 
@@ -225,37 +247,30 @@ def vec_06(t):
     return t.embeddings.select("vec_id", F.round(F.sqrt(dot(tripled, tripled)), 3).alias("norm"), F.round(F.sqrt(dot(scaled, scaled)), 6).alias("scaled"))
 
 
-PAIRS = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), pr AS (SELECT a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)"
-
-
-def similar(t):
-    """The stated queries against all other vectors: (x, y, s)."""
-    rows = t.embeddings.select("vec_id", unit(F.col("embedding")).alias("v"))
-    block = F.broadcast(rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("x"), F.col("v").alias("xv")))
-    return rows.join(block, F.col("vec_id") != F.col("x")).select("x", F.col("vec_id").alias("y"), F.round(dot(F.col("v"), F.col("xv")), 6).alias("s"))
+PAIRS = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), pr AS (SELECT a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id)"
 
 
-@query("jn_13", f"WITH {PAIRS} SELECT x, y, s FROM pr WHERE s > 0.3")
+@query("jn_13", f"WITH {PAIRS} SELECT x, y, s FROM pr WHERE s >= 0.4 AND x < y")
 def jn_13(t):
-    return similar(t).where("s > 0.3")
+    return vc.alike(t.embeddings, 0.4)
 
 
-@query("agg_09", f"WITH {PAIRS} SELECT count(*) FILTER (s > 0.3) AS alike, count(*) FILTER (s > 0.97) AS copies FROM pr")
+@query("agg_09", f"WITH {PAIRS} SELECT count(*) FILTER (s > 0.4) AS alike, count(*) FILTER (s > 0.97) AS copies FROM pr WHERE x < y")
 def agg_09(t):
-    return similar(t).agg(F.count_if(F.col("s") > 0.3).alias("alike"), F.count_if(F.col("s") > 0.97).alias("copies"))
+    return vc.alike(t.embeddings, 0.4).agg(F.count_if(F.col("s") > 0.4).alias("alike"), F.count_if(F.col("s") > 0.97).alias("copies"))
 
 
-@query("agg_10", f"WITH {PAIRS}, m AS (SELECT x, max(s) AS nearest FROM pr GROUP BY x) SELECT x, nearest FROM m WHERE nearest <= (SELECT quantile_cont(nearest, 0.3) FROM m)")
+@query("agg_10", f"WITH {PAIRS}, m AS (SELECT x, max(s) AS nearest FROM pr GROUP BY x), r AS (SELECT *, row_number() OVER (ORDER BY nearest, x) AS r FROM m WHERE nearest <= (SELECT quantile_cont(nearest, 0.02) FROM m)) SELECT x, nearest FROM r WHERE r <= 40")
 def agg_10(t):
-    m = similar(t).groupBy("x").agg(F.max("s").alias("nearest"))
-    limit = m.agg(F.percentile("nearest", F.lit(0.3)).alias("limit"))
-    return m.join(F.broadcast(limit), F.col("nearest") <= F.col("limit")).select("x", "nearest")
+    """Orphans: of the nearest-neighbour similarities the lowest 2 %, at most 40 (a report's own bound)."""
+    m = written(vc.alike(t.embeddings, -1.0, 1).select("x", F.col("s").alias("nearest")))
+    limit = m.agg(F.percentile("nearest", F.lit(0.02)).alias("limit"))
+    return m.join(F.broadcast(limit), F.col("nearest") <= F.col("limit")).orderBy("nearest", "x").limit(40).select("x", "nearest")
 
 
 @query("top_04", f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS r FROM pr WHERE s >= 0.2) SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b, s FROM r WHERE r <= 6")
 def top_04(t):
-    r = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("s"), "y"))
-    return similar(t).where("s >= 0.2").withColumn("r", r).where("r <= 6").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "s").distinct()
+    return vc.alike(t.embeddings, 0.2, 6).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "s").distinct()
 
 
 CENTROID = "ce AS (SELECT vec_id // 10 AS doc, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2), cn AS (SELECT doc, list(m ORDER BY i) AS c FROM ce GROUP BY doc)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.plans import kb
@@ -38,13 +39,14 @@ def src_18(t):
     return t.orders.select("o_orderkey", html.safe_ratio(F.col("o_totalprice"), F.col("o_custkey") + 1).alias("safe"))
 
 
-@query("src_19", f"WITH {D}, n AS (SELECT brand, list(id ORDER BY id) AS ids FROM d GROUP BY brand) SELECT id, brand || ', ' || text_chars || ' characters, beside ' || array_to_string(list_filter(ids, lambda x: x <> id)[1:12], ' ') AS card FROM d JOIN n USING (brand) WHERE id < 300")
+@query("src_19", f"WITH {D}, n AS (SELECT brand, list(id ORDER BY id) AS ids FROM d GROUP BY brand) SELECT id, brand || ', ' || text_chars || ' characters, beside ' || array_to_string(list_filter(ids, lambda x: x <> id)[1:12], ' ') AS card FROM d JOIN n USING (brand)")
 def src_19(t):
     d = kb.library(t.documents)
-    first = d.groupBy("brand").agg(F.slice(F.array_sort(F.collect_list("id")), 1, 13).alias("ids"))
+    place = F.row_number().over(Window.partitionBy("brand").orderBy("id"))
+    first = d.select("brand", "id", place.alias("r")).where("r <= 13").groupBy("brand").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     beside = F.slice(F.filter("ids", lambda x: x != F.col("id")), 1, 12)
     card = F.concat("brand", F.lit(", "), F.col("text_chars").cast("string"), F.lit(" characters, beside "), F.array_join(beside.cast("array<string>"), " "))
-    return d.where("id < 300").select("id", "brand", "text_chars").join(first, "brand").select("id", card.alias("card"))
+    return d.select("id", "brand", "text_chars").join(first, "brand").select("id", card.alias("card"))
 
 
 @query("src_23", r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")

@@ -22,10 +22,12 @@ def txt_01(t):
     return t.documents.select("doc_id", tx.canon(text).alias("canon"))
 
 
-@query("txt_02", r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(translate(text, 'ёЁ³²¹Øø∅×–—−«»°', 'еЕ321dddx---""'), chr(160) || chr(173), ' '), '(\d),(\d)', '\1.\2', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), '[.·]{6,}', ' ... ', 'g'), E' \n')) AS digest FROM documents WHERE NOT regexp_matches(text, '(\d,\d,|(?i)(куб|кв|м3|л */|квт))')""")
+COMMA = r"regexp_replace({}, '(\d),(\d)', '\1.\2', 'g')"  # twice: a digit may stand between two commas
+
+
+@query("txt_02", rf"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace({COMMA.format(COMMA.format("translate(translate(text, 'ёЁ³²¹Øø∅×–—−«»°', 'еЕ321dddx---" + '""' + "'), chr(160) || chr(173), ' ')"))}, '[ \t]+', ' ', 'g'), '\n{{3,}}', E'\n\n', 'g'), '[.·]{{6,}}', ' ... ', 'g'), E' \n')) AS digest FROM documents""")
 def txt_02(t):
-    plain = ~F.col("text").rlike(r"(\d,\d,|(?iU)(куб|кв|м3|л */|квт))")
-    return t.documents.where(plain).select("doc_id", F.sha2(tx.chunk_text(F.col("text")), 256).alias("digest"))
+    return t.documents.select("doc_id", F.sha2(tx.chunk_text(F.col("text")), 256).alias("digest"))
 
 
 @query("txt_03", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS line FROM documents)
@@ -71,10 +73,15 @@ def txt_10(t):
     return t.part.select("p_partkey", tx.name_date(name).cast("string").alias("dated"))
 
 
-@query("txt_11", f"WITH {D} SELECT id, brand || '|' || doc_type || '|doc ' || id AS key FROM d WHERE id BETWEEN 10 AND 99")
+STEM_SQL = "lower(regexp_replace(split_part(rel_path, '/', -1), '\\.[A-Za-z0-9]+$', ''))"
+for _p in (r"[0-3]?[0-9][._-][01]?[0-9][._-](19|20)?[0-9]{2}", r"[ _-]v[0-9]+", r"\([0-9]+\)", r"(19|20)[0-9]{2}"):
+    STEM_SQL = f"regexp_replace({STEM_SQL}, '{_p}', ' ', 'g')"
+
+
+@query("txt_11", f"WITH {D} SELECT id, concat_ws('|', brand, doc_type, trim(regexp_replace({STEM_SQL}, '[ _.-]+', ' ', 'g'))) AS key FROM d")
 def txt_11(t):
     name = F.element_at(F.split("rel_path", "/"), -1)
-    return kb.library(t.documents).where("id BETWEEN 10 AND 99").select("id", tx.version_key(F.col("brand"), F.col("doc_type"), name).alias("key"))
+    return kb.library(t.documents).select("id", tx.version_key(F.col("brand"), F.col("doc_type"), name).alias("key"))
 
 
 @query("txt_12", f"WITH {D} SELECT id, split_part(rel_path, '/', 1) AS section, split_part(rel_path, '/', 2) AS brand, CASE WHEN split_part(rel_path, '/', 2) IN ('en', 'de') THEN 'catalogue' WHEN contains(lower(rel_path), 'doc_1') THEN 'price list' END AS doc_type, contains(rel_path, '/fr/') AS archive FROM d")
@@ -166,11 +173,11 @@ def txt_28(t):
     return t.part.select("p_partkey", tx.price(cell).alias("price"))
 
 
-@query("txt_31", rf"""WITH s AS (SELECT doc_id, i, trim(s) AS s FROM (SELECT doc_id, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) AS i FROM documents WHERE doc_id < 200) WHERE length(trim(s)) >= 25),
+@query("txt_31", rf"""WITH s AS (SELECT doc_id, i, trim(s) AS s FROM (SELECT doc_id, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) AS i FROM documents) WHERE length(trim(s)) >= 25),
 o AS (SELECT doc_id, i, len(list_intersect(list_distinct(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}_]+')), ['the', 'that', 'with', 'les', 'der', 'anan'])) AS hits FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, i) AS r FROM o) SELECT doc_id, CAST(i AS BIGINT) AS ord, CAST(hits AS BIGINT) AS hits FROM r WHERE r <= 5""")
 def txt_31(t):
-    sentences = t.documents.where("doc_id < 200").select("doc_id", F.posexplode(F.split("text", r"\.")).alias("i", "s")).withColumn("s", F.btrim("s")).where("length(s) >= 25")
+    sentences = t.documents.select("doc_id", F.posexplode(F.split("text", r"\.")).alias("i", "s")).withColumn("s", F.btrim("s")).where("length(s) >= 25")
     query_words = F.array(*[F.lit(x) for x in ("the", "that", "with", "les", "der", "anan")])
     hits = F.size(F.array_intersect(F.array_distinct(tx.tokens(F.col("s"))), query_words)).cast("long")
     r = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("hits"), "i"))
