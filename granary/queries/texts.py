@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from granary.functions import chunks as ck
+from granary.functions import stem as st
 from granary.functions import text as tx
 from granary.plans import kb
 from granary.queries.registry import query
+from granary.sources import html
 
 D = kb.LIBRARY_SQL
 N = lambda: F.count(F.lit(1))
@@ -37,22 +40,34 @@ def txt_03(t):
     return t.documents.where("text IS NOT NULL").select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, tx.is_heading)).cast("long").alias("headings"))
 
 
-@query("txt_06", "WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 1200)) AS a FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(a // 1200 AS BIGINT) AS ord, sha256(substr(text, CAST(a + 1 AS BIGINT), 1400)) AS digest FROM s WHERE length(substr(text, CAST(a + 1 AS BIGINT), 1400)) > 0")
-def txt_06(t):
-    return stride_chunks(t).select("doc_id", "ord", F.sha2("chunk", 256).alias("digest"))
+def chunked(t):
+    """Chunks of every document, each text one page."""
+    return t.documents.select("doc_id", F.explode(ck.document_chunks(F.array("text"))).alias("c")).select("doc_id", "c.*")
+
+
+@query("txt_04")
+def txt_04(t):
+    found = t.pages.select("page_id", F.posexplode(ck.page_blocks(html.text_of(F.col("html")))).alias("n", "b"))
+    return found.select("page_id", "n", "b.heading", F.sha2("b.body", 256).alias("body_sha256"), "b.is_table")
 
 
-def stride_chunks(t):
-    """Windows of 1,400 characters every 1,200."""
-    last = F.greatest(F.length("text"), F.lit(1)) - 1
-    starts = F.explode(F.sequence(F.lit(0), last, F.lit(1200))).alias("a")
-    chunk = F.expr("substring(text, a + 1, 1400)")
-    return t.documents.where("text IS NOT NULL").select("doc_id", "text", starts).select("doc_id", F.floor(F.col("a") / 1200).alias("ord"), chunk.alias("chunk")).where("length(chunk) > 0")
+@query("txt_05")
+def txt_05(t):
+    """A price table of each brand, as one page."""
+    row = F.concat_ws(" | ", "p_name", F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"))
+    rows = t.part.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))).alias("r"))
+    page = F.concat(F.lit("Name | Size | Price\n"), F.array_join(F.transform("r", lambda x: x["row"]), "\n"))
+    return rows.select("p_brand", F.explode(ck.document_chunks(F.array(page))).alias("c")).select("p_brand", "c.ord", "c.text")
+
+
+@query("txt_06")
+def txt_06(t):
+    return chunked(t).select("doc_id", "ord", "heading", F.sha2("text", 256).alias("digest"))
 
 
-@query("txt_07", "WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 1200)) AS a FROM documents WHERE text IS NOT NULL) SELECT doc_id, count(*) AS kept FROM s WHERE length(substr(text, CAST(a + 1 AS BIGINT), 1400)) >= 120 GROUP BY doc_id")
+@query("txt_07")
 def txt_07(t):
-    return stride_chunks(t).where(F.length("chunk") >= 120).groupBy("doc_id").agg(N().alias("kept"))
+    return chunked(t).groupBy("doc_id").agg(N().alias("kept"), F.min(F.length("text")).cast("long").alias("least"))
 
 
 @query("txt_08", f"WITH {D} SELECT id, concat_ws(', ', brand, doc_type, '«' || section || '»', CASE WHEN effective_date IS NOT NULL THEN 'of ' || effective_date END) AS context FROM d")
@@ -97,10 +112,31 @@ def txt_14(t):
     return t.documents.where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("full_hash"), F.sha2(F.concat(F.substring("text", 1, 64), tail, F.length("text").cast("string")), 256).alias("quick"))
 
 
-@query("txt_16", rf"""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\-./]+')) AS term FROM documents) SELECT term, count(*) AS n FROM t WHERE term NOT IN {STOP_SQL} GROUP BY term HAVING count(*) > 20""")
+#: forms of words and their stem; codes stay
+FORMS = {
+    "скважин": "скважина скважины скважине скважинный скважинного скважинных", "насос": "насос насоса насосу насосом насосы насосов насосами",
+    "уплотн": "уплотнение уплотнения уплотнений", "давл": "давление давления давлением", "клап": "клапан клапана клапаны клапанов клапаном",
+    "температур": "температура температуры температуре", "фильтр": "фильтр фильтра фильтры фильтров", "кабел": "кабель кабеля кабелем кабели",
+    "500095.f": "500095.f", "2eco6-38": "2eco6-38", "wrp-a": "wrp-a", "м3": "м3", "abc": "abc", "pump": "pump",
+}
+FORM_ROWS = [(w, stem) for stem, words in FORMS.items() for w in words.split()]
+
+
+@query("txt_15", "SELECT p_partkey, word, stem FROM part, (VALUES " + ", ".join(f"({i}, '{w}', '{x}')" for i, (w, x) in enumerate(FORM_ROWS)) + f") f(i, word, stem) WHERE p_partkey % {len(FORM_ROWS)} = i")
+def txt_15(t):
+    words = F.array(*[F.lit(w) for w, _ in FORM_ROWS])
+    word = F.get(words, (F.col("p_partkey") % len(FORM_ROWS)).cast("int"))
+    return t.part.select("p_partkey", word.alias("word")).select("p_partkey", "word", st.normalized(F.col("word")).alias("stem"))
+
+
+BIG_STOP = "(" + ", ".join(f"'{x}'" for x in st.STOP) + ")"
+
+
+@query("txt_16", rf"""WITH t AS (SELECT unnest(regexp_extract_all(lower({COMMA.format(COMMA.format("translate(text, 'ёЁ³²¹Øø∅×–—−«»°', 'еЕ321dddx---" + '""' + "')"))}), '[a-zа-яё0-9][a-zа-яё0-9\-./]+')) AS raw FROM documents) SELECT trim(raw, '-./') AS term, count(*) AS n FROM t WHERE raw NOT IN {BIG_STOP} GROUP BY 1 HAVING count(*) > 20""")
 def txt_16(t):
-    terms = t.documents.select(F.explode(tx.tokens(F.col("text"), r"[\p{L}\p{N}][\p{L}\p{N}\-./]+")).alias("term"))
-    return terms.where(~F.col("term").isin(*tx.STOP)).groupBy("term").agg(N().alias("n")).where("n > 20")
+    """Stems are taken of different tokens, counted before."""
+    raw = t.documents.select(F.explode(st.raw_tokens(F.col("text"))).alias("raw")).groupBy("raw").agg(N().alias("n"))
+    return raw.select(st.normalized(F.col("raw")).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n")).where("n > 20")
 
 
 @query("txt_17", rf"""WITH t AS (SELECT doc_id, trim(unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\-./]*')), '-./') AS term FROM documents) SELECT doc_id, count(*) AS n, count(DISTINCT term) AS terms FROM t WHERE length(term) >= 2 AND term NOT IN {STOP_SQL} GROUP BY doc_id""")
