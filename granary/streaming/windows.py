@@ -1,7 +1,6 @@
 """Event-time windows, in batch and as a stream, by the same expressions.
 
-Streams read files, take a watermark and write to a table in memory or through
-``foreach_batch``; a stream replayed to its end gives what the batch form gives
+Streams read files, take a watermark and write each batch to a table; a stream replayed to its end gives what the batch form gives
 for all rows that the watermark admits.
 """
 
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from granary.operators.tables import folder
+
 
 def hourly(events: DataFrame) -> DataFrame:
     """(hour, event_type, n, total) in tumbling windows of an hour."""
@@ -52,11 +53,20 @@ def event_stream(spark: SparkSession, path: str, schema: StructType, late: str =
 
 
 def replayed_hourly(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The hourly windows of the files as they stand, by a stream run to its end; the result keeps all windows."""
-    name = f"hourly_{uuid.uuid4().hex}"
+    """The hourly windows of the files as they stand, by a stream run to its end.
+
+    Each batch writes the windows it changed to a table; of a window the latest counts.
+    """
     base, _, leaf = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{base}/{leaf}*")
     timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
-    q = _hourly(timed).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.unix_micros("hour").alias("hour"), "event_type", "n", "total")
+    out = f"{folder(spark)}/granary-hourly-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/batch-{number}")
+
+    query = _hourly(timed).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{out}/state")
+    query.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.option("recursiveFileLookup", "true").schema("hour timestamp, event_type string, n long, total double, batch int").parquet(f"{out}/rows")
+    last = rows.groupBy("hour", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
+    return last.select(F.unix_micros("hour").alias("hour"), "event_type", "x.n", "x.total")
