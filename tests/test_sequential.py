@@ -188,7 +188,7 @@ def turns(spark):
         (2, 0, "а цена?"), (2, 30, "насосы Wilo"), (2, 90, "глубина погружения?"), (3, 5, None),
     ]
     df = spark.createDataFrame(rows, "chat long, s long, question string")
-    return df.select("chat", F.timestamp_seconds("s").alias("at"), "question")
+    return df.select("chat", F.timestamp_seconds(F.col("s") + 1_000_000).alias("at"), "question")
 
 
 ASKED = [
@@ -199,7 +199,7 @@ ASKED = [
 
 def test_memory_of_conversations(spark):
     out = dialog.inherited(turns(spark), F.array(F.lit("wilo")))
-    assert [(r["chat"], int(r["at"].timestamp()), r["asked"]) for r in out.orderBy("chat", "at").collect()] == ASKED
+    assert [(r["chat"], int(r["at"].timestamp()) - 1_000_000, r["asked"]) for r in out.orderBy("chat", "at").collect()] == ASKED
 
 
 def test_memory_as_a_stream(spark, tmp_path):
@@ -209,7 +209,7 @@ def test_memory_as_a_stream(spark, tmp_path):
     q = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("chat", "at").collect()
-    assert [(r["chat"], int(r["at"].timestamp()), r["asked"]) for r in got] == ASKED[:-1]
+    assert [(r["chat"], int(r["at"].timestamp()) - 1_000_000, r["asked"]) for r in got] == ASKED[:-1]
 
 
 def test_alerts(spark):
