@@ -135,28 +135,34 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class ExternalColumns:
     """Files of one collection in ``folder``: the transform, column after column, and the order of the suffixes and
-    their common prefixes, which are rewritten in sequence every round."""
+    their common prefixes, of which every round reads the files of the last round in sequence and writes new ones."""
 
     kinds = {"order": np.int32, "prefixes": np.uint8}
 
     def __init__(self, folder: str) -> None:
         self.fs, path = fs.FileSystem.from_uri(folder)
-        self.folder = f"{path}/bwt-{uuid.uuid4().hex}"
+        self.folder, self.turn = f"{path}/bwt-{uuid.uuid4().hex}", 0
         self.fs.create_dir(self.folder)
         self.transform = self.fs.open_output_stream(f"{self.folder}/transform")
 
+    def _name(self, kind: str) -> str:
+        return f"{self.folder}/{kind}-{self.turn}"
+
     def write(self, symbols: np.ndarray, *columns: np.ndarray) -> None:
-        """Add a column of the transform and replace the order and the prefixes."""
+        """Add a column of the transform; write the order and the prefixes of this round."""
         self.transform.write(np.ascontiguousarray(symbols))
-        for name, column in zip(self.kinds, columns):
-            with self.fs.open_output_stream(f"{self.folder}/{name}") as file:
+        self.turn += 1
+        for kind, column in zip(self.kinds, columns):
+            with self.fs.open_output_stream(self._name(kind)) as file:
                 file.write(np.ascontiguousarray(column))
 
     def read(self) -> list[np.ndarray]:
+        """The order and the prefixes of the last round, whose files go (none is ever written over)."""
         out = []
-        for name, kind in self.kinds.items():
-            with self.fs.open_input_stream(f"{self.folder}/{name}") as file:
-                out.append(np.frombuffer(file.read(), kind))
+        for kind, dtype in self.kinds.items():
+            with self.fs.open_input_stream(self._name(kind)) as file:
+                out.append(np.frombuffer(file.read(), dtype))
+            self.fs.delete_file(self._name(kind))
         return out
 
     def close(self) -> None:
