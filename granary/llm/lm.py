@@ -307,8 +307,8 @@ def train(docs: DataFrame, shared, start: LogBilinear) -> LogBilinear:
 
         own = (
             dealt.where(F.pmod("h", F.lit(ROUNDS)) == turn)
-            .select(F.pmod(F.floor(F.col("h") / ROUNDS), F.lit(parts)).cast("long").alias("part"), "text", "h")
-            .repartition(parts, "part").sortWithinPartitions("part", "h", "text").select("part", "text")
+            .select(F.pmod(F.shiftright("h", 20), F.lit(parts)).cast("long").alias("part"), "text", "h")
+            .repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "h", "text").select("part", "text")
         )
         rows = added(own.transform(tb.bounded).mapInArrow(run, "part long, n long, w binary"), parts).toArrow().sort_by("part")  # at most FAN_IN rows
         n = sum(rows.column("n").to_pylist())
