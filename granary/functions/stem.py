@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from granary.functions.text import canon
+from granary.functions.text import STOP as ASKED_STOP
+from granary.functions.text import canon, synonyms
 
 # fixed values: vowels and endings of the Russian Snowball algorithm, words without meaning for a search
 VOWELS = "аеиоуыэюя"
@@ -113,3 +114,31 @@ def raw_tokens(text: Column) -> Column:
 def search_tokens(text: Column) -> Column:
     """The stems of a text's tokens, in order."""
     return F.transform(raw_tokens(text), normalized)
+
+
+#: parts of a query: words, then synonyms
+MOST_WORDS, MOST_SYNONYMS = 16, 8
+
+
+def query_terms(text: Column) -> Column:
+    """array<term, is_prefix>: what a full-text query asks for, each once.
+
+    The first words that mean something and synonyms of them; words of five
+    letters or more also as a prefix, and their stems of four letters or more as well.
+    """
+    raw = F.regexp_extract_all(F.lower(canon(F.coalesce(text, F.lit("")))), F.lit(r"[\p{L}\p{N}_\-./]{2,}"), F.lit(0))
+    said = F.filter(raw, lambda w: ~w.isin(*ASKED_STOP) & ((F.length(w) > 2) | w.rlike(r"^\d+(\.\d+)?$")))
+    words = F.slice(F.filter(F.transform(said, lambda w: F.btrim(w, F.lit("-./"))), lambda w: w != ""), 1, MOST_WORDS)
+
+    def term(w: Column, prefix: bool) -> Column:
+        return F.struct(w.alias("term"), F.lit(prefix).alias("is_prefix"))
+
+    def of(w: Column) -> Column:
+        def stemmed(s: Column) -> Column:
+            return F.when((s != w) & (F.length(s) > 3), F.array(term(s, True))).otherwise(F.array().cast("array<struct<term:string,is_prefix:boolean>>"))
+
+        long = F.concat(F.array(term(w, False), term(w, True)), _with(normalized(w), stemmed))
+        return F.when((F.length(w) > 4) & w.rlike(r"^\p{L}+$"), long).otherwise(F.array(term(w, False)))
+
+    both = _with(words, lambda ws: F.concat(ws, F.slice(synonyms(ws), 1, MOST_SYNONYMS)))
+    return F.array_distinct(F.flatten(F.transform(both, of)))

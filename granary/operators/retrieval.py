@@ -10,22 +10,41 @@ from granary.functions import text as tx
 from granary.operators.tables import BROADCAST_ROWS, small, written
 
 K1, B = 1.2, 0.75
+LEAST_PREFIX = 4
 
 
 def postings(docs: DataFrame, fields: dict[str, float], terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, term, tf, size) of the wanted ``terms``, written once: frequencies weighted by field, all tokens of the row.
+    """(key, term, is_prefix, tf, size) of the wanted ``terms``, written once: frequencies weighted by field, all tokens of the row.
 
-    Tokens nobody asks for go before the shuffle.  Every row also has a posting of
-    the empty term, so that its size is known whatever it holds.
+    Tokens nobody asks for go before the shuffle; a token stands for itself and
+    for the wanted prefixes that it begins with, which are looked for only if its
+    first letters are those of one.  Every row also has a posting of the empty
+    term, so that its size is known whatever it holds.
     """
+    spark = docs.sparkSession
     words = [_words(f) for f in fields]
     size = sum((F.size(w) for w in words[1:]), F.size(words[0]))
-    mark = F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("weight")))
+    mark = F.array(F.struct(F.lit("").alias("token"), F.lit(0.0).alias("weight")))
     rows = F.flatten(F.array(mark, *[_weighted(w, weight) for w, weight in zip(words, fields.values())]))
-    wanted = small(terms.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct())
+    asked = terms.select("term", "is_prefix").union(spark.createDataFrame([("", False)], "term string, is_prefix boolean")).distinct()
+    wanted = small(asked)
+    prefixes = asked.where("is_prefix")
+    lengths = [r[0] for r in prefixes.select(F.length("term")).distinct().collect()]  # as many as there are lengths of words
     # the size in a projection of its own, else it is computed anew for every exploded token
-    out = docs.select(key, size.alias("size"), rows.alias("rows")).select(key, "size", F.explode("rows").alias("x")).select(key, "size", "x.term", "x.weight")
-    return written(out.join(wanted, "term", "left_semi").groupBy(key, "size", "term").agg(F.sum("weight").alias("tf")))
+    tokens = docs.select(key, size.alias("size"), rows.alias("rows")).select(key, "size", F.explode("rows").alias("x")).select(key, "size", "x.token", "x.weight")
+    tokens = tokens.withColumn("begin", F.substring("token", 1, LEAST_PREFIX))
+    if lengths:
+        begins = small(prefixes.select(F.substring("term", 1, LEAST_PREFIX).alias("begin"), F.lit(True).alias("may")).distinct())
+        longer = F.filter(F.array(*[F.when(F.length("token") >= n, F.substring("token", 1, n)) for n in sorted(lengths)]), lambda x: x.isNotNull())
+        tokens = tokens.join(begins, "begin", "left").withColumn("starts", F.when(F.col("may"), longer).otherwise(F.array().cast("array<string>")))
+    else:
+        tokens = tokens.withColumn("starts", F.array().cast("array<string>"))
+    kinds = F.concat(
+        F.array(F.struct(F.col("token").alias("term"), F.lit(False).alias("is_prefix"))),
+        F.transform("starts", lambda x: F.struct(x.alias("term"), F.lit(True).alias("is_prefix"))),
+    )
+    out = tokens.select(key, "size", "weight", F.explode(kinds).alias("k")).select(key, "size", "weight", "k.term", "k.is_prefix")
+    return written(out.join(wanted, ["term", "is_prefix"], "left_semi").groupBy(key, "size", "term", "is_prefix").agg(F.sum("weight").alias("tf")))
 
 
 def _words(field: str) -> Column:
@@ -33,23 +52,24 @@ def _words(field: str) -> Column:
 
 
 def _weighted(words: Column, weight: float) -> Column:
-    return F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(float(weight)).alias("weight")))
+    return F.transform(words, lambda w: F.struct(w.alias("token"), F.lit(float(weight)).alias("weight")))
 
 
 def bm25(docs: DataFrame, terms: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
     """(query, key, score) for every document that holds a term of a query.
 
-    ``terms`` has (query, term), distinct.  The corpus is tokenised once.
+    ``terms`` has (query, term, is_prefix), distinct; a prefix counts as a term of
+    its own.  The corpus is tokenised once.
     """
     found = postings(docs, fields, terms, key)
     size = found.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("avg_size"))
     hits = found.where("term <> ''")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(df, "term").join(F.broadcast(size))  # one row
+    df = hits.groupBy("term", "is_prefix").agg(F.count(F.lit(1)).alias("df"))
+    scored = hits.join(df, ["term", "is_prefix"]).join(F.broadcast(size))  # one row
     raw = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(1e-6)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avg_size")))
-    return scored.select("term", key, part.alias("part")).join(terms, "term").groupBy("query", key).agg(F.sum("part").alias("score"))
+    return scored.select("term", "is_prefix", key, part.alias("part")).join(terms, ["term", "is_prefix"]).groupBy("query", key).agg(F.sum("part").alias("score"))
 
 
 def ranked(scored: DataFrame, by: str, order: str, key: str, top: int) -> DataFrame:

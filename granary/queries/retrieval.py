@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.functions import arrow as ar
+from granary.functions import stem as st
 from granary.functions import text as tx
 from granary.operators import retrieval as rt
 from granary.operators import vectors as vc
@@ -13,37 +14,44 @@ from granary.operators.common import dot, rrf, unit
 from granary.operators.tables import written
 from granary.plans import kb
 from granary.queries.registry import query
-from granary.queries.texts import STOP_SQL, TOKENS
+from granary.queries.texts import ASKED_SQL, STOP_SQL, TOKENS
 
 N = lambda: F.count(F.lit(1))
 AS_OF = "2025-01-01"
 
-TERMS_SQL = f"qt AS (SELECT DISTINCT item_id AS query, unnest({TOKENS}) AS term FROM benchmark), qs AS (SELECT * FROM qt WHERE length(term) > 2 AND term NOT IN {STOP_SQL})"
+FIELDED_SQL = f"""{kb.LIBRARY_SQL}, fx AS (SELECT id AS doc_id, text, section AS heading, concat_ws(', ', brand, doc_type, '«' || section || '»') AS context, brand, doc_type, split_part(rel_path, '/', -1) AS file_name FROM d)"""
 
 
 def bm25_sql(fields: dict[str, float]) -> str:
-    """CTEs up to ``bm`` (query, doc_id, score) over the weighted fields of ``documents``."""
-    union = " UNION ALL ".join(rf"SELECT doc_id, unnest(regexp_extract_all(lower({f}), '[\p{{L}}\p{{N}}_]+')) AS term, {w}::DOUBLE AS w FROM documents" for f, w in fields.items())
-    return f"""{TERMS_SQL}, tk AS ({union}), sz AS (SELECT doc_id, count(*) AS size FROM tk GROUP BY doc_id), st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM tk) / (SELECT count(*) FROM documents) AS avg_size),
-po AS (SELECT doc_id, term, sum(w) AS tf FROM tk WHERE term IN (SELECT term FROM qs) GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
+    """CTEs up to ``bm`` (query, doc_id, score) over the weighted fields of ``documents``; prefixes are terms of their own."""
+    union = " UNION ALL ".join(rf"SELECT doc_id, unnest(regexp_extract_all(lower({f}), '[\p{{L}}\p{{N}}_]+')) AS term, {w}::DOUBLE AS w FROM fx" for f, w in fields.items())
+    return f"""{ASKED_SQL}, {FIELDED_SQL}, tk AS ({union}), sz AS (SELECT doc_id, count(*) AS size FROM tk GROUP BY doc_id), st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM tk) / (SELECT count(*) FROM documents) AS avg_size),
+kinds AS (SELECT DISTINCT term, is_prefix FROM qa), hit AS (SELECT doc_id, kinds.term, is_prefix, w FROM tk JOIN kinds ON NOT is_prefix AND tk.term = kinds.term UNION ALL SELECT doc_id, kinds.term, is_prefix, w FROM tk JOIN kinds ON is_prefix AND tk.term[1:4] = kinds.term[1:4] AND starts_with(tk.term, kinds.term)),
+po AS (SELECT doc_id, term, is_prefix, sum(w) AS tf FROM hit GROUP BY doc_id, term, is_prefix), df AS (SELECT term, is_prefix, count(*) AS df FROM po GROUP BY term, is_prefix),
 bm AS (SELECT query, po.doc_id, sum(CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) > 0 THEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) ELSE 1e-6 END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / avg_size))) AS score
- FROM po JOIN df USING (term) JOIN sz USING (doc_id) JOIN qs USING (term) CROSS JOIN st GROUP BY query, po.doc_id),
+ FROM po JOIN df USING (term, is_prefix) JOIN sz USING (doc_id) JOIN qa USING (term, is_prefix) CROSS JOIN st GROUP BY query, po.doc_id),
 lex AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm)"""
 
 
-FIELDS = {"text": 6.0, "source": 3.0, "lang": 1.5}
+#: weights of the six fields
+FIELDS = {"text": 6.0, "heading": 3.0, "context": 1.5, "brand": 2.0, "doc_type": 1.0, "file_name": 2.0}
 BM = bm25_sql(FIELDS)
 
 
+def fielded(t):
+    """The documents with the fields that are searched."""
+    context = F.concat_ws(", ", "brand", "doc_type", F.concat(F.lit("«"), "section", F.lit("»")))
+    name = F.element_at(F.split("rel_path", "/"), -1)
+    return kb.library(t.documents).select(F.col("id").alias("doc_id"), "text", F.col("section").alias("heading"), context.alias("context"), "brand", "doc_type", name.alias("file_name"))
+
+
 def terms(t):
-    """Distinct search terms of the benchmark's questions."""
-    return t.benchmark.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).where(
-        (F.length("term") > 2) & ~F.col("term").isin(*tx.STOP)
-    )
+    """What the benchmark's questions ask for."""
+    return t.benchmark.select(F.col("item_id").alias("query"), F.explode(st.query_terms(F.col("text"))).alias("q")).select("query", "q.term", "q.is_prefix").distinct()
 
 
 def lexical(t, top: int):
-    scored = rt.bm25(t.documents, terms(t), FIELDS).withColumn("score", F.round("score", 6))
+    scored = rt.bm25(fielded(t), terms(t), FIELDS).withColumn("score", F.round("score", 6))
     return rt.ranked(scored, "query", "score", "doc_id", top)
 
 
@@ -99,7 +107,7 @@ def win_01(t):
     return fused(t).select("query", "doc_id", F.round("score", 6).alias("score"))
 
 
-HYBRID3 = f"""{HYBRID}, {kb.LIBRARY_SQL}, al AS (SELECT rr.query, rr.doc_id, d.brand, round(0.85::DOUBLE * score + 0.15::DOUBLE * score * 2 * CASE WHEN effective_date IS NULL THEN 0.5::DOUBLE ELSE pow(0.5::DOUBLE, greatest(date_diff('day', effective_date, DATE '{AS_OF}'), 0) / 540) END, 6) AS score
+HYBRID3 = f"""{HYBRID}, al AS (SELECT rr.query, rr.doc_id, d.brand, round(0.85::DOUBLE * score + 0.15::DOUBLE * score * 2 * CASE WHEN effective_date IS NULL THEN 0.5::DOUBLE ELSE pow(0.5::DOUBLE, greatest(date_diff('day', effective_date, DATE '{AS_OF}'), 0) / 540) END, 6) AS score
  FROM rr JOIN d ON d.id = rr.doc_id WHERE d.status = 'ok' AND d.section IN ('en', 'de')), cap AS (SELECT *, row_number() OVER (PARTITION BY query, brand ORDER BY score DESC, doc_id) AS nth FROM al), fin AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM cap WHERE nth <= 2)"""
 
 

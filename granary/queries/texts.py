@@ -150,20 +150,25 @@ def txt_18(t):
     return t.benchmark.select("item_id", F.array_join(F.array_sort(tx.keywords(F.col("text"))), " ").alias("keywords")).where("keywords <> ''")
 
 
-@query("txt_19", """WITH s AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part), m AS (SELECT * FROM (VALUES ('pump', 'насос'), ('price', 'cost'), ('price', 'цена'), ('red', 'crimson'), ('small', 'little'), ('small', 'mini'), ('ring', 'seal'), ('widget', 'gadget')) m(w, s)),
-a AS (SELECT p_partkey, w FROM s UNION SELECT p_partkey, m.s FROM s JOIN m USING (w)) SELECT p_partkey, string_agg(w, ' ' ORDER BY w) AS words FROM a GROUP BY p_partkey""")
+SYNONYM_ROWS = ", ".join(f"({i}, '{w}', '{' '.join(x)}')" for i, (w, x) in enumerate(tx.SYNONYMS.items()))
+
+
+@query("txt_19", f"SELECT p_partkey, word, said FROM part JOIN (VALUES {SYNONYM_ROWS}) s(i, word, said) ON p_partkey % {len(tx.SYNONYMS)} = i")
 def txt_19(t):
-    return t.part.select("p_partkey", F.array_join(F.array_sort(tx.expanded(F.split("p_name", " "))), " ").alias("words"))
+    words = F.array(*[F.lit(w) for w in tx.SYNONYMS])
+    word = F.get(words, (F.col("p_partkey") % len(tx.SYNONYMS)).cast("int"))
+    return t.part.select("p_partkey", word.alias("word")).select("p_partkey", "word", F.array_join(tx.synonyms(F.array("word", F.lit("red"))), " ").alias("said"))
+
+
+ASKED_SQL = rf"""aw AS (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY i) AS r FROM (SELECT item_id, trim(raw, '-./') AS w, i FROM (SELECT item_id, unnest(raw) AS raw, unnest(range(1, len(raw) + 1)) AS i FROM
+ (SELECT item_id, regexp_extract_all(lower({COMMA.format(COMMA.format("translate(coalesce(text, ''), 'ёЁ³²¹Øø∅×–—−«»°', 'еЕ321dddx---" + '""' + "')"))}), '[\p{{L}}\p{{N}}_\-./]{{2,}}') AS raw FROM benchmark))
+ WHERE raw NOT IN {STOP_SQL} AND (length(raw) > 2 OR regexp_matches(raw, '^[0-9]+(\.[0-9]+)?$')) AND trim(raw, '-./') <> '')),
+qa AS (SELECT DISTINCT item_id AS query, w AS term, FALSE AS is_prefix FROM aw WHERE r <= 16 UNION SELECT DISTINCT item_id, w, TRUE FROM aw WHERE r <= 16 AND length(w) > 4 AND regexp_matches(w, '^\p{{L}}+$'))"""
 
 
-@query("txt_20", rf"""WITH t AS (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY i) AS r FROM (SELECT item_id, unnest({TOKENS}) AS w, generate_subscripts({TOKENS}, 1) AS i FROM benchmark) WHERE w NOT IN {STOP_SQL} AND (length(w) > 2 OR regexp_matches(w, '^[0-9]+$')))
-SELECT DISTINCT item_id, w AS term, FALSE AS is_prefix FROM t WHERE r <= 16 UNION SELECT DISTINCT item_id, w, TRUE FROM t WHERE r <= 16 AND length(w) > 4 AND regexp_matches(w, '^\p{{L}}+$')""")
+@query("txt_20", f"WITH {ASKED_SQL} SELECT query AS item_id, term, is_prefix FROM qa")
 def txt_20(t):
-    good = F.filter(tx.tokens(F.col("text")), lambda w: ~w.isin(*tx.STOP) & ((F.length(w) > 2) | w.rlike("^[0-9]+$")))
-    terms = t.benchmark.select("item_id", F.explode(F.array_distinct(F.slice(good, 1, 16))).alias("term"))
-    prefix = (F.length("term") > 4) & F.col("term").rlike(r"^\p{L}+$")
-    kinds = F.when(prefix, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    return terms.select("item_id", "term", F.explode(kinds).alias("is_prefix"))
+    return t.benchmark.select("item_id", F.explode(st.query_terms(F.col("text"))).alias("q")).select("item_id", "q.term", "q.is_prefix")
 
 
 @query("txt_21", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Город МОСКВА SP-45' WHEN 1 THEN 'насос Grundfos' ELSE 'MOCKBA' END AS fixed FROM part")
