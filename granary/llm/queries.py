@@ -44,11 +44,11 @@ sizes AS (SELECT DISTINCT size FROM iw),
 dw AS (SELECT doc_id, size, p, array_to_string(w[p:p + size - 1], ' ') AS win FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, sizes)),
 hit AS (SELECT dw.doc_id, dw.p, dw.size, iw.item_id, iw.s FROM dw JOIN iw ON dw.size = iw.size AND dw.win = iw.win),
 runs AS (SELECT doc_id, item_id, p, size, p - row_number() OVER (PARTITION BY doc_id, item_id, size, p - s ORDER BY p) AS run, p - s AS diagonal FROM (SELECT DISTINCT * FROM hit)),
-lng AS (SELECT doc_id, n, item, at FROM (SELECT doc_id, n, item, at, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item, at) AS r
- FROM (SELECT doc_id, count(*) - 1 + size AS n, CAST(item_id AS VARCHAR) AS item, min(p) - 1 AS at FROM runs GROUP BY doc_id, item_id, size, diagonal, run)) WHERE r = 1),
+lng AS (SELECT doc_id, n, item, begun FROM (SELECT doc_id, n, item, begun, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item, begun) AS r
+ FROM (SELECT doc_id, count(*) - 1 + size AS n, CAST(item_id AS VARCHAR) AS item, min(p) - 1 AS begun FROM runs GROUP BY doc_id, item_id, size, diagonal, run)) WHERE r = 1),
 cov AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS x FROM (SELECT DISTINCT doc_id, p, size FROM hit)) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n, 0) AS BIGINT) AS longest, item AS longest_item, CAST(at AS BIGINT) AS longest_at
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n, 0) AS BIGINT) AS longest, item AS longest_item, CAST(begun AS BIGINT) AS longest_at
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN lng USING (doc_id)""",
     "op5_quality_rules": f"""WITH b AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), E'\\n'), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
 t3 AS (SELECT doc_id, p, array_to_string(w[p:p + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM b)),

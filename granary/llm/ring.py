@@ -13,7 +13,8 @@ its shard is full.
 
 Only the count of each cell (a fixed number of cells, whatever the input) goes
 to the driver, which decides how many rows of a cell go where.  Rows find their
-place from their rank inside the cell, so no task holds a shard or an arc.
+place from their rank inside the cell, so no task holds a shard or an arc; rows
+equal in id and text are counted first, and dealt out again by stretches of slots.
 
 Edge cases: null text counts as empty; a null id leaves the text to place the
 row; rows equal in id and text are interchangeable; an empty table gives no
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = 1 << 16
+STRETCH = 1 << 16
 ROW_OVERHEAD = 16
 
 
@@ -99,13 +101,22 @@ def shard_documents(docs: DataFrame, shards: int = 40, vnodes: int = 64) -> Data
         {"__cell": "int32", "__lo": "int64", "__hi": "int64", "shard": "int32", "__slot": "int64"}
     )
     places = spark.createDataFrame(table, "__cell int, __lo long, __hi long, shard int, __slot long")
-    order = Window.partitionBy("__cell").orderBy("__hash", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("__rank", F.row_number().over(order).cast("long") - 1)
+    # rows equal in all of these are one row and its number: they are interchangeable, however many
+    own = ["__cell", "__hash", "doc_id", "text_crc32", "size"]
+    equal = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__cell").orderBy("__hash", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = equal.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     # CELLS plus one row for each further shard that a cell spills to: a fixed size
-    placed = ranked.join(F.broadcast(places), "__cell").where("__rank >= __lo AND __rank < __hi")
-    return placed.select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("__slot") + F.col("__rank") - F.col("__lo")).alias("slot")
+    meets = (F.col("__first") < F.col("__hi")) & (F.col("__first") + F.col("__n") > F.col("__lo"))
+    placed = ranked.join(F.broadcast(places.withColumnRenamed("__cell", "__c")), (F.col("__cell") == F.col("__c")) & meets)
+    begin, end = F.greatest("__first", "__lo"), F.least(F.col("__first") + F.col("__n"), F.col("__hi"))
+    slots = placed.select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("__slot") + begin - F.col("__lo")).alias("__a"), (F.col("__slot") + end - F.col("__lo") - 1).alias("__b")
     )
+    # very many equal rows are dealt to tasks by stretches of slots
+    stretches = slots.select("*", F.explode(F.sequence("__a", "__b", F.lit(STRETCH).cast("long"))).alias("__s")).repartition("shard", "__s")
+    last = F.least(F.col("__s") + STRETCH - 1, F.col("__b"))
+    return stretches.select("doc_id", "size", "text_crc32", "shard", F.explode(F.sequence(F.col("__s"), last)).alias("slot"))
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -259,3 +259,35 @@ def test_scores_against_a_plain_loop(spark):
                 total += np.log10((count.get(token, 0) + lm.SMOOTH) / den)
             units.append(u)
         assert got[k] == pytest.approx(total, rel=1e-4)
+
+
+def test_equal_rows_fill_slots(spark):
+    """A third of the rows equal, ids null: all slots without gaps, shards one row apart, the same rows as before."""
+    from granary.llm import ring
+
+    rows = [(None, "same")] * 700 + [(None, None)] * 50 + [(k, f"text {k}") for k in range(1300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = [tuple(r) for r in ring.shard_documents(df, 40).collect()]
+    assert len(out) == len(rows) and sorted(x[0] is None for x in out) == sorted(k is None for k, _ in rows)
+    slots = {}
+    for _, size, _, shard, slot in out:
+        slots.setdefault(shard, []).append(slot)
+    assert len(slots) == 40 and {len(x) for x in slots.values()} <= {51, 52}
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    again = [tuple(r) for r in ring.shard_documents(df.repartition(2), 40).collect()]
+    assert sorted(out, key=repr) == sorted(again, key=repr)
+
+
+def test_oracles(spark):
+    import duckdb
+
+    from granary.llm.queries import ORACLES, QUERIES
+
+    folder, c = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    for name, sql in ORACLES.items():
+        df = QUERIES[name](spark, folder)
+        rel = c.sql(sql)
+        assert sorted(rel.columns) == sorted(df.columns)
+        assert sorted(map(tuple, df.select(*rel.columns).collect()), key=repr) == sorted(rel.fetchall(), key=repr)
