@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import arrow as ar
 from granary.functions import text as tx
-from granary.operators.tables import BROADCAST_ROWS, small, written
+from granary.operators.tables import BROADCAST_ROWS, spread, written
 
 K1, B = 1.2, 0.75
 LEAST_PREFIX = 4
@@ -24,37 +24,34 @@ def postings(docs: DataFrame, fields: dict[str, float], terms: DataFrame, key: s
     spark = docs.sparkSession
     words = [_words(f) for f in fields]
     size = sum((F.size(w) for w in words[1:]), F.size(words[0]))
-    mark = F.array(F.struct(F.lit("").alias("token"), F.lit(0.0).alias("weight")))
-    rows = F.flatten(F.array(mark, *[_weighted(w, weight) for w, weight in zip(words, fields.values())]))
-    asked = terms.select("term", "is_prefix").union(spark.createDataFrame([("", False)], "term string, is_prefix boolean")).distinct()
-    wanted = small(asked)
+    parts = [F.struct(F.array(F.lit("")).alias("words"), F.lit(0.0).alias("weight"))]
+    parts += [F.struct(w.alias("words"), F.lit(float(x)).alias("weight")) for w, x in zip(words, fields.values())]
+    asked = written(terms.select("term", "is_prefix").union(spark.createDataFrame([("", False)], "term string, is_prefix boolean")).distinct())
+    # one row: the number of terms, and the lengths of prefixes, as many as there are lengths of words
+    n, lengths = asked.agg(F.count(F.lit(1)), F.sort_array(F.collect_set(F.when(F.col("is_prefix"), F.length("term"))))).first()
+    side = F.broadcast if n <= BROADCAST_ROWS else (lambda x: x)
     prefixes = asked.where("is_prefix")
-    lengths = [r[0] for r in prefixes.select(F.length("term")).distinct().collect()]  # as many as there are lengths of words
     # the size in a projection of its own, else it is computed anew for every exploded token
-    tokens = docs.select(key, size.alias("size"), rows.alias("rows")).select(key, "size", F.explode("rows").alias("x")).select(key, "size", "x.token", "x.weight")
-    tokens = tokens.withColumn("begin", F.substring("token", 1, LEAST_PREFIX))
-    if lengths:
-        begins = small(prefixes.select(F.substring("term", 1, LEAST_PREFIX).alias("begin"), F.lit(True).alias("may")).distinct())
-        longer = F.filter(F.array(*[F.when(F.length("token") >= n, F.substring("token", 1, n)) for n in sorted(lengths)]), lambda x: x.isNotNull())
-        tokens = tokens.join(begins, "begin", "left").withColumn("starts", F.when(F.col("may"), longer).otherwise(F.array().cast("array<string>")))
-    else:
-        tokens = tokens.withColumn("starts", F.array().cast("array<string>"))
+    cut = spread(docs).select(key, size.alias("size"), F.array(*parts).alias("parts")).select(key, "size", F.explode("parts").alias("p"))
+    tokens = cut.select(key, "size", "p.weight", F.explode("p.words").alias("token")).withColumn("begin", F.substring("token", 1, LEAST_PREFIX))
+    exact = side(asked.where("NOT is_prefix").select(F.col("term").alias("token"), F.lit(True).alias("own")))
+    begins = side(prefixes.select(F.substring("term", 1, LEAST_PREFIX).alias("begin"), F.lit(True).alias("may")).distinct())
+    tokens = tokens.join(exact, "token", "left").join(begins, "begin", "left").where("own OR may")
+    longer = F.filter(F.array(*[F.when(F.length("token") >= n, F.substring("token", 1, n)) for n in lengths] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
     kinds = F.concat(
-        F.array(F.struct(F.col("token").alias("term"), F.lit(False).alias("is_prefix"))),
-        F.transform("starts", lambda x: F.struct(x.alias("term"), F.lit(True).alias("is_prefix"))),
+        F.when(F.col("own"), F.array(F.struct(F.col("token").alias("term"), F.lit(False).alias("is_prefix")))).otherwise(F.array()),
+        F.when(F.col("may"), F.transform(longer, lambda x: F.struct(x.alias("term"), F.lit(True).alias("is_prefix")))).otherwise(F.array()),
     )
-    out = tokens.select(key, "size", "weight", F.explode(kinds).alias("k")).select(key, "size", "weight", "k.term", "k.is_prefix")
-    return written(out.join(wanted, ["term", "is_prefix"], "left_semi").groupBy(key, "size", "term", "is_prefix").agg(F.sum("weight").alias("tf")))
+    # equal tokens of a document are counted before they are taken apart
+    counted = tokens.groupBy(key, "size", "token", "own", "may").agg(F.sum("weight").alias("weight"))
+    out = counted.select(key, "size", "weight", F.explode(kinds).alias("k")).select(key, "size", "weight", "k.term", "k.is_prefix")
+    return written(out.join(side(asked), ["term", "is_prefix"], "left_semi").groupBy(key, "size", "term", "is_prefix").agg(F.sum("weight").alias("tf")))
 
 
 def _words(field: str) -> Column:
     return F.coalesce(tx.tokens(F.col(field)), F.array().cast("array<string>"))
 
 
-def _weighted(words: Column, weight: float) -> Column:
-    return F.transform(words, lambda w: F.struct(w.alias("token"), F.lit(float(weight)).alias("weight")))
-
-
 def bm25(docs: DataFrame, terms: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
     """(query, key, score) for every document that holds a term of a query.
 
@@ -120,7 +117,7 @@ def tf_idf(docs: DataFrame, min_df: int = 2, max_share: float = 0.6, size: int =
     The vocabulary is terms in ``min_df`` documents (or with a digit) and less
     than ``max_share`` of them, the ``size`` most frequent, ties by term.
     """
-    tokens = docs.select(key, F.explode(tx.tokens(F.col("text"), r"[\p{L}\p{N}][\p{L}\p{N}\-./]+")).alias("term"))
+    tokens = spread(docs).select(key, F.explode(tx.tokens(F.col("text"), r"[\p{L}\p{N}][\p{L}\p{N}\-./]+")).alias("term"))
     tf = written(tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))

@@ -37,6 +37,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than the session has cores dealt out to all of them; any larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` written, and marked for a broadcast if it has at most ``BROADCAST_ROWS`` rows."""
     df = written(df)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import chunks as ck
 from granary.functions import stem as st
 from granary.functions import text as tx
+from granary.operators.tables import spread
 from granary.plans import kb
 from granary.queries.registry import query
 from granary.sources import html
@@ -42,7 +43,7 @@ def txt_03(t):
 
 def chunked(t):
     """Chunks of every document, each text one page."""
-    return t.documents.select("doc_id", F.explode(ck.document_chunks(F.array("text"))).alias("c")).select("doc_id", "c.*")
+    return spread(t.documents).select("doc_id", F.explode(ck.document_chunks(F.array("text"))).alias("c")).select("doc_id", "c.*")
 
 
 @query("txt_04")
@@ -135,7 +136,7 @@ BIG_STOP = "(" + ", ".join(f"'{x}'" for x in st.STOP) + ")"
 @query("txt_16", rf"""WITH t AS (SELECT unnest(regexp_extract_all(lower({COMMA.format(COMMA.format("translate(text, 'ёЁ³²¹Øø∅×–—−«»°', 'еЕ321dddx---" + '""' + "')"))}), '[a-zа-яё0-9][a-zа-яё0-9\-./]+')) AS raw FROM documents) SELECT trim(raw, '-./') AS term, count(*) AS n FROM t WHERE raw NOT IN {BIG_STOP} GROUP BY 1 HAVING count(*) > 20""")
 def txt_16(t):
     """Stems are taken of different tokens, counted before."""
-    raw = t.documents.select(F.explode(st.raw_tokens(F.col("text"))).alias("raw")).groupBy("raw").agg(N().alias("n"))
+    raw = spread(t.documents).select(F.explode(st.raw_tokens(F.col("text"))).alias("raw")).groupBy("raw").agg(N().alias("n"))
     return raw.select(st.normalized(F.col("raw")).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n")).where("n > 20")
 
 
