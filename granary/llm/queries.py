@@ -10,7 +10,9 @@ from granary.llm import bwt_dups, decontam, langid, lm, near_dups, piece_codec,
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table; one of fewer files than the session has cores is dealt out to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def _of_documents(operator: Callable[[DataFrame], DataFrame]):
