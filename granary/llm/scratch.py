@@ -15,6 +15,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: bytes of a row group: what a writing task holds
+ROW_GROUP = 16 << 20
 _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -44,7 +46,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of that table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "lz4").option("parquet.block.size", ROW_GROUP).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
