@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bwt_dups, decontam, langid, lm, near_dups, piece_codec, private, quality, ring, token_counts
+from granary.llm import bwt_dups, decontam, impact_search, langid, license_scan, lm, near_dups, paired_tables, piece_codec, private, quality, ring, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": _of_documents(token_counts.op8),
     "op9_sharding": _of_documents(ring.op9),
     "op10_lm_scoring": _of_documents(lm.op10),
+    "op11_impact_search": lambda spark, sf_dir: impact_search.op11(
+        _table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    ),
+    "op12_paired_tables": lambda spark, sf_dir: paired_tables.op12(
+        _table(spark, sf_dir, "sales"), _table(spark, sf_dir, "sale_lines")
+    ),
+    "op13_license_scan": _of_documents(license_scan.op13),
 }
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -65,4 +72,11 @@ o AS (SELECT rule, mean, CASE WHEN mean > 0 AND mean < 1 AND n - n2 / n - k > 1e
 k AS (SELECT rule, mean, CASE WHEN rho > 1e-6::DOUBLE THEN least(greatest(1 / rho - 1, 1), 1e6::DOUBLE) ELSE 1e6::DOUBLE END AS strength FROM o),
 r AS (SELECT source, max((bad + mean * strength) / (n + strength)) AS rate FROM h JOIN k USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed, NOT (short OR repeats) AND rate <= 0.5::DOUBLE AS kept, round(rate, 6) AS host_rate FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source""",
+    "op11_impact_search": f"""WITH d AS (SELECT doc_id, {_WORDS4} AS w FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, term, count(*) AS asked FROM (SELECT item_id, unnest({_WORDS4}) AS term FROM benchmark) GROUP BY item_id, term),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d) GROUP BY doc_id, n, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY term),
+r AS (SELECT item_id, doc_id, CAST(sum(asked * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 20""",
 }
