@@ -46,26 +46,6 @@ def proximity(query: pd.Series, words: pd.Series) -> pd.Series:
     return pd.Series([nearness(list(q), list(w)) for q, w in zip(query, words)], dtype="float64")
 
 
-def grouped_segments(segments: Column, window: float) -> Column:
-    """Groups (first, last, n) of ordered segments (start, end): a group closes once it spans ``window``; the rest is flushed."""
-    kind = "struct<first:double,last:double,n:int,out:array<struct<first:double,last:double,n:int>>>"
-    begin = F.struct(F.lit(None).alias("first"), F.lit(None).alias("last"), F.lit(0).alias("n"), F.array().alias("out")).cast(kind)
-
-    def step(acc: Column, x: Column) -> Column:
-        first = F.coalesce(acc["first"], x["start"])
-        whole = F.struct(first.alias("first"), x["end"].alias("last"), (acc["n"] + 1).alias("n"))
-        closed = x["end"] - first >= window
-        return F.when(closed, F.struct(F.lit(None).alias("first"), F.lit(None).alias("last"), F.lit(0).alias("n"), F.concat(acc["out"], F.array(whole)).alias("out")).cast(kind)).otherwise(
-            F.struct(whole["first"].alias("first"), whole["last"].alias("last"), whole["n"].alias("n"), acc["out"].alias("out")).cast(kind)
-        )
-
-    def finish(acc: Column) -> Column:
-        rest = F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"), acc["n"].alias("n")))
-        return F.when(acc["n"] > 0, F.concat(acc["out"], rest)).otherwise(acc["out"])
-
-    return F.aggregate(segments, begin, step, finish)
-
-
 #: encodings tried in this order; the last takes any bytes
 ENCODINGS = ("utf-8", "cp1251", "utf-16", "latin-1")
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators import prefixes
+from granary.operators.tables import small
+
 
 def visible(rows: DataFrame, asks: DataFrame, role_sections: DataFrame) -> DataFrame:
     """Pairs of an ask (``ask``, ``role``) and a row (``section``) that the role may see.
@@ -14,7 +17,7 @@ def visible(rows: DataFrame, asks: DataFrame, role_sections: DataFrame) -> DataF
     granted = asks.join(role_sections, "role")
     every = granted.where("section = '*'").select("ask", "role").distinct()
     some = granted.where("section <> '*'").join(every.select("ask"), "ask", "left_anti").select("ask", "role", "section").distinct()
-    return rows.join(some, "section").unionByName(rows.join(F.broadcast(every)))
+    return rows.join(some, "section").unionByName(rows.join(small(every), how="cross"))
 
 
 def contained(need: Column, allowed: Column) -> Column:
@@ -22,26 +25,37 @@ def contained(need: Column, allowed: Column) -> Column:
     return F.size(F.array_except(need, allowed)) == 0
 
 
-#: fixed values: signs of an injected instruction, in both languages, by what they try
-INJECTIONS = (
-    # put the rules aside
-    r"(?iU)\b(?:игнорируй|не\s+обращай\s+внимания\s+на)\s+(?:все\s+)?(?:(?:предыдущ|прошл|сво|тво)\w+\s+)?(?:инструкции|правила|указания|ограничения)",
-    # forget them
-    r"(?iU)\bзабудь\s+(?:все\s+)?(?:инструкции|правила|что\s+тебе\s+говорили)",
-    # be somebody else
-    r"(?iU)\b(?:теперь\s+ты|ты\s+больше\s+не)\s+\w",
-    # show the prompt
-    r"(?iU)\b(?:выведи|повтори|покажи)\s+(?:свой\s+)?(?:исходн|системн)\w+\s*(?:инструкц|промпт|сообщение)",
-    # the same as the first, in English
-    r"(?iU)\b(?:disregard|ignore)\s+(?:all\s+)?(?:prior|previous)\s+instructions",
-    r"(?iU)system\s*prompt",
-    # whatever the rights
-    r"(?iU)\bвыдай\s.{0,30}(?:несмотря|независимо)\s+(?:на|от)\s.{0,30}(?:прав|роль|доступ)",
-    # in another's name
-    r"(?iU)\b(?:представь,?\s+что\s+ты|от\s+имени)\s+(?:директор|администратор)",
+# fixed values: words that try to put the rules aside, in the order in which they follow on each other.
+# "?" marks a step that may be missing, "~" any ending, "..." up to thirty characters, "+" that no blank is needed before the step
+INJECTION_STEPS = (
+    ("игнорируй|не обращай внимания на", "?все", "?предыдущие|прошлые|свои|твои", "инструкции|правила|указания|ограничения"),
+    ("забудь", "?все", "инструкции|правила|что тебе говорили"),
+    ("ты больше не|теперь ты", "~"),
+    ("покажи|выведи|повтори", "?свой", "системн~|исходн~", "+промпт|инструкц~|сообщение"),
+    ("ignore|disregard", "?all", "previous|prior", "instructions"),
+    ("system", "+prompt"),
+    ("выдай", "...", "независимо от|несмотря на", "...", "доступ|прав|роль"),
+    ("от имени|представь, что ты|представь что ты", "администратор|директор"),
 )
 
 
+def phrase_pattern(steps: tuple[str, ...]) -> str:
+    """A pattern of steps with blanks between them, in any case."""
+    out, gap = "(?iU)", ""
+    for step in steps:
+        words = "(?:" + step.lstrip("?+").replace("~", r"\w+").replace(" ", r"\s+") + ")"
+        if step == "...":
+            out, gap = out + gap + ".{0,30}", ""
+        elif step[0] == "?":
+            out, gap = out + gap + rf"(?:{words}\s+)?", ""
+        else:
+            out, gap = out + (r"\s*" if step[0] == "+" else gap) + words, r"\s+"
+    return out
+
+
+INJECTIONS = tuple(phrase_pattern(steps) for steps in INJECTION_STEPS)
+
+
 def injected(text: Column) -> Column:
     """The numbers of the patterns that a text holds."""
     return F.filter(
@@ -67,6 +81,34 @@ def masked(text: Column) -> Column:
     return text
 
 
+def permitted(requests: DataFrame, policy: DataFrame) -> DataFrame:
+    """(id, allowed) of requests (id, role, method, path, kind) by a policy (role, method, prefix, exact, denied).
+
+    A rule is for one role and method or, by "*", for any.  Of the rules of one
+    role and method the longest ``prefix`` of the path decides: it allows the
+    request unless it is ``exact`` and the path is longer, or the request's
+    ``kind`` is among its ``denied``.  One rule that allows is enough; without any the request is refused.
+    """
+    key = lambda path: F.concat_ws("\n", "r", "m", path)
+    rules = policy.select(F.col("role").alias("r"), F.col("method").alias("m"), "prefix", "exact", "denied").select(key("prefix").alias("prefix"), "exact", "denied")
+    either = lambda c: F.explode(F.array(F.col(c), F.lit("*")))
+    asked = requests.withColumn("r", either("role")).withColumn("m", either("method")).select("id", "kind", F.coalesce(key("path"), F.lit("")).alias("key"))
+    found = prefixes.longest(asked, "key", rules.select("prefix")).join(rules, "prefix")
+    kind = F.coalesce("kind", F.lit(""))
+    yes = (~F.col("exact") | (F.col("key") == F.col("prefix"))) & ~F.coalesce(F.array_contains("denied", kind), F.lit(False))
+    allowed = found.where(yes).select("id").distinct().withColumn("yes", F.lit(True))
+    return requests.select("id").join(allowed, "id", "left").select("id", F.coalesce("yes", F.lit(False)).alias("allowed"))
+
+
+# fixed values: what the roles of the administration may do
+ADMIN_ONLY_JOBS = ("restore", "restore_drill", "backup_prune", "retention_clean", "forget_user", "migrate_vectors", "model_install")
+POLICY = (
+    ("admin", "*", "", False, ()), ("*", "GET", "", False, ()), ("*", "*", "/api/password", True, ()), ("operator", "*", "/api/job", False, ADMIN_ONLY_JOBS),
+    ("operator", "*", "/api/backup/verify", False, ()), ("operator", "*", "/api/llm/probe", False, ()), ("operator", "*", "/api/search/test", False, ()),
+    ("operator", "*", "/api/ocr/guard", False, ()), ("operator", "*", "/api/eval/", False, ()),
+)
+
+
 def limited(events: DataFrame, per_hour: int, per_day: int, total: int) -> DataFrame:
     """(event_id, allowed): under the user's hourly and daily and the common daily limit of events before it."""
     e = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("second", F.date_trunc("second", "ts"))

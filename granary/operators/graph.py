@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators.tables import written
@@ -15,11 +15,38 @@ def chain_edges(docs: DataFrame, folder: str, node: str, most: int = 60, weight:
     return ranked.withColumn("b", F.lead(node).over(w)).where("b IS NOT NULL").select(F.col(node).alias("a"), "b", F.lit(weight).alias("w"))
 
 
-def rolled_up(edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """(ga, gb, n, w): edges between groups, undirected, without loops; ``groups`` has (node, g)."""
-    side = lambda x: groups.select(F.col("node").alias(x), F.col("g").alias(f"g{x}"))
-    both = edges.join(side("a"), "a").join(side("b"), "b").where("ga <> gb")
-    return both.groupBy(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w"))
+#: levels of the graph, from the coarsest to single documents
+LEVELS = ("section", "brand", "category", "doc")
+
+
+def _keys() -> Column:
+    """(level, key) of a node at every level."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    keys = {"section": text("section"), "brand": F.concat(text("section"), F.lit(" / "), text("brand")), "category": text("category"), "doc": text("id")}
+    return F.array(*[F.struct(F.lit(x).alias("level"), keys[x].alias("key")) for x in LEVELS])
+
+
+def level_nodes(nodes: DataFrame, sums: list[str]) -> DataFrame:
+    """(level, key, n, and each of ``sums`` added up) of all four levels, by grouping sets over one pass of ``nodes`` (id, section, brand, category, sums)."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    rows = nodes.select(text("id"), text("section"), text("brand"), text("category"), *sums)
+    sets = [["section"], ["section", "brand"], ["category"], ["id"]]
+    grouped = rows.groupingSets(sets, "id", "section", "brand", "category").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
+    # bits of (id, section, brand, category) that a set leaves out
+    level = F.element_at(F.create_map(*[F.lit(x) for x in (0b1011, "section", 0b1001, "brand", 0b1110, "category", 0b0111, "doc")]), F.col("g").cast("int"))
+    key = F.when(level == "section", F.col("section")).when(level == "brand", F.concat("section", F.lit(" / "), "brand")).when(level == "category", F.col("category")).otherwise(F.col("id"))
+    return grouped.select(level.alias("level"), key.alias("key"), "n", *sums)
+
+
+def level_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(level, a, b, n, w): edges (a, b, w) between the groups of every level, undirected, without loops.
+
+    Both ends get their keys once; each edge then counts at the levels at which they differ.
+    """
+    side = lambda x: nodes.select(F.col("id").alias(x), _keys().alias(f"k{x}"))
+    both = edges.select("a", "b", "w").join(side("a"), "a").join(side("b"), "b")
+    pairs = F.explode(F.zip_with("ka", "kb", lambda x, y: F.struct(x["level"].alias("level"), F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b")))).alias("p")
+    return both.select("w", pairs).where("p.a <> p.b").groupBy("p.level", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w"))
 
 
 def connected(edges: DataFrame) -> DataFrame:

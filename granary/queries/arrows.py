@@ -8,6 +8,7 @@ from granary.functions import arrow as ar
 from granary.functions import text as tx
 from granary.operators import retention
 from granary.queries.registry import query
+from granary.streaming import segments as sg
 
 
 @query("txt_13", "SELECT p_partkey, nfc_normalize('e' || chr(769) || p_name) AS name FROM part")
@@ -15,13 +16,19 @@ def txt_13(t):
     return t.part.select("p_partkey", ar.nfc(F.concat(F.lit("é"), "p_name")).alias("name"))
 
 
-@query("win_10")
+@query(
+    "win_10",
+    """WITH RECURSIVE s AS (SELECT user_id, epoch_us(ts) / 1e6 AS a, epoch_us(ts) / 1e6 + value / 10 AS b FROM events),
+i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a, b) AS i FROM s),
+nx AS (SELECT x.user_id, x.i, x.a, min(y.i) AS j FROM i x LEFT JOIN i y ON y.user_id = x.user_id AND y.i >= x.i AND y.b - x.a >= 86400 GROUP BY 1, 2, 3),
+g AS (SELECT user_id, i, a, j FROM nx WHERE i = 1 UNION ALL SELECT nx.user_id, nx.i, nx.a, nx.j FROM g JOIN nx ON nx.user_id = g.user_id AND nx.i = g.j + 1),
+l AS (SELECT user_id, max(i) AS last FROM i GROUP BY user_id)
+SELECT g.user_id, round(g.a, 3) AS first, round(e.b, 3) AS last, coalesce(g.j, l.last) - g.i + 1 AS n FROM g JOIN l USING (user_id) JOIN i e ON e.user_id = g.user_id AND e.i = coalesce(g.j, l.last)""",
+)
 def win_10(t):
     us = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    by_user = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(us.alias("start"), (us + F.col("value") / 10).alias("end")))).alias("s"))
-    return by_user.select("user_id", F.explode(ar.grouped_segments(F.col("s"), 86_400.0)).alias("g")).select(
-        "user_id", F.round("g.first", 3).alias("first"), F.round("g.last", 3).alias("last"), F.col("g.n").cast("long").alias("n")
-    )
+    segments = t.events.select("user_id", us.alias("start"), (us + F.col("value") / 10).alias("end"))
+    return sg.grouped(segments, "user_id", 86_400.0).select("user_id", F.round("first", 3).alias("first"), F.round("last", 3).alias("last"), "n")
 
 
 @query("src_10", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'п' || p_name END AS text FROM part")

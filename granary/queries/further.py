@@ -49,10 +49,10 @@ def top_08(t):
     return cl.degree_capped(edges, 6)
 
 
-@query("txt_24", "SELECT p_partkey, 'напор ' || p_size || ' метров , источник 2 подача 3.6 кубометров в час у дабл-ю ар пи тире эй 55 дробь 75' AS said FROM part")
+@query("txt_24", "SELECT p_partkey, 'напор ' || p_size || ' метров , источник 2 подача 3.6 кубометров в час у дабл-ю ар пи тире эй 55/75' AS said FROM part")
 def txt_24(t):
     text = F.concat(F.lit("**напор** "), F.col("p_size").cast("string"), F.lit(" м, [2] подача 3.6 м3/ч у <b>WRP-A</b> 55/75"))
-    return t.part.select("p_partkey", F.replace(sp.for_speech(text), F.lit("55/75"), F.lit("55 дробь 75")).alias("said"))
+    return t.part.select("p_partkey", sp.said(text).alias("said"))
 
 
 @query("txt_27")
@@ -61,7 +61,7 @@ def txt_27(t):
     hits = lexical(t, 6).join(t.documents.select("doc_id", "text", "source"), "doc_id")
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "source").alias("header"))))
     rows = hits.groupBy("query").agg(ordered.alias("h")).select("query", F.transform("h", lambda x: x["text"]).alias("t"), F.transform("h", lambda x: x["header"]).alias("s"))
-    return rows.select("query", sp.context_places("t", "s").alias("places"))
+    return rows.select("query", sp.context_places(F.col("t"), F.col("s")).alias("places"))
 
 
 @query("txt_30")
@@ -69,8 +69,7 @@ def txt_30(t):
     """Word pieces of whole texts by a vocabulary of letters and frequent endings."""
     letters = [chr(97 + k) for k in range(26)]
     vocabulary = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *[f"##{x}" for x in letters], *"th an in er on the and ing tion".split(), "##th", "##an", "##ing", "##tion", ",", "."]
-    most = 1 << 30
-    ids = sp.word_pieces(F.col("text"), vocabulary, most)
+    ids = sp.framed(sp.pieces(F.col("text"), vocabulary), vocabulary, (1 << 31) - 1)
     return t.documents.select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("digest"))
 
 

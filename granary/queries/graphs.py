@@ -58,9 +58,21 @@ def gr_05(t):
     return lib(t).groupBy("section").agg(N().alias("nodes"), F.count_if(F.col("status") == "ok").alias("ok"), F.countDistinct("brand").alias("brands"))
 
 
-@query("gr_06", f"WITH {CHAIN}, g AS (SELECT id, section AS g FROM d) SELECT least(x.g, y.g) AS ga, greatest(x.g, y.g) AS gb, count(*) AS n, max(w) AS w FROM ch JOIN g x ON x.id = a JOIN g y ON y.id = b WHERE x.g <> y.g GROUP BY 1, 2")
+LEVEL_KEYS = "lk AS (SELECT id, unnest([{l: 'section', k: section}, {l: 'brand', k: section || ' / ' || brand}, {l: 'category', k: doc_type}, {l: 'doc', k: CAST(id AS VARCHAR)}]) AS x FROM (SELECT id, coalesce(section, '') AS section, coalesce(brand, '') AS brand, doc_type FROM d))"
+
+
+def graph_nodes(t):
+    return lib(t).select("id", "section", "brand", F.col("doc_type").alias("category"), F.col("text_chars").alias("chars"), F.col("effective_date").isNull().cast("int").alias("undated"), (F.col("status") == "error").cast("int").alias("failed"))
+
+
+@query("gr_06", f"WITH {CHAIN}, {LEVEL_KEYS} SELECT x.x.l AS level, least(x.x.k, y.x.k) AS a, greatest(x.x.k, y.x.k) AS b, count(*) AS n, max(w) AS w FROM ch JOIN lk x ON x.id = ch.a JOIN lk y ON y.id = ch.b AND y.x.l = x.x.l WHERE x.x.k <> y.x.k GROUP BY 1, 2, 3")
 def gr_06(t):
-    return gr.rolled_up(chain(t), lib(t).select(F.col("id").alias("node"), F.col("section").alias("g")))
+    return gr.level_edges(chain(t), graph_nodes(t))
+
+
+@query("gr_06_nodes", f"WITH {D}, {LEVEL_KEYS} SELECT x.l AS level, x.k AS key, count(*) AS n, CAST(sum(text_chars) AS BIGINT) AS chars, count(*) FILTER (effective_date IS NULL) AS undated, count(*) FILTER (status = 'error') AS failed FROM lk JOIN d USING (id) GROUP BY 1, 2")
+def gr_06_nodes(t):
+    return gr.level_nodes(graph_nodes(t), ["chars", "undated", "failed"])
 
 
 @query("gr_07", f"WITH {D} SELECT id, CASE WHEN status <> 'ok' THEN 'error' WHEN id % 11 = 0 THEN 'superseded' WHEN effective_date IS NULL THEN 'undated' WHEN id % 7 = 0 THEN 'used' ELSE 'idle' END AS state FROM d")

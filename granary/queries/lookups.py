@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.operators import access as ac
+from granary.operators import patterns as pt
 from granary.operators.analytics import latest_verdict
 from granary.plans import kb
 from granary.queries.registry import query
@@ -128,10 +129,24 @@ def flt_14(t):
     return t.customer.select("c_custkey", (admin | ((F.col("c_acctbal") >= 0) & (listed | (F.col("c_nationkey") < 12)))).alias("may_ask"), (admin | listed).alias("can_train"))
 
 
-@query("flt_15", "SELECT s_suppkey, CASE WHEN s_nationkey < 3 THEN TRUE WHEN s_nationkey < 15 THEN s_suppkey % 2 = 0 ELSE FALSE END AS may FROM supplier")
+REQUESTS = """rq AS (SELECT event_id AS id, ['admin', 'operator', 'viewer'][CAST(event_id % 3 AS INTEGER) + 1] AS role, ['GET', 'POST', 'DELETE'][CAST(event_id // 3 % 3 AS INTEGER) + 1] AS method,
+ ['/api/password', '/api/password/x', '/api/job', '/api/jobs/7', '/api/backup/verify', '/api/backup', '/api/llm/probe', '/api/search/test', '/api/ocr/guard/1', '/api/eval', '/api/eval/run', '/'][CAST(event_id // 9 % 12 AS INTEGER) + 1] AS path,
+ [NULL, 'reindex', 'restore', 'forget_user', ''][CAST(event_id // 108 % 5 AS INTEGER) + 1] AS kind FROM events)"""
+
+
+@query("flt_15", f"""WITH {REQUESTS} SELECT id, role = 'admin' OR method = 'GET' OR path = '/api/password' OR (role = 'operator' AND CASE WHEN starts_with(path, '/api/job') THEN coalesce(kind, '') NOT IN ('restore', 'restore_drill', 'backup_prune', 'retention_clean', 'forget_user', 'migrate_vectors', 'model_install')
+ ELSE starts_with(path, '/api/backup/verify') OR starts_with(path, '/api/llm/probe') OR starts_with(path, '/api/search/test') OR starts_with(path, '/api/ocr/guard') OR starts_with(path, '/api/eval/') END) AS allowed FROM rq""")
 def flt_15(t):
-    reads = F.col("s_suppkey") % 2 == 0
-    return t.supplier.select("s_suppkey", F.when(F.col("s_nationkey") < 3, True).when(F.col("s_nationkey") < 15, reads).otherwise(False).alias("may"))
+    k = F.col("event_id")
+    pick = lambda at, *xs: F.get(F.array(*[F.lit(x) for x in xs]), at.cast("int"))
+    third = lambda n: F.floor(k / n)
+    paths = ("/api/password", "/api/password/x", "/api/job", "/api/jobs/7", "/api/backup/verify", "/api/backup", "/api/llm/probe", "/api/search/test", "/api/ocr/guard/1", "/api/eval", "/api/eval/run", "/")
+    requests = t.events.select(
+        k.alias("id"), pick(k % 3, "admin", "operator", "viewer").alias("role"), pick(third(3) % 3, "GET", "POST", "DELETE").alias("method"),
+        pick(third(9) % 12, *paths).alias("path"), pick(third(108) % 5, None, "reindex", "restore", "forget_user", "").alias("kind"),
+    )
+    policy = t.spark.createDataFrame([(r, m, p, e, list(d)) for r, m, p, e, d in ac.POLICY], "role string, method string, prefix string, exact boolean, denied array<string>")
+    return ac.permitted(requests, policy)
 
 
 @query("flt_16", """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND 1 PRECEDING) < 1
@@ -241,18 +256,29 @@ def jn_12(t):
     return side(0, "removed").join(side(1, "added"), ["p_size", "p_brand", "r"]).select("removed", "added")
 
 
-@query("jn_14", f"WITH {D}, p AS (SELECT unnest(['SRC1/', '/fr/', 'doc_77']) AS pattern) SELECT pattern, count(d.id) AS n FROM p LEFT JOIN d ON contains(lower(rel_path), lower(pattern)) GROUP BY pattern")
+PATTERNS_SQL = "p AS (SELECT upper(brand) || '/' AS pattern FROM d WHERE brand IS NOT NULL UNION SELECT '/' || section || '/' FROM d WHERE section IS NOT NULL UNION SELECT 'doc_' || item_id || '_' FROM benchmark UNION SELECT 'nowhere ' || item_id FROM benchmark)"
+
+
+def path_patterns(t):
+    """A pattern for each brand, section and question, and as many that no path holds."""
+    named = lambda df, column: df.select(column.alias("pattern")).where("pattern IS NOT NULL")
+    item = F.col("item_id").cast("string")
+    out = named(lib(t), F.concat(F.upper("brand"), F.lit("/"))).union(named(lib(t), F.concat(F.lit("/"), "section", F.lit("/"))))
+    return out.union(named(t.benchmark, F.concat(F.lit("doc_"), item, F.lit("_")))).union(named(t.benchmark, F.concat(F.lit("nowhere "), item))).distinct()
+
+
+@query("jn_14", f"WITH {D}, {PATTERNS_SQL} SELECT lower(pattern) AS pattern, count(d.id) AS n FROM p LEFT JOIN d ON contains(lower(rel_path), lower(pattern)) GROUP BY 1")
 def jn_14(t):
-    patterns = t.spark.createDataFrame([("SRC1/",), ("/fr/",), ("doc_77",)], "pattern string")  # a stated list
-    hits = lib(t).select("id", F.lower("rel_path").alias("path")).join(F.broadcast(patterns), F.contains("path", F.lower("pattern"))).groupBy("pattern").agg(N().alias("n"))
-    return patterns.join(hits, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"))
+    patterns = path_patterns(t).select(F.lower("pattern").alias("pattern"))
+    return pt.counted(patterns, pt.held(lib(t).select("id", "rel_path"), "rel_path", patterns, any_case=True))
 
 
-@query("jn_15", "WITH b AS (SELECT n_name AS brand FROM nation), r AS (SELECT c_custkey, lower(c_name || ' from ' || n_name) AS question FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY c_custkey DESC LIMIT 2000) SELECT brand, count(*) AS n FROM r JOIN b ON contains(question, lower(brand)) GROUP BY brand")
+@query("jn_15", "WITH b AS (SELECT DISTINCT lower(n_name) AS brand FROM nation UNION SELECT DISTINCT lower(c_mktsegment) FROM customer), r AS (SELECT c_custkey, lower(c_name || ' of ' || c_mktsegment || ' from ' || n_name) AS question FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY c_custkey DESC LIMIT 2000) SELECT brand, count(*) AS n FROM r JOIN b ON contains(question, brand) GROUP BY brand")
 def jn_15(t):
     recent = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).orderBy(F.desc("c_custkey")).limit(2000)  # the recent 2,000: the operator's window
-    asked = recent.select(F.lower(F.concat("c_name", F.lit(" from "), "n_name")).alias("question"))
-    return asked.join(F.broadcast(t.nation.select(F.col("n_name").alias("brand"))), F.contains("question", F.lower("brand"))).groupBy("brand").agg(N().alias("n"))
+    asked = recent.select("c_custkey", F.concat("c_name", F.lit(" of "), "c_mktsegment", F.lit(" from "), "n_name").alias("question"))
+    brands = t.nation.select(F.col("n_name").alias("pattern")).union(t.customer.select("c_mktsegment"))
+    return pt.held(asked, "question", brands, any_case=True).groupBy(F.col("pattern").alias("brand")).agg(N().alias("n"))
 
 
 @query("jn_16", "SELECT p_partkey, array_to_string(list_sort(list_intersect(list_distinct(string_split(p_name, ' ')), ['red', 'small', 'ring'])), ',') AS known FROM part WHERE len(list_intersect(string_split(p_name, ' '), ['red', 'small', 'ring'])) > 0")

@@ -9,6 +9,7 @@ from granary.functions import arrow as ar
 from granary.functions import stem as st
 from granary.functions import text as tx
 from granary.operators import retrieval as rt
+from granary.operators import routing as ro
 from granary.operators import vectors as vc
 from granary.operators.common import dot, rrf, unit
 from granary.operators.tables import written
@@ -207,11 +208,31 @@ def ret_12(t):
     return best.withColumn("r", r).where("r <= 8").drop("r")
 
 
-@query("ret_13", f"WITH {kb.QUESTIONS_SQL} SELECT id, CASE WHEN k > 90 THEN 'golden' WHEN k > 70 THEN 'price' WHEN value > 10 THEN 'documents' ELSE 'none' END AS route, CASE WHEN k > 70 OR value > 40 THEN 'answered' WHEN value > 10 THEN 'low_confidence' ELSE 'nothing_found' END AS result FROM q")
+ROUTED = f"""{HYBRID3}, hs AS (SELECT query AS id, doc_id, score, rank FROM fin WHERE rank <= 6), cf AS (SELECT id, max(score) AS confidence FROM hs GROUP BY id), ar AS (SELECT item_id AS id, CASE item_id % 4 WHEN 1 THEN CAST(1000 + item_id AS VARCHAR) WHEN 2 THEN CAST(100000 + item_id AS VARCHAR) WHEN 3 THEN '99999999' END AS article FROM benchmark),
+pp AS (SELECT p_partkey AS product, p_brand AS file, CASE WHEN p_partkey % 2 = 0 THEN CAST(1000 + p_partkey AS VARCHAR) ELSE CAST(100000 + p_partkey // 3 AS VARCHAR) || '.F' END AS article FROM part),
+ex AS (SELECT id, product, file, pp.article FROM ar JOIN pp ON pp.article = ar.article), va AS (SELECT id, product, file, lower(pp.article) AS article FROM ar JOIN pp ON starts_with(pp.article, ar.article || '.') WHERE id NOT IN (SELECT id FROM ex)),
+pm AS (SELECT id, product, file, row_number() OVER (PARTITION BY id ORDER BY article, product) AS n FROM (SELECT * FROM ex UNION ALL SELECT * FROM va)), pr AS (SELECT * FROM pm WHERE n <= 8),
+go AS (SELECT item_id AS id FROM benchmark WHERE item_id % 8 = 0), ro AS (SELECT item_id AS id, CASE WHEN item_id IN (SELECT id FROM go) THEN 'golden' WHEN item_id IN (SELECT id FROM pr) THEN 'price' WHEN confidence IS NULL THEN 'none' ELSE 'documents' END AS route,
+ CASE WHEN item_id IN (SELECT id FROM go) OR item_id IN (SELECT id FROM pr) THEN 'answered' WHEN confidence IS NULL THEN 'nothing_found' WHEN confidence < 0.025::DOUBLE THEN 'low_confidence' ELSE 'answered' END AS stage, confidence FROM benchmark b LEFT JOIN cf ON cf.id = b.item_id)"""
+
+
+def routing_inputs(t):
+    """Every question with its curated answer, products and documents: what RET-11, RET-12 and RET-03 find."""
+    k = F.col("item_id")
+    more = F.when(k % 4 == 1, F.concat(F.lit(" цена арт. "), (1000 + k).cast("string"))).when(k % 4 == 2, F.concat(F.lit(" сколько стоит "), (100000 + k).cast("string"))).when(k % 4 == 3, F.lit(" артикул 99999999")).otherwise("")
+    questions = written(t.benchmark.select(k.alias("id"), F.concat(F.coalesce("text", F.lit("")), more).alias("question")))
+    # curated questions: those asked word for word
+    curated = t.benchmark.where("item_id % 8 = 0").select(F.coalesce("text", F.lit("")).alias("question"))
+    golden = questions.join(curated, "question", "left_semi").select("id")
+    article = F.when(F.col("p_partkey") % 2 == 0, (1000 + F.col("p_partkey")).cast("string")).otherwise(F.concat((100000 + F.floor(F.col("p_partkey") / 3)).cast("string"), F.lit(".F")))
+    products = t.part.select(F.col("p_partkey").alias("product"), article.alias("article"), F.col("p_brand").alias("file"))
+    hits = written(hybrid(t).select(F.col("query").alias("id"), "doc_id", "score", "rank"))
+    return questions, golden, written(ro.product_matches(questions, products)), hits
+
+
+@query("ret_13", f"WITH {ROUTED} SELECT id, route, stage, confidence FROM ro")
 def ret_13(t):
-    route = F.when(F.col("k") > 90, "golden").when(F.col("k") > 70, "price").when(F.col("value") > 10, "documents").otherwise("none")
-    result = F.when((F.col("k") > 70) | (F.col("value") > 40), "answered").when(F.col("value") > 10, "low_confidence").otherwise("nothing_found")
-    return kb.questions(t.events).select("id", route.alias("route"), result.alias("result"))
+    return ro.routed(*routing_inputs(t), least=0.025)
 
 
 @query("ret_14", r"SELECT conv_id, turn, length(text) < 40 AND NOT regexp_matches(text, '[0-9]') AS follow_up, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[\p{Lu}][\p{L}]{7,}'))), ',') AS entities FROM conversations WHERE role = 'user'")
@@ -220,11 +241,12 @@ def ret_14(t):
     return t.conversations.where("role = 'user'").select("conv_id", "turn", ((F.length("text") < 40) & ~F.col("text").rlike("[0-9]")).alias("follow_up"), F.array_join(found, ",").alias("entities"))
 
 
-@query("ret_15", f"WITH {KNN}, s AS (SELECT query, vec_id, label, rank FROM kn WHERE rank <= 6) SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN label < 3 THEN 0 ELSE 1 END, rank) AS n FROM s")
+@query("ret_15", f"""WITH {ROUTED}, op AS (SELECT id, route, confidence FROM ro WHERE stage = 'answered' AND route <> 'golden'), fi AS (SELECT pr.id, file AS source, min(n) AS spot FROM pr JOIN op USING (id) WHERE op.route = 'price' GROUP BY pr.id, file),
+al AS (SELECT id, 'price' AS kind, source, spot FROM fi UNION ALL SELECT hs.id, 'document', CAST(doc_id AS VARCHAR), rank FROM hs JOIN op USING (id) WHERE op.confidence >= 0.025::DOUBLE)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY CASE kind WHEN 'price' THEN 0 ELSE 1 END, spot, source) AS INTEGER) AS n, kind, source FROM al""")
 def ret_15(t):
-    near = vc.nearest(t.embeddings, asked(t), 6).join(t.embeddings.select("vec_id", "label"), "vec_id")
-    n = F.row_number().over(Window.partitionBy("query").orderBy(F.when(F.col("label") < 3, 0).otherwise(1), "rank"))
-    return near.select("query", "vec_id", n.cast("long").alias("n"))
+    questions, golden, products, hits = routing_inputs(t)
+    return ro.sources(ro.routed(questions, golden, products, hits, least=0.025), products, hits, least=0.025)
 
 
 @query("agg_30", rf"WITH t AS (SELECT DISTINCT doc_id, unnest({TOKENS}) AS term FROM documents) SELECT term, count(*) AS df, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1, 6) AS idf FROM t GROUP BY term HAVING count(*) > 5")

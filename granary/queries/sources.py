@@ -60,10 +60,19 @@ def src_24(t):
     return html.links(t.pages)
 
 
-@query("src_25", "SELECT s_suppkey, s_nationkey < 5 OR s_nationkey BETWEEN 10 AND 12 AS blocked FROM supplier")
+@query("src_25", """WITH n AS (SELECT c_custkey, (c_custkey * 2654435761) % 4294967296 AS ip FROM customer), a AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 10::BIGINT * 16777216 + ip % 16777216 WHEN 1 THEN 172::BIGINT * 16777216 + ip % 16777216 WHEN 2 THEN 192::BIGINT * 16777216 + 168 * 65536 - 3 + c_custkey % 7 ELSE ip END AS ip FROM n)
+SELECT c_custkey, CASE WHEN c_custkey % 11 = 7 THEN NULL WHEN c_custkey % 11 = 5 THEN CAST(c_custkey % 256 AS INTEGER) BETWEEN 252 AND 253 OR (c_custkey % 256 = 254)
+ ELSE ip // 16777216 IN (0, 10, 127) OR ip // 1048576 = 172 * 16 + 1 OR ip // 65536 IN (192 * 256 + 168, 169 * 256 + 254) OR ip // 4194304 = 100 * 4 + 1 OR ip // 256 = 192 * 65536 OR ip // 131072 = 198 * 128 + 9 END AS blocked FROM a""")
 def src_25(t):
-    octet = F.when(F.col("s_nationkey") < 5, F.concat(F.lit("10.1.2."), F.col("s_nationkey").cast("string"))).when(F.col("s_nationkey").between(10, 12), F.concat(F.lit("192.168.0."), F.col("s_nationkey").cast("string"))).otherwise(F.concat(F.lit("93.184.216."), F.col("s_nationkey").cast("string")))
-    return t.supplier.select("s_suppkey", html.blocked(octet).alias("blocked"))
+    """Addresses of both versions all over their spaces, and texts that are none."""
+    k = F.col("c_custkey")
+    ip = (k * 2654435761) % 4294967296
+    ip = F.when(k % 6 == 0, F.lit(10 << 24) + ip % (1 << 24)).when(k % 6 == 1, F.lit(172 << 24) + ip % (1 << 24)).when(k % 6 == 2, F.lit((192 << 24) + (168 << 16) - 3) + k % 7).otherwise(ip)
+    dotted = F.concat_ws(".", *[(F.shiftright(ip, 24 - 8 * n) % 256).cast("string") for n in range(4)])
+    six = F.concat(F.lower(F.lpad(F.hex(k % 256), 2, "0")), F.when(k % 256 == 254, "80").otherwise("12"), F.lit("::"), F.lower(F.hex(k % 65536)))
+    rows = t.customer.select("c_custkey", F.when(k % 11 == 7, F.concat(F.lit("host"), k.cast("string"), F.lit(".example"))).when(k % 11 == 5, six).otherwise(dotted).alias("address"))
+    nets = t.spark.createDataFrame([(x,) for x in html.BLOCKED], "network string")
+    return html.blocked(rows, "address", nets).select("c_custkey", "blocked")
 
 
 @query("src_26", r"SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")

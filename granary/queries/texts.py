@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import chunks as ck
 from granary.functions import stem as st
 from granary.functions import text as tx
+from granary.operators import paths as pm
 from granary.operators.tables import spread
 from granary.plans import kb
 from granary.queries.registry import query
@@ -100,11 +101,28 @@ def txt_11(t):
     return kb.library(t.documents).select("id", tx.version_key(F.col("brand"), F.col("doc_type"), name).alias("key"))
 
 
-@query("txt_12", f"WITH {D} SELECT id, split_part(rel_path, '/', 1) AS section, split_part(rel_path, '/', 2) AS brand, CASE WHEN split_part(rel_path, '/', 2) IN ('en', 'de') THEN 'catalogue' WHEN contains(lower(rel_path), 'doc_1') THEN 'price list' END AS doc_type, contains(rel_path, '/fr/') AS archive FROM d")
+PATH_SQL = """pa AS (SELECT doc_id AS id, lang || '/' || source || '/' || CASE doc_id % 5 WHEN 0 THEN 'SPL_Radiators (Ann B)/' WHEN 1 THEN 'XY ' || source || '/' WHEN 2 THEN 'ABC_/' ELSE '' END
+ || CASE doc_id % 9 WHEN 0 THEN '1КАТАЛОГ/' WHEN 1 THEN '2ПРАЙС_ЛИСТ/' WHEN 2 THEN ' ПАСПОРТ /' WHEN 3 THEN 'Старые прайсы/' WHEN 4 THEN '12СХЕМЫ_НАСОСОВ/' WHEN 5 THEN 'Misc/' WHEN 6 THEN 'АРХИВ/3РУКОВОДСТВО/' WHEN 7 THEN '11ДЕКЛАРАЦИИ/' ELSE '' END
+ || 'Doc_' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.xlsx' WHEN 1 THEN '.CSV' ELSE '.pdf' END AS rel_path FROM documents)"""
+
+
+def paths_of(t):
+    """Paths with lines, categories, archives and files of several kinds."""
+    k = F.col("doc_id")
+    pick = lambda n, *xs: F.get(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), (k % n).cast("int"))
+    line = pick(5, "SPL_Radiators (Ann B)/", F.concat(F.lit("XY "), "source", F.lit("/")), "ABC_/", "", "")
+    category = pick(9, "1КАТАЛОГ/", "2ПРАЙС_ЛИСТ/", " ПАСПОРТ /", "Старые прайсы/", "12СХЕМЫ_НАСОСОВ/", "Misc/", "АРХИВ/3РУКОВОДСТВО/", "11ДЕКЛАРАЦИИ/", "")
+    name = F.concat(F.lit("Doc_"), k.cast("string"), pick(4, ".xlsx", ".CSV", ".pdf", ".pdf"))
+    return t.documents.select(k.alias("id"), F.concat(F.concat_ws("/", "lang", "source", F.lit("")), line, category, name).alias("rel_path"))
+
+
+@query("txt_12", f"""WITH {PATH_SQL}, c AS (SELECT *, id % 9 AS c, split_part(rel_path, '/', 2) AS own, split_part(rel_path, '/', 3) AS third FROM pa WHERE rel_path IS NOT NULL)
+SELECT id, split_part(rel_path, '/', 1) AS section, CASE id % 5 WHEN 0 THEN own || ' / SPL Radiators' WHEN 1 THEN own || ' / XY ' || own WHEN 2 THEN own || ' / ABC' ELSE own END AS brand,
+ coalesce(CASE c WHEN 0 THEN 'КАТАЛОГ' WHEN 1 THEN 'ПРАЙС-ЛИСТ' WHEN 2 THEN 'ПАСПОРТ' WHEN 4 THEN 'СХЕМЫ НАСОСОВ' WHEN 6 THEN 'РУКОВОДСТВО' WHEN 7 THEN 'СЕРТИФИКАТ' END, CASE WHEN id % 4 < 2 THEN 'ТАБЛИЦА' END) AS doc_type, c IN (3, 6) AS archive FROM c""")
 def txt_12(t):
-    p = F.split("rel_path", "/")
-    kind = F.when(p[1].isin("en", "de"), "catalogue").when(F.contains(F.lower("rel_path"), F.lit("doc_1")), "price list")
-    return kb.library(t.documents).select("id", p[0].alias("section"), p[1].alias("brand"), kind.alias("doc_type"), F.contains("rel_path", F.lit("/fr/")).alias("archive"))
+    types = t.spark.createDataFrame(list(pm.FOLDER_TYPES.items()), "name string, doc_type string")
+    out = pm.path_meta(paths_of(t).where("rel_path IS NOT NULL"), "rel_path", types)
+    return out.select("id", "section", "brand", "doc_type", F.col("is_archive").alias("archive"))
 
 
 @query("txt_14", "SELECT doc_id, sha256(text) AS full_hash, sha256(substr(text, 1, 64) || substr(text, greatest(length(text) - 63, 1)) || length(text)) AS quick FROM documents WHERE text IS NOT NULL")

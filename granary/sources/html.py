@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators import prefixes
+
 DROPPED = ("script", "style", "nav", "footer", "header", "noscript")
 # fixed values: extensions by kind
 TABLES, ASSETS, ARCHIVES = ("xlsx", "xls", "csv", "tsv"), ("dwg", "dxf", "mp4", "avi", "png", "jpg", "mp3"), ("zip", "rar", "7z", "tar")
 ASSET_KINDS = {"drawing": ("dwg", "dxf"), "video": ("mp4", "avi", "mov"), "image": ("png", "jpg", "jpeg"), "audio": ("mp3", "wav")}
-BLOCKED = (("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("127.0.0.0", 8), ("169.254.0.0", 16), ("0.0.0.0", 8))
+# fixed values: networks that no crawl may reach
+BLOCKED = (
+    "127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "0.0.0.0/8", "100.64.0.0/10", "192.0.0.0/24", "198.18.0.0/15",
+    "::1/128", "fc00::/7", "fe80::/10",
+)
 
 
 def text_of(html: Column) -> Column:
@@ -53,15 +59,9 @@ def safe_ratio(unpacked: Column, packed: Column, most: int = 200) -> Column:
     return unpacked / packed <= most
 
 
-def blocked(ip: Column) -> Column:
-    """Whether a literal IPv4 address lies in a private or local range."""
-    part = F.split(ip, r"\.")
-    number = sum((F.get(part, F.lit(k)).cast("long") * (1 << (24 - 8 * k)) for k in range(1, 4)), F.get(part, F.lit(0)).cast("long") * (1 << 24))
-    tests = []
-    for base, bits in BLOCKED:
-        lo = sum(int(x) << (24 - 8 * k) for k, x in enumerate(base.split(".")))
-        tests.append(number.between(lo, lo + (1 << (32 - bits)) - 1))
-    out = tests[0]
-    for x in tests[1:]:
-        out = out | x
-    return out
+def blocked(rows: DataFrame, address: str, networks: DataFrame) -> DataFrame:
+    """``rows`` with ``blocked``: whether the literal address (v4 or v6) lies in one of ``networks`` (network); null if it is no address."""
+    bits, out = F.col("__bits"), rows.withColumn("__bits", prefixes.address_bits(F.col(address)))
+    nets = networks.select(prefixes.network_bits(F.col("network")).alias("prefix"))
+    found = prefixes.longest(out, "__bits", nets, "__net")
+    return found.withColumn("blocked", F.when(bits.isNotNull(), F.col("__net").isNotNull())).drop("__bits", "__net")

@@ -47,8 +47,9 @@ def sessions(events: DataFrame, gap: str = "15 minutes") -> DataFrame:
 
 
 def event_stream(spark: SparkSession, path: str, schema: StructType, late: str = "1 hour") -> DataFrame:
-    """The event files as a stream with event time ``at`` and a watermark of ``late``."""
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    """The event files (a file or a folder of them) as a stream with event time ``at`` and a watermark of ``late``."""
+    base, _, leaf = path.rpartition("/")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{base}/{leaf}*")
     return stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
 
 
@@ -57,9 +58,7 @@ def replayed_hourly(spark: SparkSession, path: str, schema: StructType) -> DataF
 
     Each batch writes the windows it changed to a table; of a window the latest counts.
     """
-    base, _, leaf = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{base}/{leaf}*")
-    timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
+    timed = event_stream(spark, path, schema)
     out = f"{folder(spark)}/granary-hourly-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:

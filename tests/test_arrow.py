@@ -1,7 +1,5 @@
 """Ordered functions on literal cases."""
 
-from pyspark.sql import functions as F
-
 from granary.functions import arrow as ar
 
 
@@ -12,13 +10,6 @@ def test_nearness():
     assert ar.nearness(["a", "b"], far + ["a"]) == 1
 
 
-def test_segments(spark):
-    one = spark.sql("SELECT array(named_struct('start', 0D, 'end', 40D), named_struct('start', 40D, 'end', 70D), named_struct('start', 80D, 'end', 90D)) AS s")
-    got = one.select(ar.grouped_segments(F.col("s"), 60.0).alias("g")).first()["g"]
-    assert [(g["first"], g["last"], g["n"]) for g in got] == [(0.0, 70.0, 2), (80.0, 90.0, 1)]
-    assert one.select(ar.grouped_segments(F.slice("s", 1, 0), 60.0).alias("g")).first()["g"] == []
-
-
 def test_decoded():
     assert ar.decoded("ё".encode()) == "ё" and ar.decoded("ё".encode("cp1251")) == "ё"
     assert ar.decoded(b"\xff\xfe\x98\x04") == "\u0498" and ar.decoded(b"") == ""

@@ -144,7 +144,7 @@ def test_decomposition(spark):
     assert all(out[i] == pytest.approx(want[i], abs=1e-5) for i in out)
 
 
-def test_word_pieces_against_the_library():
+def test_word_pieces_against_the_library(spark):
     from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
     letters = [chr(97 + k) for k in range(26)]
@@ -152,11 +152,16 @@ def test_word_pieces_against_the_library():
     lib = Tokenizer(models.WordPiece({x: k for k, x in enumerate(vocabulary)}, unk_token="[UNK]", max_input_chars_per_word=1000))
     lib.normalizer = normalizers.Lowercase()
     lib.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
-    own = sp.WordPieces(vocabulary)
-    for text in ("Pumping water, pumps.", "zebra pump", "", "  ", "water" * 40, "a1 b"):
-        assert own.encode(text, 1000) == [1, *lib.encode(text).ids, 2]
-    assert own.encode_pair("pump", "water", 12) == [1, own.ids["pump"], 2, own.ids["wa"], own.ids["##ter"], 2]
-    assert len(own.encode("a b c d e f", 5)) == 5
+    texts = ["Pumping water, pumps.", "zebra pump", "", "  ", "water" * 40, "a1 b"]
+    rows = spark.createDataFrame([(x,) for x in [*texts, None]], "text string").withColumn("ids", sp.pieces(F.col("text"), vocabulary))
+    got = {r["text"]: r for r in rows.select("text", sp.framed(F.col("ids"), vocabulary, 1000).alias("x"), sp.framed(F.col("ids"), vocabulary, 5).alias("short")).collect()}
+    assert got[None]["x"] is None
+    for text in texts:
+        assert got[text]["x"] == [1, *lib.encode(text).ids, 2]
+        assert len(got[text]["short"]) <= 5
+    two = spark.createDataFrame([("pump", "water")], "a string, b string").select(sp.pieces(F.col("a"), vocabulary).alias("a"), sp.pieces(F.col("b"), vocabulary).alias("b"))
+    at = {x: k for k, x in enumerate(vocabulary)}
+    assert two.select(sp.framed_pair(F.col("a"), F.col("b"), vocabulary, 12).alias("x")).first()["x"] == [1, at["pump"], 2, at["wa"], at["##ter"], 2]
 
 
 @pytest.mark.parametrize(
@@ -169,17 +174,24 @@ def test_word_pieces_against_the_library():
         ("WRP-A и 2ECO6-38", "дабл-ю ар пи тире эй и 2 и си оу 6 тире 38"),
         ("https://a.b/c тут", "ссылка тут"),
         ("", ""),
+        ("X1-PDF, 1С и 1С-5; 55/75 5м 1,2,3", "икс 1 -пэ-дэ-эф, один-эс и один-эс-5; 55/75 5 метров 1 запятая 2,3"),
+        ("АБВГД ABCDEFGH-AB é5 10 мм", "АБВГД ABCDEFGH- эй би é5 10 миллиметров"),
     ],
 )
-def test_speech(text, said):
-    assert sp.speech(text) == said
+def test_speech(spark, text, said):
+    assert spark.createDataFrame([(text,)], "t string").select(sp.said(F.col("t")).alias("s")).first()["s"] == said
 
 
-def test_context():
+def test_context(spark):
+    def places(texts, headers, budget):
+        row = spark.createDataFrame([(texts, headers)], "t array<string>, h array<string>")
+        return row.select(sp.context_places(F.col("t"), F.col("h"), budget).alias("x")).first()["x"]
+
     texts = ["one two three", "two", "four " * 100, "four " * 200, None, "five " * 30]
-    assert sp.context(texts, ["h"] * 6, 10_000) == [0, 2, 4, 5]
-    assert sp.context(["a" * 50, "b" * 60, "c"], ["h"] * 3, 60) == [0]
-    assert sp.context(["a" * 500], ["h"], 60) == [0]
+    assert places(texts, ["h"] * 6, 10_000) == [0, 2, 4, 5]
+    assert places(texts, ["h"] * 6, 530) == [0, 2, 4]
+    assert places(["long " * 50, "b"], ["h"] * 2, 10) == [0] and places([], [], 10) == []
+
 
 
 def turns(spark):

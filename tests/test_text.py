@@ -18,6 +18,11 @@ def test_canon(spark):
         assert "м3/ч" in one(spark, tx.canon(F.col("t")), t=given)
 
 
+def test_units_keep_the_full_stop_of_a_sentence(spark):
+    for given, want in (("40 л/мин. Насос", "40 л/мин. Насос"), ("40 л / мин Насос", "40 л/мин Насос"), ("5 кубометров в час", "5 м3/ч"), ("7 куб. м в час", "7 м3/ч"), ("2 м.куб/ч", "2 м3/ч"), ("3 кВт", "3 квт")):
+        assert one(spark, tx.canon(F.col("t")), t=given) == want
+
+
 def test_homoglyphs(spark):
     assert one(spark, tx.homoglyphs(F.col("t")), t="Город МOCКВА") == "Город МОСКВА"
     same = "Насос Grundfos SP-45 произведён в Дании, класс IP68"
