@@ -3,9 +3,9 @@
 A text is the vector of its byte n-grams (orders 1 to 3, hashed to ``DIMS``
 places), weighted ln(1 + tf) * idf and normalised.  Each language keeps several
 centroids, found by spherical k-means over a bounded sample of labelled texts:
-``SAMPLE`` texts in all, shared equally among the ``LABELS`` most frequent
-labels (ties by name; any other label is not learned) and chosen by the hash of
-their id.  A text takes the language of the centroid with the largest
+``SAMPLE`` texts in all, shared equally among the labels and chosen by the hash of
+their id.  Every label is learned, by ``LEAST`` of its texts at least (all, if it has fewer), so with more
+than ``SAMPLE / LEAST`` labels the sample and the model grow with the labels, not with the documents.  A text takes the language of the centroid with the largest
 cosine; it is rejected if that cosine lies below ``REJECT`` times the cosine
 that nearly all (``LOW``) of the centroid's language's own sample reach.
 
@@ -38,7 +38,8 @@ LOW = 0.01
 REJECT = 0.3
 SLICE_BYTES = 1 << 20
 SLICE_TEXTS = 128
-LABELS = 400
+LEAST = 4
+BROADCAST_ROWS = 1_000_000
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -108,7 +109,8 @@ def clusters(x: np.ndarray, k: int) -> np.ndarray:
 def train(labels: list[str], tf: np.ndarray) -> Model:
     """The model of labelled counts."""
     names = sorted(set(labels))
-    of = np.array([names.index(x) for x in labels], np.int64)
+    place = {x: k for k, x in enumerate(names)}
+    of = np.array([place[x] for x in labels], np.int64)
     n = max(len(labels), 1)
     model = Model(names, np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64), np.zeros(0))
     model.idf = (np.log((1 + n) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
@@ -126,16 +128,15 @@ def train(labels: list[str], tf: np.ndarray) -> Model:
 def fit(docs: DataFrame, taught: Column) -> Model:
     """The model of the rows for which ``taught`` holds."""
     rows = docs.where(taught & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()
-    if not sizes:
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    labels = sizes.count()
+    if not labels:
         return train([], np.zeros((0, DIMS), np.int64))
-    share = max(4, SAMPLE // len(sizes))
-    # twice the share by hash, then the share by rank
-    part = F.lit(0.0)
-    for lang, n in sizes:
-        part = F.when(F.col("lang") == lang, min(1.0, (2 * share + 20) / n)).otherwise(part)
+    share = max(LEAST, SAMPLE // labels)
+    # twice the share by hash, then the share by rank; a row a label is joined
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "doc_id"), 11) / float(1 << 53)
-    picked = rows.select("lang", "text", "doc_id", drawn.alias("draw")).where(F.col("draw") < part)
+    picked = rows.select("lang", "text", "doc_id", drawn.alias("draw")).join(F.broadcast(sizes) if labels <= BROADCAST_ROWS else sizes, "lang")
+    picked = picked.where(F.col("draw") < F.lit(2.0 * share + 20) / F.col("n"))
     order = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
     picked = picked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= share).select("lang", "text")
 
