@@ -41,13 +41,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import textbytes as tb
 from granary.llm.runs import runs
-from granary.llm.scratch import cut, shared_dir
+from granary.llm.scratch import cut, files
+from granary.llm.shared_files import opened
 
 LENGTH = 200
 K = 64
@@ -140,9 +140,9 @@ class ExternalColumns:
     kinds = {"order": np.int32, "prefixes": np.uint8}
 
     def __init__(self, folder: str) -> None:
-        self.fs, path = fs.FileSystem.from_uri(folder)
+        self.fs, path = opened(folder)
         self.folder, self.turn = f"{path}/bwt-{uuid.uuid4().hex}", 0
-        self.fs.create_dir(self.folder)
+        self.fs.create_dir(self.folder, recursive=True)
         self.transform = self.fs.open_output_stream(f"{self.folder}/transform")
 
     def _name(self, kind: str) -> str:
@@ -206,12 +206,12 @@ def repeats(data: np.ndarray, offsets: np.ndarray, anchors: np.ndarray, folder:
     right, left = sizes - anchors, -anchors
     by_end = np.argsort(-right, kind="stable").astype(np.int32)
     ends = -right[by_end]
-    files = ExternalColumns(folder)
+    columns = ExternalColumns(folder)
     try:
-        files.write(np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.uint8))
+        columns.write(np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.uint8))
         come = 0
         for j in range(int(right.max()) - 1, int(left.min()) - 1, -1):
-            order, common = files.read()
+            order, common = columns.read()
             until = int(np.searchsorted(ends, -j, side="left"))  # those that end right after column j
             if until > come:
                 order = np.concatenate([by_end[come:until], order])
@@ -229,13 +229,13 @@ def repeats(data: np.ndarray, offsets: np.ndarray, anchors: np.ndarray, folder:
             now = np.zeros(len(p), np.uint8)
             now[at] = np.minimum(_least(common, p[at - 1] + 1, p[at] + 1), LENGTH - 1) + 1
             order = order[p]
-            files.write(symbol, order, now)
+            columns.write(symbol, order, now)
             start = anchors[order] + j
             window = sizes[order] - start >= LENGTH
             shared = np.maximum(now, np.append(now[1:], np.uint8(0))) >= LENGTH
             out[(offsets[order] + start)[window]] = shared[window]
     finally:
-        files.close()
+        columns.close()
     return out
 
 
@@ -356,7 +356,7 @@ def _groups(parts: DataFrame, group: int) -> DataFrame | None:
 
 def _marked(records: DataFrame) -> DataFrame:
     """(key, ckey, mask) of records (key, ckey, n, place, bytes)."""
-    folder = shared_dir(records.sparkSession)
+    folder = files(records.sparkSession, "bwt")
     return (
         records.repartition("key").sortWithinPartitions("key")
         .transform(tb.bounded).mapInArrow(lambda batches: _transformed(batches, folder), "key long, ckey long, mask binary")

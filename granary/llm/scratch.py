@@ -51,8 +51,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files(spark: SparkSession, label: str) -> str:
+    """A path of the shared folder for tasks' own files; ``clear`` deletes it with what killed tasks left there."""
+    path = f"{shared_dir(spark)}/granary-{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def clear(spark: SparkSession) -> None:
-    """Delete every table that ``cut`` wrote; their readers are of no use afterwards."""
+    """Delete every table that ``cut`` wrote and the folders of ``files``; their readers are of no use afterwards."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
         _, path = _written.pop()
