@@ -242,8 +242,8 @@ def ret_14(t):
 
 
 @query("ret_15", f"""WITH {ROUTED}, op AS (SELECT id, route, confidence FROM ro WHERE stage = 'answered' AND route <> 'golden'), fi AS (SELECT pr.id, file AS source, min(n) AS spot FROM pr JOIN op USING (id) WHERE op.route = 'price' GROUP BY pr.id, file),
-al AS (SELECT id, 'price' AS kind, source, spot FROM fi UNION ALL SELECT hs.id, 'document', CAST(doc_id AS VARCHAR), rank FROM hs JOIN op USING (id) WHERE op.confidence >= 0.025::DOUBLE)
-SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY CASE kind WHEN 'price' THEN 0 ELSE 1 END, spot, source) AS INTEGER) AS n, kind, source FROM al""")
+ol AS (SELECT id, 'price' AS kind, source, spot FROM fi UNION ALL SELECT hs.id, 'document', CAST(doc_id AS VARCHAR), rank FROM hs JOIN op USING (id) WHERE op.confidence >= 0.025::DOUBLE)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY CASE kind WHEN 'price' THEN 0 ELSE 1 END, spot, source) AS INTEGER) AS n, kind, source FROM ol""")
 def ret_15(t):
     questions, golden, products, hits = routing_inputs(t)
     return ro.sources(ro.routed(questions, golden, products, hits, least=0.025), products, hits, least=0.025)
