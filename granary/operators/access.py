@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators import prefixes
+from granary.operators.folds import folded
 from granary.operators.tables import small
 
 
@@ -123,11 +124,46 @@ def limited(events: DataFrame, per_hour: int, per_day: int, total: int) -> DataF
     return counted.select("event_id", (F.col("h") & F.col("d") & (F.col("earlier") + F.col("within") < total)).alias("allowed"))
 
 
-def locked(failures: DataFrame, key: str, n: int, seconds: int) -> DataFrame:
-    """(event_id, locked): whether ``n`` failures of the key lie in the window before."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy(key).orderBy("us").rangeBetween(-(seconds * 1_000_000 - 1), -1)
-    return failures.withColumn("us", us).select("event_id", (F.count(F.lit(1)).over(w) >= n).alias("locked"))
+def locked(attempts: DataFrame, keys: list[str], n: int, seconds: int) -> DataFrame:
+    """(event_id, locked) of attempts (event_id, ts, failed, and ``keys``: account, address): whether any key is locked at the attempt.
+
+    A key is locked while ``n`` failures lie in the window before, of those since its last success.
+    """
+    rows = attempts.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    any_key = F.lit(False)
+    for key in keys:
+        before = Window.partitionBy(key).orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+        recent = F.count_if("failed").over(Window.partitionBy(key).orderBy("us").rangeBetween(-(seconds * 1_000_000 - 1), -1))
+        so_far = F.count_if("failed").over(before)
+        at_success = F.coalesce(F.max(F.when(~F.col("failed"), F.col(f"__{key}"))).over(before), F.lit(0))
+        upto = F.count_if("failed").over(Window.partitionBy(key).orderBy("us").rangeBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn(f"__{key}", upto)
+        # both are ends of the key's history, so what lies in both is the shorter one
+        rows = rows.withColumn(f"__n_{key}", F.least(recent, so_far - at_success))
+        any_key = any_key | (F.col(f"__n_{key}") >= n)
+    return rows.select("event_id", any_key.alias("locked"))
+
+
+class Calls:
+    """The calls of one number that were let through in the last hour."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.times = most, []
+
+    def take(self, us: int, id: int) -> list[tuple]:  # noqa: A002
+        self.times = [x for x in self.times if us - x < 3_600_000_000]
+        ok = len(self.times) < self.most
+        if ok:
+            self.times.append(us)
+        return [(id, ok)]
+
+    def close(self) -> list[tuple]:
+        return []
+
+
+def capped_calls(calls: DataFrame, most: int) -> DataFrame:
+    """(number, id, allowed) of calls (number, us, id): at most ``most`` of a number are let through in an hour; refused ones do not count."""
+    return folded(calls, "number", [F.col("us"), F.col("id")], ["us", "id"], lambda: Calls(most), "id long, allowed boolean")
 
 
 def phone(number: Column) -> Column:

@@ -128,3 +128,43 @@ def channel_shares(questions: DataFrame) -> DataFrame:
     return g.withColumn("share", F.round(share, 4)).withColumn(
         "verdict", F.when(share < 0.03, "useless").when(share < 0.15, "weak").otherwise("works")
     )
+
+
+# fixed values: categories of what is wrong with a library, in the words of its table
+UNTYPED, UNDATED, BAD_NAME, COPY, BRAND_TWINS, GAP = "без типа", "без даты", "плохое имя", "дубль", "бренды-двойники", "пробел покрытия"
+
+
+def problems(docs: DataFrame, mandatory: list[str], replaceable: list[str]) -> DataFrame:
+    """(category, path, detail): everything to mend in a library, in one table.
+
+    ``docs`` has rel_path, brand, doc_type, effective_date, content_hash, hint (of its type), mtime_hint and bad_word ("" if its name
+    is fine).  Documents without a type, ``replaceable`` ones without a date, bad
+    names, copies but the first by path, brands that differ only in case and
+    signs, and brands that lack a ``mandatory`` type.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    row = lambda df, category, path, detail: df.select(F.lit(category).alias("category"), path.alias("path"), detail.alias("detail"))
+    path = F.col("rel_path")
+    copies = docs.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("rel_path").alias("first")).where("n > 1")
+    others = docs.join(copies, "content_hash").where("rel_path <> first")
+    named = docs.where("brand IS NOT NULL")
+    plain = F.regexp_replace(F.lower("brand"), "[^0-9a-zа-я]", "")
+    twins = named.select("brand", plain.alias("plain")).distinct().groupBy("plain").agg(F.array_sort(F.collect_list("brand")).alias("names")).where(F.size("names") > 1)
+    lacking = F.array_except(F.array(*[F.lit(x) for x in mandatory]), F.collect_set("doc_type"))
+    gaps = named.groupBy("brand").agg(lacking.alias("missing")).where(F.size("missing") > 0)
+    out = row(docs.where("doc_type IS NULL"), UNTYPED, path, text("hint"))
+    for more in (
+        row(docs.where(F.col("effective_date").isNull() & F.col("doc_type").isin(*replaceable)), UNDATED, path, text("mtime_hint")),
+        row(docs.where("bad_word <> ''"), BAD_NAME, path, F.col("bad_word")),
+        row(others, COPY, path, F.concat(F.lit("копий: "), F.col("n").cast("string"))),
+        row(twins, BRAND_TWINS, F.array_join("names", " | "), F.lit("")),
+        row(gaps, GAP, F.col("brand"), F.array_join("missing", ", ")),
+    ):
+        out = out.unionByName(more)
+    return out
+
+
+def problem_lines(found: DataFrame) -> DataFrame:
+    """The table's lines: fields in quotation marks (doubled inside), joined by semicolons."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    return found.select(F.concat_ws(";", quoted("category"), quoted("path"), quoted("detail")).alias("line"))

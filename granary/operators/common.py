@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.tables import written
+
 
 def newest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by ``order``."""
@@ -14,31 +16,52 @@ def newest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return ranked.where("__r = 1").drop("__r")
 
 
-def at_ranks(df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], by: list[str], bins: int = 4096) -> DataFrame:
+#: values of a group that one task may put in order
+SORTED = 200_000
+#: ranks that the borders of a round stand for, and the accuracy that they are found with
+GRID, ACCURACY = 256, 20_000
+
+
+def at_ranks(df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], by: list[str], sorted_most: int = SORTED) -> DataFrame:
     """For each group the value at given places of its order: name -> place (from 0) as a function of the count.
 
-    Exact, and no group is sorted whole: counts of ``bins`` equal ranges between
-    the least and the largest value tell the range of each place; of that range
-    alone the different values are put in order.  Nulls do not count.
+    Exact.  Groups of at most ``sorted_most`` rows are sorted.  If any is larger,
+    borders of equal counts (approximate percentiles) enclose each place, however
+    the values lie; what is below the lower border is counted, and what lies between is enclosed anew, until few
+    enough different values are left to be sorted.  Nulls do not count.
     """
     rows = df.where(F.col(value).isNotNull()).select(*by, F.lit(0).alias("__all"), F.col(value).alias("__v"))
     keys = [*by, "__all"]
-    ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    where = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins)).otherwise(F.lit(0)).cast("long")
-    counted = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__m")).join(ends, keys).withColumn("__bin", where)
-    upto = lambda w: F.sum("__m").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ranges = counted.groupBy(*keys, "__bin").agg(F.sum("__m").alias("__m"), F.any_value("__n").alias("__n"))
-    ranges = ranges.withColumn("__before", F.coalesce(upto(Window.partitionBy(*keys).orderBy("__bin")), F.lit(0)))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    most = sizes.agg(F.coalesce(F.max("__n"), F.lit(0))).first()[0]
+    if most <= sorted_most:
+        held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("__v")).alias("__s"))
+        return held.select(*by, *[F.get("__s", f(F.size("__s").cast("long")).cast("int")).alias(k) for k, f in ranks.items()])
     places = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), f(F.col("__n")).cast("long").alias("at")) for k, f in ranks.items()])).alias("__p")
-    wanted = (
-        ranges.select(*keys, "__bin", "__m", "__before", places)
-        .where((F.col("__p.at") >= F.col("__before")) & (F.col("__p.at") < F.col("__before") + F.col("__m")))
-        .select(*keys, "__bin", F.col("__p.k").alias("__k"), (F.col("__p.at") - F.col("__before")).alias("__rest"))
-    )
-    inside = counted.select(*keys, "__bin", "__v", "__m").join(wanted, [*keys, "__bin"])
-    inside = inside.withColumn("__before", F.coalesce(upto(Window.partitionBy(*keys, "__k").orderBy("__v")), F.lit(0)))
-    picked = inside.where((F.col("__rest") >= F.col("__before")) & (F.col("__rest") < F.col("__before") + F.col("__m")))
-    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("__k") == k, F.col("__v"))).alias(k) for k in ranks]).drop("__all")
+    wanted = written(sizes.select(*keys, places).select(*keys, F.col("__p.k").alias("__k"), F.col("__p.at").alias("__at")))
+    inside = rows.join(wanted, keys)
+    group = [*keys, "__k", "__at"]
+    found = None
+    while True:
+        inside = written(inside)
+        left = inside.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        left = written(left)
+        few = (F.col("__n") <= sorted_most) | (F.col("__lo") == F.col("__hi"))
+        counted = inside.join(left.where(few).select(*group), group).groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__m"))
+        upto = F.coalesce(F.sum("__m").over(Window.partitionBy(*group).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        picked = counted.withColumn("__before", upto).where((F.col("__at") >= F.col("__before")) & (F.col("__at") < F.col("__before") + F.col("__m"))).select(*keys, "__k", "__v")
+        found = picked if found is None else found.unionByName(picked)
+        many = left.where(~few)
+        if many.isEmpty():
+            return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__k") == k, F.col("__v"))).alias(k) for k in ranks]).drop("__all")
+        borders = inside.join(many.select(*group), group).groupBy(*group).agg(F.percentile_approx("__v", [k / GRID for k in range(GRID + 1)], ACCURACY).alias("__b"))
+        spot = F.floor(F.col("__at") / F.col("__n") * GRID).cast("int")
+        ends = borders.join(many.select(*group, "__n"), group).select(
+            *group, F.get("__b", F.greatest(spot - 1, F.lit(0))).alias("__from"), F.get("__b", F.least(spot + 2, F.lit(GRID))).alias("__to")
+        )
+        near = inside.join(ends, group)
+        below = near.groupBy(*group).agg(F.count_if(F.col("__v") < F.col("__from")).alias("__below"))
+        inside = near.where(F.col("__v").between(F.col("__from"), F.col("__to"))).select(*group, "__v").join(below, group).select(*keys, "__k", (F.col("__at") - F.col("__below")).alias("__at"), "__v")
 
 
 def floor_quantiles(df: DataFrame, value: str, ps: list[float], by: list[str]) -> DataFrame:
@@ -72,3 +95,32 @@ def rrf(channels: list[DataFrame], keys: list[str], k: int = 60) -> DataFrame:
     for p in parts[1:]:
         both = both.unionByName(p)
     return both.groupBy(*keys).agg(F.sum("part").alias("score"))
+
+
+#: rows that a part of a common order should have
+PART_ROWS = 1_000_000
+
+
+def in_order(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows``, written, with ``part``: parts follow on each other in the order of ``columns``, and rows equal in these share one."""
+    rows = written(rows)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
+    return written(rows.repartitionByRange(parts, *columns).withColumn("part", F.spark_partition_id()))
+
+
+def running_sums(rows: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` of all rows of the group up to this one in ``order`` (which tells rows apart).
+
+    A group is not summed in one task: parts of the common order add up their own
+    rows, and what came before in the group is added from one sum a part.
+    """
+    dealt = in_order(rows, [*by, *order])
+    sums = dealt.groupBy(*by, "part").agg(F.sum(value).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("part").alias("__part"), before.alias("__before"))
+    own = F.sum(value).over(Window.partitionBy(*by, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("part") == F.col("__part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    out = dealt.withColumn("__own", own).join(offsets, same)
+    return out.select(*rows.columns, (F.col("__before") + F.coalesce("__own", F.lit(0))).alias(name))

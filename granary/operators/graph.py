@@ -94,3 +94,17 @@ def question_pairs(terms: DataFrame, least: float = 0.45) -> DataFrame:
     shared = found.join(mine, "u").join(theirs, ["v", "term"]).groupBy("u", "v", "tu").agg(F.sum("w").alias("shared"))
     sim = F.col("shared") / F.col("tu")
     return shared.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), sim.alias("sim")).where(F.col("sim") >= least)
+
+
+def cluster_summaries(clusters: DataFrame, questions: DataFrame, weights: DataFrame, stages: list[str], terms: int = 6) -> DataFrame:
+    """(cluster, size, top, a column for each stage, last_at) of clusters (id, cluster).
+
+    ``questions`` has (id, stage, at), ``weights`` (id, term, w).  ``top`` are the ``terms`` heaviest words of the cluster, ties by word.
+    """
+    own = clusters.join(weights, "id").groupBy("cluster", "term").agg(F.round(F.sum("w"), 6).alias("weight"))
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("weight"), "term"))
+    best = own.withColumn("r", place).where(F.col("r") <= terms).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("r", "term"))).alias("t"))
+    counts = clusters.join(questions, "id").groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("size"), *[F.count_if(F.col("stage") == s).alias(s) for s in stages], F.max("at").alias("last_at")
+    )
+    return counts.join(best, "cluster").select("cluster", "size", F.array_join(F.transform("t", lambda x: x["term"]), " ").alias("top"), *stages, "last_at")

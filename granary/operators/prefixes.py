@@ -13,12 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.common import in_order
 from granary.operators.tables import written
 
-#: rows that a part of the common order should have
-PART_ROWS = 1_000_000
-
-
 def _bytes(text: Column) -> Column:
     return F.encode(text, "UTF-8")
 
@@ -44,9 +41,7 @@ def last_before(keys: DataFrame, starts: DataFrame) -> DataFrame:
     """
     points = keys.select("key").where("key IS NOT NULL").distinct().select("key", F.lit(1).alias("kind"), F.lit(None).cast("struct<label:string>").alias("held"))
     marks = starts.select(F.col("start").alias("key"), F.lit(0).alias("kind"), F.struct("label").cast("struct<label:string>").alias("held"))
-    both = written(points.unionByName(marks))
-    parts = max(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // PART_ROWS))
-    both = written(both.repartitionByRange(parts, "key", "kind").withColumn("part", F.spark_partition_id()))
+    both = in_order(points.unionByName(marks), ["key", "kind"])
     # a row a part: what the parts before it end with
     last = both.where("kind = 0").groupBy("part").agg(F.max_by("held", "key").alias("held"))
     last = last.unionByName(both.select("part").distinct().withColumn("held", F.lit(None).cast("struct<label:string>"))).groupBy("part").agg(F.max("held").alias("held"))

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.text import ARTICLE, PRICE_QUESTION, articles
 from granary.operators.tables import written
 
-# fixed values: signs of a question for a price, articles with and without their mark, signatures of models, products and confidence of an answer
-PRICE_QUESTION = r"(?iU)\b(цен[аыуе]|стоимост|прайс|почём|почем|сколько стоит|ррц|скидк|прайс-лист)\b"
-ARTICLE = r"(?iU)\b(?:арт\.?|артикул|код)\s*[:№]?\s*([A-Za-zА-Яа-я0-9][\w\-./]{2,20})\b"
-BARE_ARTICLE = r"(?iU)\b((?!19\d\d\b|20\d\d\b)\d{4,8}(?:\.[A-ZА-Я0-9]{1,3})?)\b"
+# fixed values: products of an answer, the least confidence of documents
 PRODUCTS, CONFIDENCE = 8, 0.08
 
 
@@ -19,11 +17,6 @@ def asks_price(question: Column) -> Column:
     return question.rlike(PRICE_QUESTION) | question.rlike(ARTICLE)
 
 
-def articles(question: Column) -> Column:
-    """Articles in the order of the search: marked ones, then numbers that are no year; each once."""
-    return F.array_distinct(F.concat(F.regexp_extract_all(question, F.lit(ARTICLE), F.lit(1)), F.regexp_extract_all(question, F.lit(BARE_ARTICLE), F.lit(1))))
-
-
 def product_matches(questions: DataFrame, products: DataFrame, most: int = PRODUCTS) -> DataFrame:
     """(id, product, file, n): at most ``most`` products of each question (id, question) for a price, by its articles in order.
 

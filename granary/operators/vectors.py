@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,29 +82,37 @@ def alike(vectors: DataFrame, least: float, top: int | None = None, block: int =
     return found.withColumn("r", r).where(F.col("r") <= top).drop("r")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, top: int, block: int = BLOCK, group: str | None = None) -> DataFrame:
     """(query, vec_id, cosine, rank): exact search of stated queries (query, vector) against all vectors.
 
     Queries go a block at a time, which bounds the broadcast; every block is a
     pass over the vectors.  Each batch hands on its ``top`` best of a query.
+    Vectors of another length than most queries have are of another model and left out.  With ``group``, a column of the
+    vectors, a query sees only rows whose group is in its ``allowed`` array (null: all).
     """
-    rows = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding")
-    asked = queries.where("vector IS NOT NULL").select("query", "vector")
-    blocks = max(1, -(-asked.count() // block))
+    asked = queries.where("vector IS NOT NULL").withColumn("allowed", F.col("allowed") if group else F.lit(None).cast("array<string>")).select("query", "vector", F.col("allowed").cast("array<string>"))
+    count, size = asked.agg(F.count(F.lit(1)), F.mode(F.size("vector"))).first()
+    asked = asked.where(F.size("vector") == F.lit(size or 0))
+    own = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    rows = vectors.where(F.size("embedding") == F.lit(size or 0)).select("vec_id", "embedding", own.alias("group"))
+    blocks = max(1, -(-count // block))
     context = vectors.sparkSession.sparkContext
     found = None
     for k in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k).toArrow()
-        shared = context.broadcast((np.asarray(part.column("query").combine_chunks(), np.int64) if part.num_rows else np.zeros(0, np.int64), matrix(part.column("vector"))))
+        shared = context.broadcast((np.asarray(part.column("query").combine_chunks(), np.int64) if part.num_rows else np.zeros(0, np.int64), matrix(part.column("vector")), part.column("allowed").to_pylist()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query, q = shared.value
+            query, q, allowed = shared.value
+            hidden = [(k, pa.array(sorted({x for x in own if x is not None}), pa.string())) for k, own in enumerate(allowed) if own is not None]
             for batch in batches:
                 if not batch.num_rows or not len(query):
                     continue
                 ids = np.asarray(batch.column(0))
                 s = np.round(q @ matrix(batch.column(1)).T, DIGITS)
-                u, v = _best(s, ids, top, -np.inf)
+                for k, own in hidden:
+                    s[k, ~np.asarray(pc.is_in(batch.column(2), own).to_numpy(zero_copy_only=False), dtype=bool)] = -np.inf
+                u, v = _best(s, ids, top, -2.0)
                 yield pa.RecordBatch.from_arrays([pa.array(query[u]), pa.array(ids[v]), pa.array(s[u, v])], names=["query", "vec_id", "cosine"])
 
         best = rows.mapInArrow(run, "query long, vec_id long, cosine double")

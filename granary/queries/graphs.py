@@ -105,11 +105,13 @@ def cl_02(t):
     return gr.connected(pairs(t, 0.12).select("a", "b"))
 
 
-@query("cl_04", f"WITH {SIM.replace('qt AS', 'qt AS')}, r AS (SELECT id % 10 AS cluster, term, sum(w) AS weight, count(DISTINCT id) AS n, row_number() OVER (PARTITION BY id % 10 ORDER BY round(sum(w), 6) DESC, term) AS r FROM ow GROUP BY 1, 2) SELECT cluster, string_agg(term, ' ' ORDER BY r) AS top FROM r WHERE r <= 6 GROUP BY cluster")
+@query("cl_04", f"""WITH RECURSIVE {SIM}, ed AS (SELECT a, b FROM sm WHERE sim >= 0.12 UNION SELECT b, a FROM sm WHERE sim >= 0.12), rc AS (SELECT a AS node, a AS reach FROM ed UNION SELECT rc.node, ed.b FROM rc JOIN ed ON ed.a = rc.reach), cl AS (SELECT node AS id, min(reach) AS cluster FROM rc GROUP BY node),
+tw AS (SELECT cluster, term, round(sum(w), 6) AS weight FROM ow JOIN cl USING (id) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS r FROM tw), tp AS (SELECT cluster, string_agg(term, ' ' ORDER BY r) AS top FROM r WHERE r <= 6 GROUP BY cluster)
+SELECT cluster, count(*) AS size, top, count(*) FILTER (id % 3 = 0) AS nothing_found, count(*) FILTER (id % 3 = 1) AS low_confidence, count(*) FILTER (id % 3 = 2) AS disliked, max(id) AS last_at FROM cl JOIN tp USING (cluster) GROUP BY cluster, top""")
 def cl_04(t):
+    """Summaries of the clusters of CL-02; a question's stage goes by its id."""
     terms = t.benchmark.select(F.col("item_id").alias("id"), F.explode(tx.keywords(F.col("text"))).alias("term"))
-    n = t.benchmark.agg(F.countDistinct("item_id").alias("n"))
-    df = terms.groupBy("term").agg(N().alias("df")).join(F.broadcast(n)).select("term", (F.ln(F.col("n") / (1 + F.col("df"))) + 1).alias("w"))
-    by = terms.join(df, "term").groupBy((F.col("id") % 10).alias("cluster"), "term").agg(F.round(F.sum("w"), 6).alias("weight"))
-    r = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("weight"), "term"))
-    return by.withColumn("r", r).where("r <= 6").groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), " ").alias("top"))
+    labels = gr.connected(pairs(t, 0.12).select("a", "b")).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
+    stage = F.when(F.col("id") % 3 == 0, "nothing_found").when(F.col("id") % 3 == 1, "low_confidence").otherwise("disliked")
+    asked = t.benchmark.select(F.col("item_id").alias("id"), stage.alias("stage"), F.col("item_id").alias("at"))
+    return gr.cluster_summaries(labels, asked, gr.weighted_terms(terms), ["nothing_found", "low_confidence", "disliked"])

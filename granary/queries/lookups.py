@@ -156,9 +156,25 @@ def flt_16(t):
     return ac.limited(t.events, 1, 3, 200)
 
 
-@query("flt_17", """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 172799999999 PRECEDING AND 1 PRECEDING) >= 2 AS locked FROM events WHERE event_type = 'error'""")
+def _lock_sql(key: str) -> str:
+    """Failures of a key in two days before the attempt, and since its last success."""
+    return f"""f_{key} AS (SELECT event_id, (SELECT count(*) FROM a x WHERE x.{key} = a.{key} AND x.failed AND x.us < a.us AND x.us > a.us - 172800000000
+ AND x.us > coalesce((SELECT max(y.us) FROM a y WHERE y.{key} = a.{key} AND NOT y.failed AND y.us < a.us), 0)) AS n FROM a)"""
+
+
+@query("flt_17", f"""WITH a AS (SELECT event_id, user_id AS login, event_id % 23 AS addr, epoch_us(ts) AS us, event_type = 'error' AS failed FROM events WHERE event_type IN ('error', 'click')),
+{_lock_sql('login')}, {_lock_sql('addr')} SELECT event_id, f_login.n >= 3 OR f_addr.n >= 3 AS locked FROM f_login JOIN f_addr USING (event_id)""")
 def flt_17(t):
-    return ac.locked(t.events.where("event_type = 'error'"), "user_id", 2, 172_800)
+    tries = t.events.where("event_type IN ('error', 'click')")
+    return ac.locked(tries.select("event_id", "ts", F.col("user_id").alias("login"), (F.col("event_id") % 23).alias("addr"), (F.col("event_type") == "error").alias("failed")), ["login", "addr"], 3, 172_800)
+
+
+@query("flt_18_calls")
+def flt_18_calls(t):
+    """Calls of each user's number, two an hour at most."""
+    number = ac.phone(F.concat(F.lit("8912345"), F.lpad((F.col("user_id") % 10_000).cast("string"), 4, "0")))
+    calls = t.events.select(number.alias("number"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id"))
+    return ac.capped_calls(calls, 2)
 
 
 @query("flt_18", """WITH c AS (SELECT c_custkey, '8 (9' || lpad(CAST(c_custkey AS VARCHAR), 2, '0') || ') 123-45-6' || (c_custkey % 10) || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '7' END AS raw, c_nationkey FROM customer),
@@ -281,10 +297,11 @@ def jn_15(t):
     return pt.held(asked, "question", brands, any_case=True).groupBy(F.col("pattern").alias("brand")).agg(N().alias("n"))
 
 
-@query("jn_16", "SELECT p_partkey, array_to_string(list_sort(list_intersect(list_distinct(string_split(p_name, ' ')), ['red', 'small', 'ring'])), ',') AS known FROM part WHERE len(list_intersect(string_split(p_name, ' '), ['red', 'small', 'ring'])) > 0")
+@query("jn_16", "WITH b AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS brand FROM part WHERE p_size > 40 UNION SELECT lower(n_name) FROM nation), w AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS brand FROM part) SELECT p_partkey, string_agg(brand, ',' ORDER BY brand) AS known FROM w JOIN b USING (brand) GROUP BY p_partkey")
 def jn_16(t):
-    known = F.array_intersect(F.split("p_name", " "), F.array(F.lit("red"), F.lit("small"), F.lit("ring")))
-    return t.part.where(F.size(known) > 0).select("p_partkey", F.array_join(F.array_sort(known), ",").alias("known"))
+    brands = t.part.where("p_size > 40").select(F.split("p_name", " ")[1].alias("brand")).union(t.nation.select(F.lower("n_name"))).distinct()
+    words = t.part.select("p_partkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("brand"))
+    return words.join(brands, "brand").groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_list("brand")), ",").alias("known"))
 
 
 @query("jn_17", """WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN nullif(regexp_extract(text, '([A-Z][a-z]{5,})', 1), '') END AS entity FROM conversations),

@@ -83,6 +83,13 @@ def top_01(t):
     return vc.nearest(t.embeddings, asked(t), 10).select("query", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("top_01_masked", f"WITH {UNIT_SQL}, c AS (SELECT query, vec_id, round(list_cosine_similarity(v, qv), 6) AS cosine FROM e, eq WHERE query % 100 = 0 OR label IN (query % 10, 3, 7)), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM c) SELECT query, vec_id, rank FROM k WHERE rank <= 10")
+def top_01_masked(t):
+    """Each query sees the rows of its own groups only, some see all."""
+    allowed = F.when(F.col("query") % 100 != 0, F.array(F.col("query") % 10, F.lit(3), F.lit(7)))
+    return vc.nearest(t.embeddings, asked(t).withColumn("allowed", allowed), 10, group="label").select("query", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query("top_02", f"WITH {UNIT_SQL}, c AS (SELECT query, vec_id, round(list_cosine_similarity(v, qv), 6) AS cosine FROM e, eq WHERE label IN (1, 3)), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM c) SELECT query, vec_id, rank FROM k WHERE rank <= 5")
 def top_02(t):
     return vc.nearest(t.embeddings.where(F.col("label").isin(1, 3)), asked(t), 5).select("query", "vec_id", F.col("rank").cast("long").alias("rank"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from granary.operators import analytics as an
 from granary.plans import kb
 from granary.queries.registry import query
-from granary.sources import html
+from granary.sources import files, html
 
 D = kb.LIBRARY_SQL
 N = lambda: F.count(F.lit(1))
@@ -17,10 +18,16 @@ DROP_SQL = "|".join(f"<{x}[^>]*>.*?</{x}>" for x in TAGS)
 TEXT_SQL = rf"""array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?is){DROP_SQL}', ' ', 'g'), '(?s)<[^>]+>', E'\n', 'g'), '&nbsp;', ' ', 'g'), E'\n'), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: length(x) > 2), E'\n')"""
 
 
-@query("src_02", f"WITH {D} SELECT id, CASE WHEN text_chars < 60 THEN 'skip' WHEN id % 6 = 0 THEN 'table' WHEN id % 6 = 1 THEN 'asset' WHEN id % 6 = 2 THEN 'archive' ELSE 'text' END AS kind FROM d")
+NAMES = ["plan.xlsx", "draw.dwg", "pack.zip", "note.TXT", "scan.pdf", "~$open.docx", "._note.txt", "Thumbs.db", "page_files/x.html", "clip.mp4", "odd.xyz", "noext", "big.xls"]
+KINDS = ["table", "asset", "archive", "text", "text", "skip", "skip", "skip", "skip", "asset", "skip", "skip", "asset"]
+
+
+@query("src_02", f"WITH {D} SELECT id, {KINDS}[CAST(id % 13 AS INTEGER) + 1] AS kind FROM d")
 def src_02(t):
-    ext = F.element_at(F.array(*[F.lit(x) for x in ("xlsx", "dwg", "zip", "txt", "pdf", "docx")]), (F.col("id") % 6 + 1).cast("int"))
-    return kb.library(t.documents).select("id", html.kind_of(F.concat(F.lit("f."), ext), F.col("text_chars"), least=60).alias("kind"))
+    names = F.array(*[F.lit(x) for x in NAMES])
+    path = F.concat(F.lit("root/"), F.get(names, (F.col("id") % 13).cast("int")))
+    size = F.when(F.col("id") % 13 == 12, F.lit(21 << 20)).otherwise(F.col("text_chars"))
+    return kb.library(t.documents).select("id", files.kind_of(path, size).alias("kind"))
 
 
 @query("src_03", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'drawing' WHEN 1 THEN 'video' WHEN 2 THEN 'image' ELSE 'other' END AS kind FROM part")
@@ -75,9 +82,10 @@ def src_25(t):
     return html.blocked(rows, "address", nets).select("c_custkey", "blocked")
 
 
-@query("src_26", r"SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
+@query("src_26", r"SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n FROM pages WHERE page_id % 7 > 0 GROUP BY 1")
 def src_26(t):
-    return t.pages.groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).agg(N().alias("n"))
+    text = F.concat(F.lit("[InternetShortcut]\r\nIconIndex=0\r\n"), F.when(F.col("page_id") % 7 == 0, F.lit("BASEURL=")).otherwise(F.lit("url=")), "url", F.lit("\r\n"))
+    return html.shortcut_hosts(t.pages.select(text.alias("content")))
 
 
 @query("src_29", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'view') AND contains(props, '7') ORDER BY ts DESC, event_id DESC LIMIT 200")
@@ -91,9 +99,19 @@ def snk_03(t):
     return t.events.groupBy("event_type").agg(N().alias("n")).select(F.concat(F.lit('kb_calls_total{model="'), "event_type", F.lit('"} '), F.col("n").cast("string")).alias("line"))
 
 
-@query("snk_04", f"WITH {D} SELECT 'error' AS category, rel_path FROM d WHERE status = 'error' UNION ALL SELECT 'undated', rel_path FROM d WHERE effective_date IS NULL UNION ALL SELECT 'copy', rel_path FROM d WHERE content_hash IN (SELECT content_hash FROM d GROUP BY 1 HAVING count(*) > 1)")
+FOUND = f"""{D}, x AS (SELECT *, CASE WHEN id % 19 > 0 THEN doc_type END AS kind, CASE id % 3 WHEN 0 THEN upper(brand) WHEN 1 THEN brand ELSE brand || '-' END AS mark, regexp_extract(CASE WHEN id % 17 = 3 THEN 'scan of ' || id WHEN id % 17 = 5 THEN 'list (2)' ELSE 'ok' END, '(scan|copy|\\([0-9]+\\))', 1) AS bad FROM d),
+h AS (SELECT content_hash, count(*) AS n, min(rel_path) AS first FROM x GROUP BY 1), m AS (SELECT mark, [k FOR k IN ['price list', 'catalogue', 'passport'] IF NOT list_contains(coalesce(list(DISTINCT kind), []), k)] AS missing FROM x GROUP BY mark)"""
+
+
+@query("snk_04", f"""WITH {FOUND}, r AS (SELECT 'без типа' AS category, rel_path AS path, 'type ' || (id % 5) AS detail FROM x WHERE kind IS NULL UNION ALL SELECT 'без даты', rel_path, '' FROM x WHERE effective_date IS NULL AND kind IN ('price list', 'catalogue') UNION ALL SELECT 'плохое имя', rel_path, bad FROM x WHERE bad <> ''
+UNION ALL SELECT 'дубль', rel_path, 'копий: ' || n FROM x JOIN h USING (content_hash) WHERE n > 1 AND rel_path <> first UNION ALL SELECT 'бренды-двойники', string_agg(DISTINCT mark, ' | ' ORDER BY mark), '' FROM x WHERE mark IS NOT NULL GROUP BY regexp_replace(lower(mark), '[^0-9a-zа-я]', '', 'g') HAVING count(DISTINCT mark) > 1
+UNION ALL SELECT 'пробел покрытия', mark, array_to_string(missing, ', ') FROM m WHERE len(missing) > 0 AND mark IS NOT NULL) SELECT '"' || category || '";"' || replace(path, '"', '""') || '";"' || detail || '"' AS line FROM r""")
 def snk_04(t):
-    d = kb.library(t.documents)
-    twice = d.groupBy("content_hash").agg(N().alias("n")).where("n > 1").select("content_hash")
-    tag = lambda df, name: df.select(F.lit(name).alias("category"), "rel_path")
-    return tag(d.where("status = 'error'"), "error").unionByName(tag(d.where("effective_date IS NULL"), "undated")).unionByName(tag(d.join(twice, "content_hash", "left_semi"), "copy"))
+    k = F.col("id")
+    name = F.when(k % 17 == 3, F.concat(F.lit("scan of "), k.cast("string"))).when(k % 17 == 5, F.lit("list (2)")).otherwise("ok")
+    mark = F.when(k % 3 == 0, F.upper("brand")).when(k % 3 == 1, F.col("brand")).otherwise(F.concat("brand", F.lit("-")))
+    docs = kb.library(t.documents).select(
+        "rel_path", mark.alias("brand"), F.when(k % 19 > 0, F.col("doc_type")).alias("doc_type"), "effective_date", "content_hash",
+        F.concat(F.lit("type "), (k % 5).cast("string")).alias("hint"), F.lit("").alias("mtime_hint"), F.regexp_extract(name, r"(scan|copy|\([0-9]+\))", 1).alias("bad_word"),
+    )
+    return an.problem_lines(an.problems(docs, ["price list", "catalogue", "passport"], ["price list", "catalogue"]))

@@ -9,6 +9,7 @@ from granary.functions import chunks as ck
 from granary.functions import stem as st
 from granary.functions import text as tx
 from granary.operators import paths as pm
+from granary.operators.common import running_sums
 from granary.operators.tables import spread
 from granary.plans import kb
 from granary.queries.registry import query
@@ -202,10 +203,19 @@ def txt_22(t):
     return t.documents.where("text IS NOT NULL").select("doc_id", tx.quality(F.col("text")).alias("quality"))
 
 
-@query("txt_23", r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+[/x-][0-9]+'))), ',') AS signatures FROM documents WHERE text IS NOT NULL")
+SIGNED_SQL = r"""WITH s AS (SELECT doc_id, text || ' Pump 55/75 арт. AB-' || doc_id || ', код: ' || (1900 + doc_id) || ' and ' || (500000 + doc_id) || '.f, 0,5-40' AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\b[0-9]+(?:[.,][0-9]+)?(?:[/\-][0-9]+(?:[.,][0-9]+)?)+\b'))), '|') AS models,
+ array_to_string(list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(t, '(?i)код\s*[:№]?\s*([A-Za-zА-Яа-я0-9][\w./\-]{2,20})', 1), regexp_extract_all(t, '(?:арт\.) (AB-[0-9]+)', 1),
+ list_filter(regexp_extract_all(t, '(?i)\b[0-9]{4,8}(?:\.[A-ZА-Я0-9]{1,3})?\b'), lambda x: NOT regexp_matches(x, '^(19|20)[0-9][0-9](\.|$)'))), lambda x: lower(x)))), '|') AS articles FROM s"""
+
+
+@query("txt_23", SIGNED_SQL)
 def txt_23(t):
-    found = F.regexp_extract_all("text", F.lit("[0-9]+[/x-][0-9]+"), F.lit(0))
-    return t.documents.where("text IS NOT NULL").select("doc_id", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("signatures"))
+    """Signatures of models and articles of every text, with some of all kinds added."""
+    k = F.col("doc_id")
+    more = F.concat(F.col("text"), F.lit(" Pump 55/75 арт. AB-"), k.cast("string"), F.lit(", код: "), (1900 + k).cast("string"), F.lit(" and "), (500000 + k).cast("string"), F.lit(".f, 0,5-40"))
+    out = t.documents.where("text IS NOT NULL").select("doc_id", tx.signatures(more).alias("s"))
+    return out.select("doc_id", F.array_join("s.models", "|").alias("models"), F.array_join("s.articles", "|").alias("articles"))
 
 
 @query("txt_25", """SELECT doc_id, sha256(CASE WHEN length(text) <= 200 THEN text WHEN strpos(reverse(substr(text, 1, 200)), '.') > 0 AND 200 - strpos(reverse(substr(text, 1, 200)), '.') + 1 > 100
@@ -223,8 +233,8 @@ def txt_26(t):
 
 @query("txt_27_budget", "WITH r AS (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents) SELECT source, count(*) AS fits FROM r WHERE used <= 12000 GROUP BY source")
 def txt_27_budget(t):
-    used = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id"))
-    return t.documents.select("source", "doc_id", used.alias("used")).where("used <= 12000").groupBy("source").agg(N().alias("fits"))
+    used = running_sums(t.documents.select("source", "doc_id", "n_chars"), ["source"], ["doc_id"], "n_chars", "used")
+    return used.where("used <= 12000").groupBy("source").agg(N().alias("fits"))
 
 
 @query("txt_28", r"SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_retailprice WHEN 1 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS price FROM part")

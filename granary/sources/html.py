@@ -9,7 +9,6 @@ from granary.operators import prefixes
 
 DROPPED = ("script", "style", "nav", "footer", "header", "noscript")
 # fixed values: extensions by kind
-TABLES, ASSETS, ARCHIVES = ("xlsx", "xls", "csv", "tsv"), ("dwg", "dxf", "mp4", "avi", "png", "jpg", "mp3"), ("zip", "rar", "7z", "tar")
 ASSET_KINDS = {"drawing": ("dwg", "dxf"), "video": ("mp4", "avi", "mov"), "image": ("png", "jpg", "jpeg"), "audio": ("mp3", "wav")}
 # fixed values: networks that no crawl may reach
 BLOCKED = (
@@ -41,12 +40,6 @@ def links(pages: DataFrame) -> DataFrame:
     return found.select("page_id", bare.alias("link"), (host(whole) == host(F.col("url"))).alias("same_host"), F.lower(bare).rlike(r"\.pdf$").alias("is_pdf")).distinct()
 
 
-def kind_of(name: Column, size: Column, least: int) -> Column:
-    """skip, table, asset, archive or text, by size and extension."""
-    ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
-    return F.when(size < least, "skip").when(ext.isin(*TABLES), "table").when(ext.isin(*ASSETS), "asset").when(ext.isin(*ARCHIVES), "archive").otherwise("text")
-
-
 def asset_kind(ext: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, exts in ASSET_KINDS.items():
@@ -65,3 +58,10 @@ def blocked(rows: DataFrame, address: str, networks: DataFrame) -> DataFrame:
     nets = networks.select(prefixes.network_bits(F.col("network")).alias("prefix"))
     found = prefixes.longest(out, "__bits", nets, "__net")
     return found.withColumn("blocked", F.when(bits.isNotNull(), F.col("__net").isNotNull())).drop("__bits", "__net")
+
+
+def shortcut_hosts(files: DataFrame) -> DataFrame:
+    """(host, n): how many shortcuts (content: text of .url files) lead to each host; what names none does not count."""
+    url = F.regexp_extract("content", r"(?im)^URL=\s*(\S+)", 1)
+    host = F.lower(F.regexp_extract(url, r"^https?://(?:[^/@]*@)?([^/:?#]+)", 1))
+    return files.select(host.alias("host")).where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from granary.operators.tables import written
+
 # fixed values: signatures of models, words that say nothing, words for properties, minutes that a memory lasts
 SIGNATURE = r"(?iU)\b[0-9]+(?:[.,][0-9]+)?(?:[/\-][0-9]+(?:[.,][0-9]+)?)+\b|\b[0-9]{4,8}(?:\.[A-ZА-Я0-9]{1,3})?\b|\b[A-Za-z]+[0-9]+[\w\-]*\b"
 FILLER = (
@@ -89,14 +91,18 @@ def alerts(reports: DataFrame, checks: DataFrame, again_hours: int = 12) -> Data
     alert is open while every check reports it; the first check without it resolves it.
     Notices go out at the opening and then every ``again_hours``.
     """
-    order = Window.orderBy("at")  # one row a check: a schedule, not data
-    numbered = checks.select("at").distinct().withColumn("n", F.row_number().over(order))
+    # checks get their numbers by days: those of the days before, and the place in the day
+    times = written(checks.select("at").where("at IS NOT NULL").distinct().withColumn("day", F.to_date("at")))
+    days = times.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a day
+    place = F.row_number().over(Window.partitionBy("day").orderBy("at"))
+    numbered = written(times.withColumn("place", place).join(days.select("day", earlier.alias("earlier")), "day").select("at", (F.col("earlier") + F.col("place")).alias("n")))
     following = numbered.select((F.col("n") - 1).alias("last"), F.col("at").alias("resolved"))
     by_code = Window.partitionBy("code").orderBy("n")
-    seen = reports.select("code", "at").distinct().join(F.broadcast(numbered), "at").withColumn("run", F.col("n") - F.row_number().over(by_code))
+    seen = reports.select("code", "at").distinct().join(numbered, "at").withColumn("run", F.col("n") - F.row_number().over(by_code))
     runs = seen.groupBy("code", "run").agg(F.min("at").alias("opened"), F.max("at").alias("last_seen"), F.max("n").alias("last"))
     notices = F.floor((F.unix_micros("last_seen") - F.unix_micros("opened")) / (again_hours * 3_600_000_000)) + 1
-    return runs.join(F.broadcast(following), "last", "left").select("code", "opened", "last_seen", notices.cast("long").alias("notices"), "resolved")
+    return runs.join(following, "last", "left").select("code", "opened", "last_seen", notices.cast("long").alias("notices"), "resolved")
 
 
 def watch(spark: SparkSession, folder: str, handle: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None):

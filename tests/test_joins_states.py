@@ -350,3 +350,24 @@ def test_silences(spark, requests):
     assert rows(vigil.silences(df, 90_000_000, F.lit(as_of))) == sorted(want, key=repr)
     made = vigil.silences_stream(stream_of(spark, folder).select("key", "at"), 90_000_000)
     assert rows(vigil.replayed(spark, made, ["key", "since"], ["back"])) == sorted(want, key=repr)
+
+
+def test_call_cap(spark):
+    rng = random.Random(9)
+    data = [(rng.choice(["1", "2"]), rng.randrange(0, 12) * 600_000_000, k) for k in range(120)]
+    want, times = [], {}
+    for number, us, k in sorted(data):
+        own = [x for x in times.get(number, []) if us - x < 3_600_000_000]
+        ok = len(own) < 3
+        times[number] = own + [us] * ok
+        want.append((number, k, ok))
+    df = spark.createDataFrame(data, "number string, us long, id long")
+    assert rows(access.capped_calls(df, 3)) == sorted(want, key=repr)
+
+
+def test_lockout(spark):
+    """Failures count by account and by address, within the window, since the last success."""
+    data = [(k, k * 10, login, addr, failed) for k, (login, addr, failed) in enumerate([("a", 1, True), ("a", 2, True), ("a", 3, True), ("a", 3, False), ("a", 3, True), ("b", 3, True), ("c", 3, True), ("d", 3, False), ("e", 3, True)])]
+    df = spark.createDataFrame(data, "event_id long, s long, login string, addr long, failed boolean").withColumn("ts", F.timestamp_seconds("s"))
+    assert rows(access.locked(df, ["login", "addr"], 3, 1000), "event_id", "locked") == [(k, k in (3, 7)) for k in range(9)]
+    assert not any(r[1] for r in rows(access.locked(df, ["login", "addr"], 3, 25), "event_id", "locked"))

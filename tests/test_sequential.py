@@ -12,7 +12,7 @@ from granary.operators import clusters as cl
 from granary.operators import graph as gr
 from granary.operators import latent
 from granary.operators import vectors as vc
-from granary.operators.common import at_ranks
+from granary.operators.common import at_ranks, running_sums
 from granary.sources import web
 from granary.streaming import dialog
 
@@ -118,17 +118,29 @@ def test_vectors_in_blocks(spark):
 
 def test_values_at_ranks(spark):
     rng = random.Random(1)
-    rows = [(g, float(rng.randint(0, 30) if g else rng.random())) for g in (0, 1) for _ in range(301)] + [(2, 5.0), (3, None)]
+    rows = [(g, float(rng.randint(0, 30) if g else rng.random())) for g in (0, 1) for _ in range(301)] + [(2, 5.0), (3, None), (0, 1e300), (4, 1e18)]
+    rows += [(4, rng.random()) for _ in range(3000)]  # one value far from all others
     df = spark.createDataFrame(rows, "g int, v double")
     ranks = {"lo": lambda n: F.lit(0), "mid": lambda n: F.floor(n / 2), "hi": lambda n: n - 1}
-    for bins in (4096, 3):
-        got = {r["g"]: (r["lo"], r["mid"], r["hi"]) for r in at_ranks(df, "v", ranks, ["g"], bins).collect()}
-        for g in (0, 1, 2):
+    for most in (200_000, 40):
+        got = {r["g"]: (r["lo"], r["mid"], r["hi"]) for r in at_ranks(df, "v", ranks, ["g"], most).collect()}
+        for g in (0, 1, 2, 4):
             own = sorted(v for k, v in rows if k == g)
             assert got[g] == (own[0], own[len(own) // 2], own[-1])
         assert 3 not in got
 
 
+def test_running_sums(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), k, rng.choice([None, 1, 5])) for k in range(300)]
+    want, sums = [], {}
+    for g, k, v in rows:
+        sums[g] = sums.get(g, 0) + (v or 0)
+        want.append((g, k, v, sums[g]))
+    df = spark.createDataFrame(rows, "g string, k long, v long").repartition(5)
+    assert sorted(map(tuple, running_sums(df, ["g"], ["k"], "v", "used").collect()), key=lambda x: x[1]) == want
+
+
 def test_decomposition(spark):
     rng = np.random.default_rng(5)
     a = rng.random((30, 12)) * (rng.random((30, 12)) < 0.6)
