@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from granary.functions import chunks as ck
 from granary.functions import stem as st
 from granary.functions import text as tx
+from granary.operators import chunks as ck
 from granary.operators import paths as pm
 from granary.operators.common import running_sums
 from granary.operators.tables import spread
@@ -45,13 +45,13 @@ def txt_03(t):
 
 def chunked(t):
     """Chunks of every document, each text one page."""
-    return spread(t.documents).select("doc_id", F.explode(ck.document_chunks(F.array("text"))).alias("c")).select("doc_id", "c.*")
+    return ck.document_chunks(spread(t.documents).select("doc_id", F.array("text").alias("pages")), "doc_id", "pages")
 
 
 @query("txt_04")
 def txt_04(t):
-    found = t.pages.select("page_id", F.posexplode(ck.page_blocks(html.text_of(F.col("html")))).alias("n", "b"))
-    return found.select("page_id", "n", "b.heading", F.sha2("b.body", 256).alias("body_sha256"), "b.is_table")
+    pages = t.pages.select("page_id", F.lit(1).alias("page"), tx.chunk_text(html.text_of(F.col("html"))).alias("text"))
+    return ck.page_blocks(pages, "page_id").select("page_id", "n", "heading", F.sha2("body", 256).alias("body_sha256"), "is_table")
 
 
 @query("txt_05")
@@ -60,7 +60,7 @@ def txt_05(t):
     row = F.concat_ws(" | ", "p_name", F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"))
     rows = t.part.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))).alias("r"))
     page = F.concat(F.lit("Name | Size | Price\n"), F.array_join(F.transform("r", lambda x: x["row"]), "\n"))
-    return rows.select("p_brand", F.explode(ck.document_chunks(F.array(page))).alias("c")).select("p_brand", "c.ord", "c.text")
+    return ck.document_chunks(rows.select("p_brand", F.array(page).alias("pages")), "p_brand", "pages").select("p_brand", "ord", "text")
 
 
 @query("txt_06")

@@ -1,9 +1,6 @@
-"""Cutting documents into chunks by headings, tables, model cards and paragraphs.
+"""The plain version of the chunker, line by line.
 
-A document is an array of pages.  The chain of headings runs on from page to
-page, so the fold is sequential in a document and runs in Arrow batches, a
-document at a time.  Null and empty pages give nothing; a document without any
-chunk is packed whole.
+Null and empty pages give nothing; a document without any chunk is packed whole.
 """
 
 from __future__ import annotations
@@ -12,20 +9,11 @@ import re
 from collections.abc import Iterator
 from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from granary.functions import text as tx
-
 # fixed values: sizes in characters, patterns of headings, table rows and model cards
 TARGET, OVERLAP, LEAST, LEAST_TITLED, LEAST_PAGE, DEPTH = 1400, 200, 120, 30, 20, 3
 HEADING = re.compile("|".join((r"#{1,6}\s+.+", r"\d+(?:\.\d+)*\.?\s+[А-ЯЁA-Z][^\n]{2,80}", r"[А-ЯЁA-Z][А-ЯЁA-Z0-9 \-«»\"'()/,.]{4,80}")))
 ROW = re.compile(r"[^|\n]{0,80}(?:\|[^|\n]{0,80})+")
 CARD = re.compile(r"[A-ZА-ЯЁ][\w\-«».]{0,30}\s?\d+(?:[.,]\d+)?(?:[/\-x×]\d+(?:[.,]\d+)?)+")
-BLOCK = T.StructType().add("heading", T.StringType()).add("body", T.StringType()).add("is_table", T.BooleanType())
-CHUNK = T.StructType().add("ord", T.IntegerType()).add("heading", T.StringType()).add("text", T.StringType()).add("page", T.IntegerType())
 
 Block = tuple[str | None, str, bool]
 
@@ -141,24 +129,3 @@ def chunks(pages: list[str | None]) -> list[dict]:
     if not out:
         add(None, packed("\n\n".join(p or "" for p in pages).strip()), LEAST, None)
     return out
-
-
-@F.pandas_udf(T.ArrayType(BLOCK))
-def _blocks(pages: pd.Series) -> pd.Series:
-    keys = ("heading", "body", "is_table")
-    return pages.map(lambda x: None if x is None else [dict(zip(keys, b)) for b in blocks(x, [])[0]])
-
-
-@F.pandas_udf(T.ArrayType(CHUNK))
-def _chunks(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda x: [] if x is None else chunks(list(x)))
-
-
-def page_blocks(page: Column) -> Column:
-    """array<heading, body, is_table> of one page."""
-    return _blocks(tx.chunk_text(page))
-
-
-def document_chunks(pages: Column) -> Column:
-    """array<ord, heading, text, page> of a document's array of pages."""
-    return _chunks(F.transform(pages, tx.chunk_text))

@@ -1,10 +1,14 @@
 """Stems and chunks on literal cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from granary.functions import chunks as ck
 from granary.functions import stem as st
+from granary.functions import text as tx
+from granary.operators import chunks as nc
+from tests import plain_chunks as ck
 
 GROUPS = """скважина скважины скважине скважинный скважинного скважинных
 насос насоса насосу насосом насосы насосов насосами
@@ -85,7 +89,52 @@ def test_pieces_of_paragraphs():
     assert len(got) == 5 and got[1].startswith(got[0][-ck.OVERLAP :].strip())
 
 
+def native(spark, docs):
+    """Chunks by the operator: key -> list of (heading, text, page)."""
+    df = spark.createDataFrame(list(enumerate(docs)), "k long, pages array<string>").repartition(3)
+    out = {}
+    for r in sorted(nc.document_chunks(df, "k", "pages").collect(), key=lambda r: (r["k"], r["ord"])):
+        own = out.setdefault(r["k"], [])
+        assert r["ord"] == len(own)
+        own.append((r["heading"], r["text"], r["page"]))
+    return out
+
+
+def canonical(spark, docs):
+    df = spark.createDataFrame(list(enumerate(docs)), "k long, pages array<string>")
+    return [r[1] for r in sorted(df.select("k", F.transform("pages", tx.chunk_text)).collect())]
+
+
+def test_the_operator_equals_the_plain_version(spark):
+    rng = random.Random(4)
+    words = "насос вода скважина pump water напор 55/75 кабель".split()
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    kinds = [
+        lambda: "# " + say(2), lambda: f"{rng.randint(1, 9)}.{rng.randint(1, 9)} Раздел " + say(2), lambda: "ЗАГОЛОВОК " + rng.choice("АБВ"), lambda: say(rng.randint(1, 40)) + ".",
+        lambda: "", lambda: "  ", lambda: say(2) + " | " + say(1), lambda: "Водомет 55/75 " + say(12), lambda: say(500), lambda: "a | b | " + say(3), lambda: "|", lambda: "#", lambda: "КАТАЛОГ.",
+    ]
+
+    def page():
+        out = []
+        for _ in range(rng.choice([0, 1, 3, 12, 30])):
+            out += [rng.choice(kinds)()] * 1 if rng.random() < 0.8 else [kinds[6]() for _ in range(rng.choice([2, 60]))]
+        return "\n".join(out)
+
+    docs = [[rng.choice([None, page(), page(), page()]) for _ in range(rng.choice([0, 1, 2, 4]))] for _ in range(120)]
+    docs += [["ДЖИЛЕКС ВОДОМЕТ 55/75\nНАПОР МАКС 75 М\nПОДАЧА 3.6 М3/Ч", "текст страницы, достаточно длинный для того чтобы остаться"], ["x" * 9000], ["короткий", None], [("строка " * 60 + "\n") * 12]]
+    got = native(spark, docs)
+    for k, pages in enumerate(canonical(spark, docs)):
+        want = [(c["heading"], c["text"], c["page"]) for c in ck.chunks(pages)]
+        assert got.get(k, []) == want, docs[k]
+
+
+def test_the_given_texts(spark):
+    docs = [[r["text"]] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    got = native(spark, docs)
+    for k, pages in enumerate(canonical(spark, docs)):
+        assert got.get(k, []) == [(c["heading"], c["text"], c["page"]) for c in ck.chunks(pages)]
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "short"])
 def test_pages_without_text(spark, page):
-    df = spark.createDataFrame([([page],)], "p array<string>")
-    assert df.select(ck.document_chunks(F.col("p")).alias("c")).first()["c"] == []
+    assert native(spark, [[page]]) == {}
