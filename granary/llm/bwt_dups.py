@@ -53,7 +53,7 @@ LENGTH = 200
 K = 64
 W = LENGTH - K + 1
 PART = 1 << 20
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 GROUP = 20_000
 BROADCAST_ROWS = 1_000_000
 POSITION = np.uint64((1 << 24) - 1)
