@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as tx
+from granary.operators.tables import written
 
 # fixed values: sizes in characters, patterns of headings, table rows and model cards
 TARGET, OVERLAP, LEAST, LEAST_TITLED, LEAST_PAGE, DEPTH = 1400, 200, 120, 30, 20, 3
@@ -27,8 +28,17 @@ CARD = r"(?U)\A[A-ZА-ЯЁ][\w\-«».]{0,30}\s?\d+(?:[.,]\d+)?(?:[/\-x×]\d+(?:[
 _BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
+#: all white space
+_WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(text, F.lit(_WHITE))
+
+
+def _with(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _filled(parts: Column) -> Column:
@@ -36,28 +46,34 @@ def _filled(parts: Column) -> Column:
 
 
 def is_heading(line: Column) -> Column:
-    own = _stripped(line)
-    sentence = F.right(own, F.lit(1)).isin(".", ",", ";") & (F.left(own, F.lit(1)) != "#")
-    return F.length(own).between(4, 99) & ~sentence & own.rlike(HEADING)
+    def told(own: Column) -> Column:
+        sentence = F.right(own, F.lit(1)).isin(".", ",", ";") & (F.left(own, F.lit(1)) != "#")
+        return F.length(own).between(4, 99) & ~sentence & own.rlike(HEADING)
+
+    return _with(_stripped(line), told)
 
 
 def packed_table(body: Column, target: int = TARGET) -> Column:
     """Whole rows up to ``target`` characters, the first row above each piece."""
-    rows = F.filter(F.split(body, "\n"), lambda x: _stripped(x) != "")
-    head = F.coalesce(F.get(rows, F.lit(0)), F.lit(""))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("piece"), F.lit(0).alias("size"))
 
-    def step(held: Column, row: Column) -> Column:
-        full = (held["piece"] != "") & (F.length(head) + held["size"] + F.length(row) + 1 > target)
-        more = F.concat(F.lit("\n"), row)
-        return F.struct(
-            F.when(full, F.concat(held["out"], F.array(F.concat(head, held["piece"])))).otherwise(held["out"]).alias("out"),
-            F.when(full, more).otherwise(F.concat(held["piece"], more)).alias("piece"),
-            (F.when(full, 0).otherwise(held["size"]) + F.length(row) + 1).alias("size"),
-        )
+    def pieces(table: Column) -> Column:
+        head = table["head"]
+
+        def step(held: Column, row: Column) -> Column:
+            full = (held["piece"] != "") & (F.length(head) + held["size"] + F.length(row) + 1 > target)
+            more = F.concat(F.lit("\n"), row)
+            return F.struct(
+                F.when(full, F.concat(held["out"], F.array(F.concat(head, held["piece"])))).otherwise(held["out"]).alias("out"),
+                F.when(full, more).otherwise(F.concat(held["piece"], more)).alias("piece"),
+                (F.when(full, 0).otherwise(held["size"]) + F.length(row) + 1).alias("size"),
+            )
 
-    last = lambda held: F.when(head != "", F.concat(held["out"], F.array(F.concat(head, held["piece"])))).otherwise(held["out"])
-    return F.aggregate(F.slice(rows, 2, 1 << 30), start, step, last)
+        last = lambda held: F.when(head != "", F.concat(held["out"], F.array(F.concat(head, held["piece"])))).otherwise(held["out"])
+        return F.aggregate(table["rows"], start, step, last)
+
+    rows = F.filter(F.split(body, "\n"), lambda x: _stripped(x) != "")
+    return _with(rows, lambda r: _with(F.struct(F.coalesce(F.get(r, F.lit(0)), F.lit("")).alias("head"), F.slice(r, 2, 1 << 30).alias("rows")), pieces))
 
 
 def _steps(part: Column, target: int, overlap: int) -> Column:
@@ -102,7 +118,8 @@ def page_blocks(pages: DataFrame, key: str) -> DataFrame:
     or the next model card, over tables between them.  A page of nothing but headings is one block.
     Blocks are numbered from 0 in the order in which they end (tables: begin).
     """
-    lines = pages.select(key, "page", F.posexplode(F.split("text", _BREAK)).alias("i", "line"))
+    # dealt by document once, whole texts: every window below finds its rows together
+    lines = pages.repartition(key).select(key, "page", F.posexplode(F.split("text", _BREAK)).alias("i", "line"))
     page = Window.partitionBy(key, "page").orderBy("i")
     doc = Window.partitionBy(key).orderBy("page", "i")
     ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
@@ -135,6 +152,7 @@ def page_blocks(pages: DataFrame, key: str) -> DataFrame:
     x = x.withColumn("title", title(F.last("set", ignorenulls=True).over(doc)))
     x = x.withColumn("before", title(F.last("set", ignorenulls=True).over(ahead(doc))))
     x = x.withColumn("begin", F.first("before").over(Window.partitionBy(key, "page").orderBy("i")))
+    x = written(x.select(key, "page", "i", "line", "run", "block", "table", "plain", "ends", "only", "filled", "title", "begin"))
     text = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda s: s["line"]), "\n")
     tables = x.where("table").groupBy(key, "page", "run").agg(F.min("i").alias("at"), F.first("title").alias("heading"), text().alias("body"))
     # a plain block ends where the next begins
@@ -158,7 +176,7 @@ def document_chunks(docs: DataFrame, key: str, pages: str) -> DataFrame:
     pieces = F.posexplode(F.when(F.col("is_table"), packed_table(F.col("body"))).otherwise(packed(F.col("body"))))
     found = blocks.select(key, "page", "n", "heading", pieces.alias("piece", "text"))
     least = F.when(F.col("heading").isNotNull(), LEAST_TITLED).otherwise(LEAST)
-    found = found.where(F.length("text") >= least)
+    found = written(found.where(F.length("text") >= least))
     whole = docs.join(found.select(key).distinct(), key, "left_anti")
     body = _stripped(F.array_join(F.transform(F.transform(pages, tx.chunk_text), lambda p: F.coalesce(p, F.lit(""))), "\n\n"))
     rest = whole.select(key, F.posexplode(packed(body)).alias("piece", "text")).where(F.length("text") >= LEAST)
