@@ -11,41 +11,46 @@ from granary.operators.tables import BROADCAST_ROWS, spread, written
 
 K1, B = 1.2, 0.75
 LEAST_PREFIX = 4
+#: terms that a plan may list
+LISTED = 20_000
 
 
 def postings(docs: DataFrame, fields: dict[str, float], terms: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, term, is_prefix, tf, size) of the wanted ``terms``, written once: frequencies weighted by field, all tokens of the row.
 
-    Tokens nobody asks for go before the shuffle; a token stands for itself and
-    for the wanted prefixes that it begins with, which are looked for only if its
-    first letters are those of one.  Every row also has a posting of the empty
+    Tokens nobody asks for go while a text is taken apart (up to ``LISTED`` terms, else before the shuffle).  A token stands for
+    itself and for the wanted prefixes that it begins with, which are looked for
+    among those of the same first letters; equal tokens of a row are counted before that.  Every row also has a posting of the empty
     term, so that its size is known whatever it holds.
     """
-    spark = docs.sparkSession
-    words = [_words(f) for f in fields]
-    size = sum((F.size(w) for w in words[1:]), F.size(words[0]))
-    parts = [F.struct(F.array(F.lit("")).alias("words"), F.lit(0.0).alias("weight"))]
-    parts += [F.struct(w.alias("words"), F.lit(float(x)).alias("weight")) for w, x in zip(words, fields.values())]
-    asked = written(terms.select("term", "is_prefix").union(spark.createDataFrame([("", False)], "term string, is_prefix boolean")).distinct())
-    # one row: the number of terms, and the lengths of prefixes, as many as there are lengths of words
-    n, lengths = asked.agg(F.count(F.lit(1)), F.sort_array(F.collect_set(F.when(F.col("is_prefix"), F.length("term"))))).first()
+    asked = written(terms.select("term", "is_prefix").where("term <> ''").distinct())
+    n = asked.count()
     side = F.broadcast if n <= BROADCAST_ROWS else (lambda x: x)
-    prefixes = asked.where("is_prefix")
-    # the size in a projection of its own, else it is computed anew for every exploded token
-    cut = spread(docs).select(key, size.alias("size"), F.array(*parts).alias("parts")).select(key, "size", F.explode("parts").alias("p"))
-    tokens = cut.select(key, "size", "p.weight", F.explode("p.words").alias("token")).withColumn("begin", F.substring("token", 1, LEAST_PREFIX))
+    begin = F.substring("term", 1, LEAST_PREFIX)
+    words = {f"w{k}": w for k, w in enumerate(fields.items())}
+    rows = spread(docs).select(key, *[_words(f).alias(w) for w, (f, _) in words.items()])
+    size = sum((F.size(w) for w in list(words)[1:]), F.size(next(iter(words))))
+    rows = rows.select(key, size.alias("size"), *words)
+    if n <= LISTED:
+        lists = {True: set(), False: set()}
+        for r in asked.select("is_prefix", F.when(F.col("is_prefix"), begin).otherwise(F.col("term")).alias("x")).distinct().collect():
+            lists[r["is_prefix"]].add(r["x"].replace("\\", "\\\\").replace("'", "\\'"))
+        listed = lambda x, own: f"{x} IN ({', '.join(f"'{y}'" for y in sorted(own))})" if own else "FALSE"
+        wanted = f"{listed('x', lists[False])} OR {listed(f'substring(x, 1, {LEAST_PREFIX})', lists[True])}"
+        rows = rows.select(key, "size", *[F.expr(f"filter({w}, x -> {wanted})").alias(w) for w in words])
+    parts = [F.struct(F.array(F.lit("")).alias("words"), F.lit(0.0).alias("weight"))]
+    parts += [F.struct(F.col(w).alias("words"), F.lit(float(x)).alias("weight")) for w, (_, x) in words.items()]
+    tokens = rows.select(key, "size", F.explode(F.array(*parts)).alias("p")).select(key, "size", "p.weight", F.explode("p.words").alias("token"))
+    counted = tokens.groupBy(key, "size", "token").agg(F.sum("weight").alias("weight")).withColumn("begin", F.substring("token", 1, LEAST_PREFIX))
     exact = side(asked.where("NOT is_prefix").select(F.col("term").alias("token"), F.lit(True).alias("own")))
-    begins = side(prefixes.select(F.substring("term", 1, LEAST_PREFIX).alias("begin"), F.lit(True).alias("may")).distinct())
-    tokens = tokens.join(exact, "token", "left").join(begins, "begin", "left").where("own OR may")
-    longer = F.filter(F.array(*[F.when(F.length("token") >= n, F.substring("token", 1, n)) for n in lengths] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
-    kinds = F.concat(
-        F.when(F.col("own"), F.array(F.struct(F.col("token").alias("term"), F.lit(False).alias("is_prefix")))).otherwise(F.array()),
-        F.when(F.col("may"), F.transform(longer, lambda x: F.struct(x.alias("term"), F.lit(True).alias("is_prefix")))).otherwise(F.array()),
-    )
-    # equal tokens of a document are counted before they are taken apart
-    counted = tokens.groupBy(key, "size", "token", "own", "may").agg(F.sum("weight").alias("weight"))
-    out = counted.select(key, "size", "weight", F.explode(kinds).alias("k")).select(key, "size", "weight", "k.term", "k.is_prefix")
-    return written(out.join(side(asked), ["term", "is_prefix"], "left_semi").groupBy(key, "size", "term", "is_prefix").agg(F.sum("weight").alias("tf")))
+    longer = side(asked.where("is_prefix").groupBy(begin.alias("begin")).agg(F.collect_list("term").alias("longer")))
+    found = counted.join(exact, "token", "left").join(longer, "begin", "left")
+    itself = F.when(F.col("own") | (F.col("token") == ""), F.array(F.struct(F.col("token").alias("term"), F.lit(False).alias("is_prefix"))))
+    begun = F.transform(F.filter("longer", lambda p: F.startswith("token", p)), lambda p: F.struct(p.alias("term"), F.lit(True).alias("is_prefix")))
+    none = F.array().cast("array<struct<term:string,is_prefix:boolean>>")
+    kinds = F.explode(F.concat(F.coalesce(itself, none), F.coalesce(begun, none))).alias("k")
+    out = found.select(key, "size", "weight", kinds).select(key, "size", "weight", "k.term", "k.is_prefix")
+    return written(out.groupBy(key, "size", "term", "is_prefix").agg(F.sum("weight").alias("tf")))
 
 
 def _words(field: str) -> Column:
