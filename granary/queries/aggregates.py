@@ -349,13 +349,14 @@ def top_05(t):
     return t.orders.orderBy(rank, "o_orderpriority", "o_orderkey").select("o_orderkey", "o_orderpriority").limit(40)
 
 
-@query("top_06", """WITH busy AS (SELECT DISTINCT l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND o_orderkey < 40)
-SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM lineitem JOIN busy USING (l_suppkey) WHERE l_orderkey = o_orderkey) ORDER BY o_orderpriority, o_orderkey LIMIT 1""")
+@query("top_06", """WITH busy AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P')
+SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM lineitem JOIN busy USING (l_suppkey, l_partkey) WHERE l_orderkey = o_orderkey) ORDER BY o_orderpriority, o_orderkey LIMIT 1""")
 def top_06(t):
-    lines = t.lineitem.select("l_orderkey", "l_suppkey")
-    running = t.orders.where("o_orderstatus = 'P' AND o_orderkey < 40").select(F.col("o_orderkey").alias("l_orderkey"))
-    busy = lines.join(running, "l_orderkey").select("l_suppkey").distinct()
-    clash = lines.join(busy, "l_suppkey").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    """The first order that needs no supplier's part which a running order holds."""
+    lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_partkey")
+    running = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    busy = lines.join(running, "l_orderkey").select("l_suppkey", "l_partkey").distinct()
+    clash = lines.join(busy, ["l_suppkey", "l_partkey"]).select(F.col("l_orderkey").alias("o_orderkey")).distinct()
     return t.orders.where("o_orderstatus = 'O'").join(clash, "o_orderkey", "left_anti").orderBy("o_orderpriority", "o_orderkey").select("o_orderkey", "o_orderpriority").limit(1)
 
 
