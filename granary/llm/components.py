@@ -1,4 +1,9 @@
-"""Connected components by alternating large and small stars, all in DataFrames."""
+"""Connected components by alternating large and small stars, all in DataFrames.
+
+Edge cases: repeated edges and both directions of one count once; loops (u = v)
+and edges with a null end are left out; a node without an edge to another has no row; no
+edges give no rows; other columns are ignored.
+"""
 
 from __future__ import annotations
 

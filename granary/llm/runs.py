@@ -1,4 +1,8 @@
-"""Runs of equal keys in a sorted stream of Arrow batches."""
+"""Runs of equal keys in a sorted stream of Arrow batches.
+
+Edge cases: empty batches are passed over; a run may span any number of batches
+and is held whole, so callers bound their groups; no rows give no runs; keys have no nulls.
+"""
 
 from __future__ import annotations
 

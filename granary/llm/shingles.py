@@ -1,4 +1,9 @@
-"""Weighted word shingles and their ProbMinHash signatures."""
+"""Weighted word shingles and their ProbMinHash signatures.
+
+Edge cases: a null or empty text, or one of white space alone, has no shingle and
+a signature of zeros; a text of fewer words than a shingle is one shingle; repeated
+shingles are one with their count; no texts give empty arrays.
+"""
 
 from __future__ import annotations
 
