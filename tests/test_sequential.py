@@ -269,3 +269,32 @@ def test_web(spark):
     assert reach(100) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)] and reach(2) == [("a", 0), ("b", 1)]
     lines = spark.createDataFrame([("// note",), ("",), ('{"question": "q", "expect_files": ["f"]}',), ("broken",)], "value string")
     assert [(r["question"], r["expect_files"]) for r in web.questions(lines).collect()] == [("q", ["f"]), (None, None)]
+
+
+def test_degree_cap_without_rounds(spark, monkeypatch):
+    """A chain on which each edge waits for the one before needs no written round."""
+    edges = spark.createDataFrame([(k, k + 1, 1, 1 - k / 100) for k in range(40)], "a long, b long, n int, w double")
+    monkeypatch.setattr(cl, "written", lambda df: pytest.fail("a round was written"))
+    assert {(r["a"], r["b"]) for r in cl.degree_capped(edges, 1).collect()} == {(k, k + 1) for k in range(40)}
+
+
+def test_best_in_tiles_of_copies():
+    """Many equal vectors, several tiles, rows that do not count: the same as a plain sort, ties by id."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 8))
+    x[200:900] = x[100]
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.sort(rng.choice(10_000, 1500, replace=False))
+    s = np.round(np.einsum("id,jd->ij", x, x), 6)
+    s[np.arange(1500), np.arange(1500)] = -np.inf
+    for least, top in ((-1.0, 1), (0.3, 6), (0.99, 40)):
+        one, back = vc.Best(x, top, least), vc.Best(x, top, least)
+        for i, j, part in vc._tiles(x, x):
+            part[np.isneginf(s[i : i + vc.TILE, j : j + vc.TILE])] = -np.inf
+            one.take(i, part, x[j : j + vc.TILE], ids[j : j + vc.TILE])
+            back.take(j, part.T, x[i : i + vc.TILE], ids[i : i + vc.TILE])
+        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :top]
+        want = [(r, int(ids[c]), s[r, c]) for r in range(1500) for c in order[r] if s[r, c] >= least]
+        for best in (one, back):
+            row, own, value = best.rows()
+            assert [(int(a), int(b), c) for a, b, c in zip(row, own, value)] == want
