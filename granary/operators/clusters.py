@@ -82,16 +82,11 @@ def attached(items: DataFrame, clusters: DataFrame, pairs: DataFrame, near: floa
 
 
 def degree_capped(edges: DataFrame, most: int) -> DataFrame:
-    """The edges (a, b, n, w) that a pass from the strongest on keeps: all but those with both ends full."""
-    order = F.struct("n", "w", (-F.col("a")).alias("i"), (-F.col("b")).alias("j"))
-    state = written(edges.select("a", "b", "n", "w", order.alias("turn"), F.lit(None).cast("boolean").alias("kept")))
-    while True:
-        waiting = state.where("kept IS NULL")
-        if waiting.isEmpty():
-            return state.where("kept").select("a", "b", "n", "w")
-        ends = waiting.select(F.explode(F.array("a", "b")).alias("x"), "turn").groupBy("x").agg(F.max("turn").alias("first"))
-        full = state.where("kept").select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("d"))
-        side = lambda x: ends.join(full, "x", "left").select(F.col("x").alias(x), F.col("first").alias(f"f{x}"), F.coalesce("d", F.lit(0)).alias(f"d{x}"))  # noqa: B023, E731
-        now = waiting.join(side("a"), "a").join(side("b"), "b").where((F.col("turn") == F.col("fa")) & (F.col("turn") == F.col("fb")))
-        decided = now.select("a", "b", ((F.col("da") < most) | (F.col("db") < most)).alias("k"))
-        state = written(state.join(decided, ["a", "b"], "left").select("a", "b", "n", "w", "turn", F.coalesce("kept", "k").alias("kept")))
+    """The edges (a, b, n, w) that a pass from the strongest on keeps: all but those with both ends full.
+
+    A node's first ``most`` edges find it short of ``most`` and stay, and with them it is full.
+    So the pass keeps what is among the first ``most`` of either end: no rounds, each end ranks its own.
+    """
+    ends = edges.select("a", "b", "n", "w", F.explode(F.array("a", "b")).alias("x"))
+    place = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("n"), F.desc("w"), "a", "b"))
+    return ends.withColumn("r", place).where(F.col("r") <= most).select("a", "b", "n", "w").distinct()
