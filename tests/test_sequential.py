@@ -298,3 +298,42 @@ def test_best_in_tiles_of_copies():
         for best in (one, back):
             row, own, value = best.rows()
             assert [(int(a), int(b), c) for a, b, c in zip(row, own, value)] == want
+
+
+@pytest.fixture(scope="module")
+def copies(tmp_path_factory):
+    """Parts of one brand and size, many of one name, and some nulls."""
+    import pandas as pd
+
+    rng = random.Random(11)
+    names = ["red bolt", "bolt red", "red red bolt", "hot big red bolt", "big red bolt", "blue ring"]
+    rows = [(k, rng.choice(names), rng.choice(["B1", "B1", "B2", None]), rng.choice([3, 3, 24])) for k in range(300)]
+    folder = tmp_path_factory.mktemp("parts")
+    pd.DataFrame(rows, columns=["p_partkey", "p_name", "p_brand", "p_size"]).astype({"p_size": "int32"}).to_parquet(folder / "part.parquet")
+    docs = pd.DataFrame([(k, f"src{rng.choice([3, 4, 5])}", rng.choice(["de", "en"]), "x" * 70, 70) for k in range(60)], columns=["doc_id", "source", "lang", "text", "n_chars"])
+    docs.to_parquet(folder / "documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["jn_02", "set_04", "ret_11"])
+def test_parts_with_many_copies(spark, copies, monkeypatch, name):
+    """Lists of few values give the rows of the SQL; words are compared once a pair of names, not of parts."""
+    import duckdb
+
+    from granary.operators import lists as li
+    from granary.queries import ORACLES, QUERIES, lookups
+
+    monkeypatch.setattr(lookups, "RUN", 7)
+    monkeypatch.setattr(li.in_lists, "__defaults__", (7,))
+    df = QUERIES[name](spark, copies)
+    c = duckdb.connect()
+    for t in ("part", "documents"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{copies}/{t}.parquet'")
+    rel = c.sql(ORACLES[name])
+    want = sorted(rel.select(", ".join(df.columns)).fetchall(), key=repr)
+    assert want and sorted(map(tuple, df.collect()), key=repr) == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if name == "ret_11":
+        assert "Aggregate [p_brand" in plan and plan.index("array_intersect") < plan.rindex("Aggregate [p_brand")
+    else:
+        assert "list" in plan
