@@ -194,12 +194,15 @@ def ret_10(t):
 @query("ret_11", """WITH g AS (SELECT p_partkey AS gid, p_brand, p_size, list_distinct(string_split(p_name, ' ')) AS gw FROM part WHERE p_partkey % 2 = 0), a AS (SELECT p_partkey AS id, p_brand, p_size, list_distinct(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey % 2 = 1),
 s AS (SELECT id, gid, len(list_intersect(w, gw)) / len(list_distinct(list_concat(w, gw))) AS sim FROM a JOIN g USING (p_brand, p_size)), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, gid) AS r FROM s WHERE sim >= 0.75) SELECT id, gid FROM r WHERE r = 1""")
 def ret_11(t):
-    words = F.array_distinct(F.split("p_name", " "))
-    side = lambda k, i, w: t.part.where(F.col("p_partkey") % 2 == k).select(F.col("p_partkey").alias(i), "p_brand", "p_size", words.alias(w))
-    pairs = side(1, "id", "w").join(side(0, "gid", "gw"), ["p_brand", "p_size"])
+    """Equal names are compared once: each name of a brand and size finds its best one, with the least key of those that have it."""
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    asked = t.part.where("p_partkey % 2 = 1").select("p_partkey", "p_brand", "p_size", "p_name")
+    names = asked.select("p_brand", "p_size", "p_name").distinct().withColumn("w", words("p_name"))
+    known = t.part.where("p_partkey % 2 = 0").groupBy("p_brand", "p_size", F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("gid")).withColumn("gw", words("name"))
     sim = F.size(F.array_intersect("w", "gw")) / F.size(F.array_union("w", "gw"))
-    best = pairs.withColumn("sim", sim).where("sim >= 0.75").groupBy("id").agg(F.max(F.struct("sim", (-F.col("gid")).alias("g"))).alias("b"))
-    return best.select("id", (-F.col("b.g")).alias("gid"))
+    near = names.join(known, ["p_brand", "p_size"]).withColumn("sim", sim).where("sim >= 0.75")
+    best = near.groupBy("p_brand", "p_size", "p_name").agg(F.max(F.struct("sim", (-F.col("gid")).alias("g"))).alias("b"))
+    return asked.join(best, ["p_brand", "p_size", "p_name"]).select(F.col("p_partkey").alias("id"), (-F.col("b.g")).alias("gid"))
 
 
 @query("ret_12", """WITH a AS (SELECT * FROM (VALUES (1, '15'), (2, '17'), (3, '999999'), (4, 'red')) a(query, article)), h AS (SELECT query, p_partkey, 0 AS tier FROM a JOIN part ON CAST(p_partkey AS VARCHAR) = article UNION ALL SELECT query, p_partkey, 1 FROM a JOIN part ON starts_with(CAST(p_partkey AS VARCHAR), article) UNION ALL SELECT query, p_partkey, 2 FROM a JOIN part ON list_contains(string_split(p_name, ' '), article)),
