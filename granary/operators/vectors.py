@@ -42,14 +42,43 @@ def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.round(np.einsum("ij,ij->i", x, y), DIGITS)
 
 
-class Best:
-    """The ``top`` largest cosines of each row of ``x`` that are at least ``least``, ties by id, while tiles of columns pass."""
+class Held:
+    """The ``top`` largest values of each of ``n`` rows that are at least ``least``, ties by id."""
+
+    def __init__(self, n: int, top: int, least: float):
+        self.top, self.least = top, least
+        self.value = np.full((n, top), -np.inf)
+        self.id = np.full((n, top), np.iinfo(np.int64).max)
+        self.floor = np.full(n, float(least))
+
+    def merge(self, u: np.ndarray, ids: np.ndarray, value: np.ndarray) -> None:
+        """Values of ids for the rows ``u``."""
+        good = value >= self.floor[u]
+        if not good.any():
+            return
+        u, ids, value = u[good], ids[good], value[good]
+        hit = np.unique(u)
+        row, ids = np.append(u, np.repeat(hit, self.top)), np.append(ids, self.id[hit].ravel())
+        value = np.append(value, self.value[hit].ravel())
+        order = np.lexsort((ids, -value, row))
+        row, ids, value = row[order], ids[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        first = place < self.top
+        self.value[row[first], place[first]], self.id[row[first], place[first]] = value[first], ids[first]
+        self.floor[hit] = np.maximum(self.least, self.value[hit, -1])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, id, value) of all that is held."""
+        row, k = np.nonzero(np.isfinite(self.value))
+        return row, self.id[row, k], self.value[row, k]
+
+
+class Best(Held):
+    """The best cosines of each row of ``x``, while tiles of columns pass."""
 
     def __init__(self, x: np.ndarray, top: int, least: float):
-        self.x, self.top, self.least, self.margin = x, top, least, _margin(x.shape[1])
-        self.value = np.full((len(x), top), -np.inf)
-        self.id = np.full((len(x), top), np.iinfo(np.int64).max)
-        self.floor = np.full(len(x), float(least))
+        super().__init__(len(x), top, least)
+        self.x, self.margin = x, _margin(x.shape[1])
 
     def take(self, at: int, s: np.ndarray, y: np.ndarray, ids: np.ndarray) -> None:
         """A tile: products ``s`` (-inf: does not count) of the rows from ``at`` on with ``y``, whose ``ids`` ascend."""
@@ -70,26 +99,7 @@ class Best:
             good = np.isfinite(s[rows, chosen.ravel()])
             few = ~np.isin(u, crowd)
             u, v = np.append(u[few], rows[good]), np.append(v[few], chosen.ravel()[good])
-        u = u + at
-        value = _cosines(self.x[u], y[v])
-        good = value >= self.floor[u]
-        if not good.any():
-            return
-        u, v, value = u[good], v[good], value[good]
-        hit = np.unique(u)
-        row, ids = np.append(u, np.repeat(hit, self.top)), np.append(ids[v], self.id[hit].ravel())
-        value = np.append(value, self.value[hit].ravel())
-        order = np.lexsort((ids, -value, row))
-        row, ids, value = row[order], ids[order], value[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        first = place < self.top
-        self.value[row[first], place[first]], self.id[row[first], place[first]] = value[first], ids[first]
-        self.floor[hit] = np.maximum(self.least, self.value[hit, -1])
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, id, cosine) of all that is held."""
-        row, k = np.nonzero(np.isfinite(self.value))
-        return row, self.id[row, k], self.value[row, k]
+        self.merge(u + at, ids[v], _cosines(self.x[u + at], y[v]))
 
 
 def _all_pairs(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

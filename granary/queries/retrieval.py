@@ -52,8 +52,7 @@ def terms(t):
 
 
 def lexical(t, top: int):
-    scored = rt.bm25(fielded(t), terms(t), FIELDS).withColumn("score", F.round("score", 6))
-    return rt.ranked(scored, "query", "score", "doc_id", top)
+    return rt.best_bm25(fielded(t), terms(t), FIELDS, top)
 
 
 @query("ret_01", f"WITH {BM} SELECT query, doc_id, round(score, 6) AS score, rank FROM lex WHERE rank <= 6")
@@ -63,8 +62,7 @@ def ret_01(t):
 
 @query("top_03", f"WITH {bm25_sql({'text': 1.0})} SELECT query, doc_id, rank FROM lex WHERE rank <= 40")
 def top_03(t):
-    scored = rt.bm25(t.documents, terms(t), {"text": 1.0}).withColumn("score", F.round("score", 6))
-    return rt.ranked(scored, "query", "score", "doc_id", 40).select("query", "doc_id", F.col("rank").cast("long").alias("rank"))
+    return rt.best_bm25(t.documents, terms(t), {"text": 1.0}, 40).select("query", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 UNIT_SQL = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), eq AS (SELECT vec_id AS query, v AS qv FROM e WHERE vec_id % 50 = 0)"

@@ -337,3 +337,25 @@ def test_parts_with_many_copies(spark, copies, monkeypatch, name):
         assert "Aggregate [p_brand" in plan and plan.index("array_intersect") < plan.rindex("Aggregate [p_brand")
     else:
         assert "list" in plan
+
+
+def test_best_of_whole_scores(spark, monkeypatch):
+    """Postings kept by document give the scores of those that are shuffled: prefixes, fields, nulls, copies, small blocks."""
+    from granary.operators import retrieval as rt
+
+    rng = random.Random(2)
+    words = [f"{a}{b}" for a in ("pump", "pumps", "valve", "val", "о") for b in ("", "a", "b1", "_x")]
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 30))) if k % 9 else None, rng.choice(["Pump", None])) for k in range(150)]
+    rows += [(k + 1000, *rows[7][1:]) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, brand string")
+    asked = [(q, w, p) for q in range(6) for w in rng.sample(words, 4) for p in (False, True)] + [(9, "nowhere", False)]
+    terms = spark.createDataFrame(asked, "query long, term string, is_prefix boolean").where("NOT is_prefix OR length(term) > 3")
+    fields = {"text": 1.0, "brand": 2.0}
+    monkeypatch.setattr(rt, "SCORES", 500)
+    got = [tuple(r) for r in rt.best_bm25(docs, terms, fields, 12).select("query", "rank", "doc_id", "score").collect()]
+    plain = rt.bm25(docs, terms, fields).withColumn("score", F.round("score", 6))
+    want = [tuple(r) for r in rt.ranked(plain, "query", "score", "doc_id", 12).select("query", "rank", "doc_id", "score").collect()]
+    assert len(want) > 60 and sorted(got) == [pytest.approx(x) for x in sorted(want)]
+    monkeypatch.setattr(rt, "LISTED", 3)
+    many = [tuple(r) for r in rt.best_bm25(docs, terms, fields, 12).select("query", "rank", "doc_id", "score").collect()]
+    assert sorted(many) == [pytest.approx(x) for x in sorted(want)]
