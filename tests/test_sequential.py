@@ -339,6 +339,32 @@ def test_parts_with_many_copies(spark, copies, monkeypatch, name):
         assert "list" in plan
 
 
+@pytest.mark.parametrize("nulls", [False, True])
+def test_pairs_written_in_few_bytes(spark, tmp_path, nulls):
+    """Parts with documents of one brand: rows of the SQL, nulls too; files repeat themselves, and only lists are shuffled."""
+    import duckdb
+    import pandas as pd
+
+    from granary.queries import ORACLES, QUERIES
+
+    keys, ids = [*range(2520), *[None] * 2 * nulls], [*range(350), *[None] * nulls]
+    pd.DataFrame({"p_partkey": keys, "p_size": 3}).astype({"p_partkey": "Int64", "p_size": "int32"}).to_parquet(tmp_path / "part.parquet")
+    docs = pd.DataFrame({"doc_id": ids, "source": "src3", "lang": "de", "text": "x" * 70, "n_chars": 70}).astype({"doc_id": "Int64"})
+    docs.to_parquet(tmp_path / "documents.parquet")
+    df = QUERIES["jn_02"](spark, str(tmp_path))
+    df.write.parquet(str(tmp_path / "out"))
+    c = duckdb.connect()
+    for t in ("part", "documents"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    counted = [f"SELECT p_partkey, id, count(*) AS n FROM ({q}) GROUP BY ALL" for q in (ORACLES["jn_02"], f"FROM '{tmp_path}/out/*.parquet'")]
+    want, got = (sorted(c.sql(q).fetchall(), key=repr) for q in counted)
+    assert got == want and sum(n for *_, n in got) == len(keys) * len(ids)
+    if not nulls:
+        assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.2 * len(got)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(xs") < plan.index("RepartitionByExpression")
+
+
 def test_best_of_whole_scores(spark, monkeypatch):
     """Postings kept by document give the scores of those that are shuffled: prefixes, fields, nulls, copies, small blocks."""
     from granary.operators import retrieval as rt
