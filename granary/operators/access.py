@@ -124,24 +124,35 @@ def limited(events: DataFrame, per_hour: int, per_day: int, total: int) -> DataF
     return counted.select("event_id", (F.col("h") & F.col("d") & (F.col("earlier") + F.col("within") < total)).alias("allowed"))
 
 
-def locked(attempts: DataFrame, keys: list[str], n: int, seconds: int) -> DataFrame:
+def locked(attempts: DataFrame, keys: list[str], n: int, seconds: int, since: int | None = None) -> DataFrame:
     """(event_id, locked) of attempts (event_id, ts, failed, and ``keys``: account, address): whether any key is locked at the attempt.
 
-    A key is locked while ``n`` failures lie in the window before, of those since its last success.
+    A key is locked while ``n`` failures lie in the window before, of those since its last success, or behind ``since`` (microseconds) without one.
+    A null key or time locks nothing.  A failure stands once more where it leaves the window, so all counts run from
+    the beginning of a key's history and no attempt looks at its window row by row.
     """
-    rows = attempts.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    any_key = F.lit(False)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    enters = F.struct(us.alias("us"), F.lit(False).alias("leaves"))
+    leaves = F.struct((us + seconds * 1_000_000).alias("us"), F.lit(True).alias("leaves"))
+    rows = attempts.select("*", F.explode(F.when(F.col("failed") & us.isNotNull(), F.array(enters, leaves)).otherwise(F.array(enters))).alias("__at")).select(
+        "event_id", *keys, F.col("__at.us").alias("us"), F.col("__at.leaves").alias("__leaves"),
+        (F.col("failed") & ~F.col("__at.leaves")).alias("__failure"), (~F.col("failed") & ~F.col("__at.leaves")).alias("__success"),
+    )
+    known, any_key = F.col("us").isNotNull(), F.lit(False)
+    early = F.lit(False) if since is None else F.col("us") <= since
     for key in keys:
-        before = Window.partitionBy(key).orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-        recent = F.count_if("failed").over(Window.partitionBy(key).orderBy("us").rangeBetween(-(seconds * 1_000_000 - 1), -1))
-        so_far = F.count_if("failed").over(before)
-        at_success = F.coalesce(F.max(F.when(~F.col("failed"), F.col(f"__{key}"))).over(before), F.lit(0))
-        upto = F.count_if("failed").over(Window.partitionBy(key).orderBy("us").rangeBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumn(f"__{key}", upto)
-        # both are ends of the key's history, so what lies in both is the shorter one
-        rows = rows.withColumn(f"__n_{key}", F.least(recent, so_far - at_success))
-        any_key = any_key | (F.col(f"__n_{key}") >= n)
-    return rows.select("event_id", any_key.alias("locked"))
+        history = Window.partitionBy(key).orderBy("us")
+        before, upto = history.rangeBetween(Window.unboundedPreceding, -1), history.rangeBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumns({
+            "__so_far": F.count_if(F.col("__failure") & known).over(before), "__left": F.count_if("__leaves").over(upto),
+            "__upto": F.count_if(F.col("__failure") & known).over(upto), "__early": F.count_if(F.col("__failure") & early).over(before),
+        })
+        at_success = F.coalesce(F.max(F.when(F.col("__success") & known, F.col("__upto"))).over(before), F.col("__early"))
+        # all are beginnings of the key's history: the longest that does not count takes the others in
+        counted = F.col("__so_far") - F.greatest("__left", at_success)
+        rows = rows.withColumn(f"__by_{key}", F.col(key).isNotNull() & known & (counted >= n)).drop("__so_far", "__left", "__upto", "__early")
+        any_key = any_key | F.col(f"__by_{key}")
+    return rows.where("NOT __leaves").select("event_id", any_key.alias("locked"))
 
 
 class Calls:

@@ -168,7 +168,7 @@ def _lock_sql(key: str) -> str:
 {_lock_sql('login')}, {_lock_sql('addr')} SELECT event_id, f_login.n >= 3 OR f_addr.n >= 3 AS locked FROM f_login JOIN f_addr USING (event_id)""")
 def flt_17(t):
     tries = t.events.where("event_type IN ('error', 'click')")
-    return ac.locked(tries.select("event_id", "ts", F.col("user_id").alias("login"), (F.col("event_id") % 23).alias("addr"), (F.col("event_type") == "error").alias("failed")), ["login", "addr"], 3, 172_800)
+    return ac.locked(tries.select("event_id", "ts", F.col("user_id").alias("login"), (F.col("event_id") % 23).alias("addr"), (F.col("event_type") == "error").alias("failed")), ["login", "addr"], 3, 172_800, since=0)
 
 
 @query("flt_18_calls")

@@ -371,3 +371,28 @@ def test_lockout(spark):
     df = spark.createDataFrame(data, "event_id long, s long, login string, addr long, failed boolean").withColumn("ts", F.timestamp_seconds("s"))
     assert rows(access.locked(df, ["login", "addr"], 3, 1000), "event_id", "locked") == [(k, k in (3, 7)) for k in range(9)]
     assert not any(r[1] for r in rows(access.locked(df, ["login", "addr"], 3, 25), "event_id", "locked"))
+
+
+def test_lockout_on_odd_rows(spark, tmp_path):
+    """Ties, nulls, times before 1970, a crowded window: the rows of the SQL, and no frame that is gone through anew for each row."""
+    import duckdb
+    import pandas as pd
+
+    from granary.queries import ORACLES, QUERIES
+
+    rng = random.Random(17)
+    start = datetime.datetime(2024, 1, 1)
+    times = [start + datetime.timedelta(hours=rng.randrange(300), microseconds=rng.choice([0, 0, 1])) for _ in range(900)]
+    times += [start + datetime.timedelta(days=40 + 2 * k, microseconds=rng.choice([-1, 0, 1])) for k in range(60)]
+    times += [datetime.datetime(1970, 1, 1) + datetime.timedelta(hours=rng.randrange(-30, 30)) for _ in range(60)] + [None] * 30
+    kinds = ["error", "error", "error", "click", "view", None]
+    data = [(k, ts, rng.choice([*range(12), None]), rng.choice(kinds), 1.0, "{}") for k, ts in enumerate(times)]
+    events = pd.DataFrame(data, columns=["event_id", "ts", "user_id", "event_type", "value", "props"]).astype({"user_id": "Int64", "ts": "datetime64[us]"})
+    events.to_parquet(tmp_path / "events.parquet")
+    df = QUERIES["flt_17"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = sorted(c.sql(ORACLES["flt_17"]).fetchall(), key=repr)
+    assert len({x for _, x in want}) == 2 and rows(df, "event_id", "locked") == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan
